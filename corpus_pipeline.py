@@ -13,6 +13,13 @@ from tessera.llm import line_crf, minmax_dedup, mixing, packing, quality_knn
 from tessera.runtime import materialize, prepare, table
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the line labeller keep.
 
@@ -36,9 +43,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows of one doc_id are one document; rows without an id all stay.
     """
     prepare(spark)
-    dropped = minmax_dedup.deduplicated(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("dropped_id"))
+    dropped = minmax_dedup.deduplicated(docs).filter(~F.col("kept")).select("doc_id")
     dropped = materialize(dropped.distinct(), "dropped")
-    return docs.join(dropped, docs["doc_id"] == dropped["dropped_id"], "left_anti")
+    return docs.join(dropped, docs["doc_id"] == dropped["doc_id"], "left_anti")
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +54,11 @@ def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Equal (doc_id, source) rows share their fate. Rows without an id or source are mixed too.
     """
     prepare(spark)
-    plan = mixing.mixed(docs.select("doc_id", "source", "text")).select(F.col("doc_id").alias("_id"), "source_size", "target", F.col("copies").alias("_copies"))
-    per_id = materialize(plan.groupBy("_id").agg(F.max("_copies").alias("_copies")), "copies")
-    joined = docs.join(per_id, docs["doc_id"].eqNullSafe(per_id["_id"])).filter(F.col("_copies") > 0)
-    again = joined.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return again.select(*(docs[c] for c in docs.columns))
+    plan = mixing.mixed(docs.select("doc_id", "source", "text"))
+    key, copies, turn = (_free(docs, x) for x in ("key", "copies", "turn"))
+    per_id = materialize(plan.groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(copies)), "copies")
+    again = docs.join(per_id, docs["doc_id"].eqNullSafe(per_id[key])).filter(F.col(copies) > 0)
+    return again.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(key, copies, turn)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
