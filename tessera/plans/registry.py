@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    pass
+    from tessera.plans import filtering, records, relational, retrieval, streams  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Query]:

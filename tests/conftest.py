@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -11,7 +12,7 @@ sys.path.insert(0, str(ROOT))
 def spark():
     from tessera.runtime import local_session
 
-    session = local_session("tests", 4)
+    session = local_session("tests", int(os.environ.get("TEST_CPUS", "4")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
