@@ -10,8 +10,8 @@
    confirmed links make components.
 4. What the stars can't settle are buckets of four or more whose members lie in several
    components. There the members outside the bucket's main component are compared with all
-   others, in blocks of bounded size, by their signatures; the survivors are confirmed on
-   full sets. So no pair that shares a bucket is left out unless it is already connected.
+   of it, and with each other, in blocks of bounded size: signatures rule pairs out, full
+   sets confirm. So no pair that shares a bucket is left out unless it is already connected.
 
 With 32 bands of 4 values a pair at similarity 0.75 shares no bucket with probability 5e-6,
 at 0.8 with 5e-8.
@@ -24,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
@@ -130,6 +130,14 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SIGNED)
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    few, many = sorted((len(x), len(y)))
+    if 100 * few < percent * many:
+        return False
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= percent * (few + many - shared)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough. ``texts`` (doc_id, text, sig).
 
@@ -151,59 +159,92 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
                     continue
                 if a[i] != last:
                     last, last_set = a[i], shingles(words_of(batch.column(4)[i].as_py()))
-                other = shingles(words_of(batch.column(5)[i].as_py()))
-                few, many = sorted((len(last_set), len(other)))
-                if 100 * few < percent * many:
-                    continue
-                shared = len(np.intersect1d(last_set, other, assume_unique=True))
-                if 100 * shared >= percent * (few + many - shared):
+                if _similar(last_set, shingles(words_of(batch.column(5)[i].as_py())), percent):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def _likely(groups: DataFrame) -> DataFrame:
-    """(a, b) of the pairs of two blocks in different components whose signatures are close."""
+def _linked(groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between the rows of two blocks, one for each pair of components that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found_a, found_b = [], []
-            for i in range(batch.num_rows):
-                x, y = (batch.column(c)[i].values for c in ("left", "right"))
-                ids = [s.field("doc_id").to_numpy() for s in (x, y)]
-                comps = [s.field("component").to_numpy() for s in (x, y)]
-                sigs = [np.stack([np.frombuffer(v.as_py(), np.uint8) for v in s.field("sig")]) for s in (x, y)]
-                for j in range(len(ids[0])):
-                    near = ((sigs[1] == sigs[0][j]).mean(1) >= LIKELY) & (comps[1] != comps[0][j])
-                    other = ids[1][near]
-                    found_a.append(np.minimum(other, ids[0][j]))
-                    found_b.append(np.maximum(other, ids[0][j]))
-            columns = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in (found_a, found_b)]
+            links: list[tuple[int, int]] = []
+            for g in range(batch.num_rows):
+                sides = [batch.column(c)[g].values for c in ("left", "right")]
+                ids, comps = ([s.field(f).to_numpy() for s in sides] for f in ("doc_id", "component"))
+                sigs = [np.stack([np.frombuffer(v.as_py(), np.uint8) for v in s.field("sig")]) for s in sides]
+                sets: list[dict[int, np.ndarray]] = [{}, {}]
+                done = set()
+
+                def full(side: int, i: int, sets=sets, sides=sides) -> np.ndarray:
+                    if i not in sets[side]:
+                        sets[side][i] = shingles(words_of(sides[side].field("text")[i].as_py()))
+                    return sets[side][i]
+
+                for i in range(len(ids[0])):
+                    same = (sigs[1] == sigs[0][i]).mean(1)
+                    near = np.flatnonzero((same >= LIKELY) & (comps[1] != comps[0][i]))
+                    for j in near[np.argsort(-same[near], kind="stable")]:
+                        ends = (comps[0][i], comps[1][j])
+                        if ends not in done and _similar(full(0, i), full(1, int(j)), percent):
+                            done.add(ends)
+                            links.append((int(ids[0][i]), int(ids[1][j])))
+            columns = [pa.array([f(x) for x in links], pa.int64()) for f in (min, max)]
             yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
     return groups.select("left", "right").mapInArrow(run, "a long, b long")
 
 
-def residual(members: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs (a, b) in buckets that hold several components, by signature.
+def _met(left: DataFrame, right: DataFrame, key: str, texts: DataFrame, percent: int) -> DataFrame:
+    """Links between left and right rows (key, i, j, doc_id, component) of the same block pair."""
+    both = left.select(key, "i", "j", "doc_id", "component", F.lit(True).alias("is_left")).unionByName(right.select(key, "i", "j", "doc_id", "component", F.lit(False).alias("is_left")))
+    rows = both.join(texts, "doc_id").select(key, "i", "j", "is_left", F.struct("doc_id", "component", "sig", "text").alias("e"))
+    side = lambda left: F.collect_list(F.when(F.col("is_left") == left, F.col("e")))
+    groups = rows.groupBy(key, "i", "j").agg(side(True).alias("left"), side(False).alias("right"))
+    return _linked(groups.filter((F.size("left") > 0) & (F.size("right") > 0)), percent)
+
+
+def _blocks(n: Column) -> Column:
+    return F.ceil(n / F.lit(float(BLOCK))).cast("int")
+
 
-    ``members`` (band, doc_id, component). In each such bucket everything outside its most
-    frequent component meets everything else, block by block of at most about ``BLOCK`` rows.
+def _at(n: Column) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), _blocks(n)).cast("int")
+
+
+def _every(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), _blocks(n) - 1))
+
+
+def residual(members: DataFrame, owners: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links that the stars could not see, in buckets of four or more with several components.
+
+    ``members`` (band, doc_id, component), ``owners`` (doc_id, component) of all of them. What
+    stands outside a bucket's most frequent component is an outsider. Outsiders meet all of
+    that component, once whatever the number of bands they share, and each other within the
+    bucket, in blocks of about ``BLOCK`` rows a side. Full sets are compared where signatures
+    don't rule a pair out; what comes out is at most one link for two components and blocks.
     """
     by_comp = members.groupBy("band", "component").count()
     mixed = by_comp.groupBy("band").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.max("count").alias("n_main"), F.sum("count").alias("n"))
-    mixed = mixed.filter((F.col("n") >= 4) & (F.col("n") > F.col("n_main")))
-    inside = members.join(mixed, "band").join(sigs, "doc_id")
-    blocks = lambda n: F.ceil(n / F.lit(float(BLOCK))).cast("int")
-    few, all_ = blocks(F.col("n") - F.col("n_main")), blocks(F.col("n"))
-    slot = F.xxhash64("doc_id")
-    entry = F.struct("doc_id", "component", "sig")
-    left = inside.filter(F.col("component") != F.col("main")).select("band", F.pmod(slot, few).alias("i"), F.explode(F.sequence(F.lit(0), all_ - 1)).alias("j"), F.lit(True).alias("outside"), entry.alias("e"))
-    right = inside.select("band", F.explode(F.sequence(F.lit(0), few - 1)).alias("i"), F.pmod(slot, all_).alias("j"), F.lit(False).alias("outside"), entry.alias("e"))
-    both = left.withColumn("i", F.col("i").cast("int")).unionByName(right.withColumn("j", F.col("j").cast("int")))
-    groups = both.groupBy("band", "i", "j").agg(F.collect_list(F.when(F.col("outside"), F.col("e"))).alias("left"), F.collect_list(F.when(~F.col("outside"), F.col("e"))).alias("right"))
-    return _likely(groups.filter((F.size("left") > 0) & (F.size("right") > 0))).distinct()
+    mixed = mixed.filter((F.col("n") >= 4) & (F.col("n") > F.col("n_main"))).select("band", "main", (F.col("n") - F.col("n_main")).alias("n_out"))
+    outsiders = materialize(members.join(mixed, "band").filter("component <> main"), "outsiders")
+
+    asked = outsiders.select("main", "doc_id", "component").distinct()
+    n_asked = asked.groupBy("main").agg(F.count("*").alias("n_left"))
+    homes = owners.join(n_asked, owners["component"] == n_asked["main"])
+    sized = n_asked.join(homes.groupBy("main").agg(F.count("*").alias("n_right")), "main")
+    left = asked.join(sized, "main").select("main", "doc_id", "component", _at(F.col("n_left")).alias("i"), _every(F.col("n_right")).alias("j"))
+    right = homes.select("main", "doc_id", "component").join(sized, "main").select("main", "doc_id", "component", _at(F.col("n_right")).alias("j"), _every(F.col("n_left")).alias("i"))
+    with_main = _met(left, right, "main", texts, percent)
+
+    several = outsiders.filter("n_out > 1")
+    left = several.select("band", "doc_id", "component", _at(F.col("n_out")).alias("i"), _every(F.col("n_out")).alias("j")).filter("i <= j")
+    right = several.select("band", "doc_id", "component", _at(F.col("n_out")).alias("j"), _every(F.col("n_out")).alias("i")).filter("i <= j")
+    return with_main.unionByName(_met(left, right, "band", texts, percent)).distinct()
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -234,10 +275,9 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = materialize(confirmed(stars, texts, percent), "links")
     found = materialize(components(links), "components")
 
-    labelled = members.filter("n >= 4").select("band", "doc_id").distinct().join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    labelled = materialize(labelled.select("band", "doc_id", F.coalesce("component", "doc_id").alias("component")), "labelled")
-    rest = residual(labelled, texts.select("doc_id", "sig")).join(stars, ["a", "b"], "left_anti")
-    more = materialize(confirmed(materialize(rest, "residual"), texts, percent), "more-links")
+    homes = materialize(texts.select("doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component")), "homes")
+    labelled = members.filter("n >= 4").select("band", "doc_id").join(homes, "doc_id")
+    more = materialize(residual(labelled, homes, texts, percent), "more-links")
     if not more.isEmpty():
         found = materialize(components(links.unionByName(more)), "components")
 
