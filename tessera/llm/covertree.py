@@ -93,6 +93,7 @@ def search(queries: np.ndarray, own: np.ndarray, data: np.ndarray, ids: np.ndarr
     queries, data = (np.pad(x, ((0, 0), (0, wide - x.shape[1]))) for x in (queries, data))
     if float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * wide >= EXACT:
         return _by_python(queries, own, data, ids, k, floor)
+    floor = np.maximum(floor, NOTHING >> 16)
     q, d, span = queries.astype(np.float64), data.astype(np.float64), len(data) + 1
     best = Best(len(q), k, floor, span)
     top_q, top_d = build(q), build(d)
@@ -195,7 +196,7 @@ def top_k(embeddings: DataFrame, every: int = 20, k: int = K, query_block: int =
     n_data, n_query = rows.count(), asked.count()
     d_n, q_n = max(1, -(-n_data // data_block)), max(1, -(-n_query // query_block))
     data = materialize(_blocks(rows, d_n, "d"), "data-blocks")
-    lowest = F.lit(int(NOTHING) >> 16).cast("long")
+    lowest = F.lit(1 - (1 << 63)).cast("long")
 
     first = _blocks(asked.withColumn("floor", lowest), q_n, "q", "floor").withColumn("d", F.pmod(F.col("q"), F.lit(d_n)).cast("int"))
     found = materialize(_searched(first.join(data, "d").repartition(q_n, "q"), k), "topk-first")

@@ -29,11 +29,13 @@ def test_stored_zip_equals_zipfile():
         z.writestr("a.txt", b"hello")
         z.writestr("ünï.bin", bytes(range(256)))
         z.writestr("empty", b"")
-        z.comment = b"a note PK\5\6 with a marker in it"
+        z.comment = b"a note"
     found = warc_zip.StoredZip(raw, len(raw.getvalue()))
     with zipfile.ZipFile(raw) as z:
         assert {n: found.read(n) for n in found.members} == {n: z.read(n) for n in z.namelist()}
     assert found.read("ünï.bin", 10, 5) == bytes(range(10, 15))
+    marked = raw.getvalue()[:-8] + struct.pack("<H", 30) + b"a PK\5\6 that is not the end...."[:30]
+    assert warc_zip.StoredZip(io.BytesIO(marked), len(marked)).read("a.txt") == b"hello"
     with pytest.raises(ValueError):
         found.read("a.txt", 3, 9)
 
