@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scoring
 from tessera.operators import catalog, chunking, cleaning, filters, logs, memory, metadata
+from tessera.operators.ordering import numbered
 from tessera.plans.registry import query
 from tessera.runtime import table
 
@@ -378,4 +379,4 @@ def block_count_backfill(spark: SparkSession, d: str) -> DataFrame:
 @query("first_occurrence", "SELECT text_hash, position FROM (SELECT sha256(text) AS text_hash, min(doc_id) AS first_id, CAST(row_number() OVER (ORDER BY min(doc_id)) AS INTEGER) AS position FROM documents GROUP BY 1)")
 def first_occurrence(spark: SparkSession, d: str) -> DataFrame:
     found = table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("text_hash")).agg(F.min("doc_id").alias("first_id"))
-    return found.select("text_hash", F.row_number().over(Window.orderBy("first_id")).alias("position"))
+    return numbered(found, "n", "first_id").select("text_hash", (F.col("n") + 1).cast("int").alias("position"))

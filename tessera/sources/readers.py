@@ -7,9 +7,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.ordering import numbered
+
 # Extension to (MIME type, block type, processing level).
 FORMATS = {
     "pdf": ("application/pdf", 1, 2), "docx": ("application/vnd.openxmlformats-officedocument.wordprocessingml.document", 1, 2),
@@ -110,9 +112,7 @@ def rows_to_text(rows: DataFrame, columns: list[str], id_col: str, merge: int =
     named = rows.select(F.col(id_col).alias("row_id"), line.alias("body"))
     if merge <= 1:
         return named.select(F.col("row_id").alias("first_id"), F.lit(1).alias("n_rows"), F.col("body").alias("text"))
-    # numbered by range partitions: ids of a partition are counted on from those before it
-    number = F.row_number().over(Window.orderBy("row_id")) - 1
-    grouped = named.withColumn("g", F.floor(number / merge)).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("row_id", "body"))).alias("rs"))
+    grouped = numbered(named, "n", "row_id").withColumn("g", F.floor(F.col("n") / merge)).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("row_id", "body"))).alias("rs"))
     return grouped.select(F.col("rs")[0]["row_id"].alias("first_id"), F.size("rs").alias("n_rows"), F.array_join(F.transform("rs", lambda r: r["body"]), "\n---\n").alias("text"))
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
+from tessera.operators.ordering import max_before
+
 # --- file events ------------------------------------------------------------------------
 
 
@@ -178,9 +180,8 @@ def distinct_stream(events: DataFrame, keys: list[str], delay: str) -> DataFrame
 
 def not_late(events: DataFrame, delay_s: int, order: str = "event_id") -> DataFrame:
     """Batch form of dropping late rows: behind the greatest earlier time by more than the delay."""
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.max(F.unix_timestamp("ts")).over(before)
-    return events.withColumn("_seen", seen).filter(F.col("_seen").isNull() | (F.unix_timestamp("ts") >= F.col("_seen") - delay_s)).drop("_seen")
+    rows = max_before(events, "_seen", F.unix_timestamp("ts"), order)
+    return rows.filter(F.col("_seen").isNull() | (F.unix_timestamp("ts") >= F.col("_seen") - delay_s)).drop("_seen")
 
 
 def clicks_to_purchases(events: DataFrame, within: str, delay: str | None = None) -> DataFrame:

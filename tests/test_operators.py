@@ -347,3 +347,14 @@ def test_directory(spark, tmp_path):
     (tmp_path / "in" / "c.pdf").write_bytes(b"%PDF")
     got = {(r["path"].rsplit("/", 1)[1], r["page"], r["text"], r["error"]) for r in readers.parse_files(readers.scan_directory(spark, str(tmp_path / "in"))).collect()}
     assert got == {("a.md", 1, "Title\n\nitem link", None), ("a.md", 2, "page two", None), ("b.html", 1, "hi", None), ("c.pdf", None, None, "no parser for application/pdf")}
+
+
+def test_global_order(spark):
+    from tessera.operators.ordering import max_before, numbered
+
+    df = spark.range(0, 500).select((F.col("id") * 37 % 500).alias("k"), (F.col("id") * 91 % 113).alias("v")).repartition(7)
+    assert {(r["k"], r["n"]) for r in numbered(df, "n", "k").collect()} == {(i, i) for i in range(500)}
+    values = [r["v"] for r in df.orderBy("k").collect()]
+    got = {r["k"]: r["m"] for r in max_before(df, "m", F.col("v"), "k").collect()}
+    assert got == {i: max(values[:i], default=None) for i in range(500)}
+    assert numbered(df.limit(0), "n", "k").count() == 0
