@@ -358,3 +358,13 @@ def test_global_order(spark):
     got = {r["k"]: r["m"] for r in max_before(df, "m", F.col("v"), "k").collect()}
     assert got == {i: max(values[:i], default=None) for i in range(500)}
     assert numbered(df.limit(0), "n", "k").count() == 0
+
+
+def test_bloom(spark):
+    from tessera.operators.bloom import Bloom
+
+    keys = spark.range(2000).select(F.concat(F.lit("k"), F.col("id")).alias("k"))
+    bloom = Bloom.build(keys.filter("CAST(substring(k, 2) AS INT) < 1000"), "k", 1000, 0.02)
+    found = bloom.might_contain(keys, "k")
+    assert found.filter("CAST(substring(k, 2) AS INT) < 1000").count() == 1000
+    assert found.count() - 1000 < 60 and bloom.false_positive_rate() < 0.04
