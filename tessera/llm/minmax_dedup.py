@@ -257,7 +257,9 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     table = materialize(signed(docs), "signed")
     copies = table.filter(F.col("copy_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("copy_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
-    narrow = table.select("doc_id", "n_shingles", "copy_key").join(copies.filter("n > 1").select("copy_key", "first_id"), "copy_key", "left")
+    # written first: a join of two plain exchanges lets Spark split a hot key's rows
+    copies = materialize(copies.filter("n > 1").select("copy_key", "first_id"), "copies")
+    narrow = table.select("doc_id", "n_shingles", "copy_key").join(copies, "copy_key", "left")
     owners = materialize(narrow.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("first_id", "doc_id")).alias("owner")), "owners")
 
     folded = owners.filter(F.col("owner") != F.col("doc_id")).select("doc_id").distinct()
@@ -265,6 +267,7 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     single = materialize(single, "single")
     rows = single.select("doc_id", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).filter("low <> high")
+    shared = materialize(shared, "buckets")
     members = materialize(rows.join(shared, "band"), "members")
     stars = members.select(F.explode(F.array("low", "high")).alias("hub"), "doc_id").filter("hub <> doc_id")
     stars = materialize(stars.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct(), "stars")
