@@ -144,3 +144,49 @@ def resolve_config(base: dict, namespace: str | dict | None, request: dict | Non
         raise ValueError("a namespace's configuration must be an object")
     asked = {k: v for k, v in (request or {}).items() if k in allowed}
     return base | {k: v for k, v in (own | asked).items() if k not in fixed}
+
+
+class PieceTokenizer:
+    """Unigram or BPE pieces from a sentencepiece model file."""
+
+    def __init__(self, model_file: str):
+        from sentencepiece import SentencePieceProcessor
+
+        self.model = SentencePieceProcessor(model_file=model_file)
+
+    def encode(self, text: str) -> list[int]:
+        return self.model.encode(text)
+
+
+class CircuitOpen(RuntimeError):
+    """A call that isn't made because the service failed too often just now."""
+
+
+class CircuitBreaker:
+    """Wraps a model client: retries with growing pauses, opens after some failures, tries once after a rest."""
+
+    def __init__(self, failures: int = 3, rest_s: float = 30.0, pauses_s: tuple[float, ...] = (0.05, 0.1, 0.2), clock: Callable[[], float] | None = None, sleep: Callable[[float], None] | None = None):
+        import time
+
+        self.limit, self.rest_s, self.pauses_s = failures, rest_s, pauses_s
+        self.clock, self.sleep = clock or time.monotonic, sleep or time.sleep
+        self.failed, self.opened_at = 0, None
+
+    def call(self, fn: Callable[[], Any]) -> Any:
+        if self.opened_at is not None and self.clock() - self.opened_at < self.rest_s:
+            raise CircuitOpen
+        trial = self.opened_at is not None
+        for pause in (None,) if trial else (*self.pauses_s, None):
+            try:
+                out = fn()
+            except Exception:
+                self.failed += 1
+                if trial or self.failed >= self.limit:
+                    self.opened_at = self.clock()
+                    raise
+                if pause is None:
+                    raise
+                self.sleep(pause)
+            else:
+                self.failed, self.opened_at = 0, None
+                return out

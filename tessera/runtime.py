@@ -24,6 +24,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    env.setdefault("OMP_NUM_THREADS", "1")  # a task has one core; more threads only get in each other's way
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
     return spark
 

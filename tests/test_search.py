@@ -91,3 +91,32 @@ def test_model_answers():
 def test_embedding_column(spark):
     v = spark.range(1).select(models.embedding(models.HashingEmbedder(8))(F.lit("a b a")).alias("v")).first()["v"]
     assert len(v) == 8 and sum(x * x for x in v) == pytest.approx(1, abs=1e-5)
+
+
+def test_circuit_breaker():
+    now, calls, slept = [0.0], [], []
+    breaker = models.CircuitBreaker(clock=lambda: now[0], sleep=slept.append)
+
+    def fails():
+        calls.append(1)
+        raise OSError("down")
+
+    with pytest.raises(OSError):
+        breaker.call(fails)
+    assert len(calls) == 3 and slept == [0.05, 0.1]
+    with pytest.raises(models.CircuitOpen):
+        breaker.call(fails)
+    now[0] = 31.0
+    with pytest.raises(OSError):
+        breaker.call(fails)
+    assert len(calls) == 4
+    now[0] = 62.0
+    assert breaker.call(lambda: 5) == 5 and breaker.call(lambda: 6) == 6
+
+
+def test_piece_tokenizer():
+    import public_tokenizers
+    import sentencepiece
+
+    file = public_tokenizers.path("piece_bpe_32k.model")
+    assert models.PieceTokenizer(file).encode("Hello world") == sentencepiece.SentencePieceProcessor(model_file=file).encode("Hello world")
