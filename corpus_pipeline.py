@@ -26,14 +26,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null, empty and short texts go. Repeated rows are judged alike.
     """
     prepare(spark)
-    verdict = line_crf.judge(spark, line_crf.learn(docs, table(spark, sf_dir, "labels")))
+    verdict = line_crf.judge(spark, line_crf.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
     return docs.filter(verdict(F.col("text"))["kept"])
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score says that label 1 is likely. Repeated rows are judged alike."""
+    """Documents whose score says that label 1 is likely. Repeated rows are judged alike.
+
+    Both learned stages learn from the labelled documents of ``sf_dir``, not from what came
+    through so far: survivors alone would teach that everything is good.
+    """
     prepare(spark)
-    score = quality_knn.scorer(spark, quality_knn.learn(docs, table(spark, sf_dir, "labels")))
+    score = quality_knn.scorer(spark, quality_knn.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
     return docs.filter(score(F.col("text")) >= quality_knn.KEEP_FROM)
 
 

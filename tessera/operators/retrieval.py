@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scoring, text
+from tessera.runtime import materialize
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 #: Rows of one data block scored at a time against all query vectors of the task.
@@ -35,40 +36,39 @@ def top(scored: DataFrame, k: int, score: str = "score", by: str = "query_id", t
     return ranked.withColumn("rank", (F.col("rank") - 1 + rank_from).cast("int"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, *, doc_id: str = "doc_id", doc_text: str = "text", query_id: str = "item_id", query_text: str = "text") -> DataFrame:
-    """query_id, doc_id, score, rank by BM25 over OR-ed terms.
+def _scored(asked: DataFrame, fields: DataFrame, k: int) -> DataFrame:
+    """BM25 of (query_id, term) over (doc_id, weight, w): one row per document and field.
 
-    Only postings of asked terms are shuffled: document frequencies come from the same
-    filtered postings, and corpus size and mean length from one small aggregate.
+    The text is tokenised once. Every field adds an empty term that stands for the document
+    itself, so that document lengths and counts come from the same filtered postings, which
+    are written once: only terms that are asked for are shuffled.
     """
-    asked = query_terms(queries, query_id, query_text)
-    words = docs.select(F.col(doc_id).alias("doc_id"), text.tokens(F.col(doc_text)).alias("w")).withColumn("len", F.size("w"))
-    stats = words.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len"))
-    terms = asked.select("term").distinct()
-    hit = words.select("doc_id", "len", F.explode("w").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-    found = hit.groupBy("term").agg(F.count("*").alias("df"))
+    terms = asked.select("term").distinct().unionByName(asked.sparkSession.range(1).select(F.lit("").alias("term")))
+    words = fields.select("doc_id", "weight", F.size("w").alias("len"), F.explode(F.array_append("w", F.lit(""))).alias("term"))
+    hit = words.join(terms, "term", "left_semi").groupBy("doc_id", "term").agg(F.sum("weight").alias("tf"), F.sum(F.when(F.col("term") == "", F.col("len"))).alias("len"))
+    hit = materialize(hit, "postings")
+    lengths = hit.filter("term = ''").select("doc_id", "len")
+    stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len"))
+    found = hit.filter("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(IDF_FLOOR), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    weights = found.crossJoin(F.broadcast(stats)).select("term", idf.alias("idf"), "mean_len")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
-    scored = asked.join(weights, "term").join(hit, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    weights = found.crossJoin(F.broadcast(stats)).select("term", idf.alias("idf"), "mean_len")  # one row of statistics
+    tf = F.col("tf")
+    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
+    scored = hit.select("doc_id", "term", "tf").join(weights, "term").join(asked, "term").join(lengths, "doc_id").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     return top(scored, k).select("query_id", "doc_id", "score", "rank")
 
 
+def bm25(docs: DataFrame, queries: DataFrame, k: int, *, doc_id: str = "doc_id", doc_text: str = "text", query_id: str = "item_id", query_text: str = "text") -> DataFrame:
+    """query_id, doc_id, score, rank by BM25 over OR-ed terms."""
+    fields = docs.select(F.col(doc_id).alias("doc_id"), F.lit(1).alias("weight"), text.tokens(F.col(doc_text)).alias("w"))
+    return _scored(query_terms(queries, query_id, query_text), fields, k)
+
+
 def field_bm25(docs: DataFrame, fields: dict[str, float], queries: DataFrame, k: int, *, doc_id: str = "doc_id", query_id: str = "item_id", query_text: str = "text") -> DataFrame:
     """BM25 over several fields whose term counts are weighted before saturation."""
-    asked = query_terms(queries, query_id, query_text)
-    weighed = F.explode(F.array(*(F.struct(F.lit(w).alias("weight"), text.tokens(F.col(f)).alias("w")) for f, w in fields.items())))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), weighed.alias("f")).select("doc_id", "f.weight", "f.w")
-    lengths = rows.groupBy("doc_id").agg(F.sum(F.size("w")).alias("len"))
-    stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len"))
-    words = rows.select("doc_id", "weight", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    hit = words.groupBy("doc_id", "term").agg(F.sum("weight").alias("tf"))
-    found = hit.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.lit(IDF_FLOOR), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    weights = found.crossJoin(F.broadcast(stats)).select("term", idf.alias("idf"), "mean_len")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
-    scored = asked.join(weights, "term").join(hit, "term").join(lengths, "doc_id").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return top(scored, k).select("query_id", "doc_id", "score", "rank")
+    each = F.explode(F.array(*(F.struct(F.lit(float(w)).alias("weight"), text.tokens(F.col(f)).alias("w")) for f, w in fields.items())))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), each.alias("f")).select("doc_id", "f.weight", "f.w")
+    return _scored(query_terms(queries, query_id, query_text), rows, k)
 
 
 def knn(data: DataFrame, queries: DataFrame, k: int, metric: str = "l2", decimals: int = 6) -> DataFrame:
