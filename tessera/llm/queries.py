@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_zip": warc_zip.ORACLE, "op6_covertree": covertree.ORACLE, "op8_mixing": mixing.ORACLE}
+    return {"op2_warc_zip": warc_zip.ORACLE, "op6_covertree": covertree.ORACLE, "op7_minmax_dedup": minmax_dedup.ORACLE, "op8_mixing": mixing.ORACLE}
