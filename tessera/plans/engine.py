@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import retrieval
-from tessera.operators.ann import CellIndex
+from tessera.operators.ann import CELLS, CellIndex
 from tessera.operators.bloom import Bloom
+from tessera.plans import retrieval as retrieval_plans
 from tessera.plans.registry import query
 from tessera.runtime import table
 from tessera.search import Engine, Options
@@ -30,10 +31,11 @@ def engine_search_hybrid(spark: SparkSession, d: str) -> DataFrame:
     return engine.search(asked).drop("parent_text")
 
 
-@query("dense_knn_cells")
+@query("dense_knn_cells", retrieval_plans.L2_SQL)
 def dense_knn_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The cell index with all cells probed is exact; tests measure the recall with fewer."""
     e = table(spark, d, "embeddings")
-    return CellIndex(e).search(e.filter("vec_id < 20"), 10)
+    return CellIndex(e).search(e.filter("vec_id < 20"), 10, probe=CELLS)
 
 
 @query("metadata_search", "SELECT event_id, event_type FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) >= 5")

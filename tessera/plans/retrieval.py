@@ -64,7 +64,10 @@ SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id OR
 """
 
 
-@query("dense_knn_l2", _knn_sql("1 / (1 + list_sum(list_transform(list_zip(q.e, v.e), lambda x: (x[1] - x[2]) * (x[1] - x[2]))))"))
+L2_SQL = _knn_sql("1 / (1 + list_sum(list_transform(list_zip(q.e, v.e), lambda x: (x[1] - x[2]) * (x[1] - x[2]))))")
+
+
+@query("dense_knn_l2", L2_SQL)
 def dense_knn_l2(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     return retrieval.knn(e, e.filter("vec_id < 20"), 10)
