@@ -172,6 +172,10 @@ def fit(features: np.ndarray, lengths: np.ndarray, states: np.ndarray, weight: n
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_per_label: int = SAMPLE_PER_LABEL) -> Model:
+    """Fit on about ``sample_per_label`` documents of each label outside the held-out quarter.
+
+    The sample's ids, bounded by that number, are broadcast: no text is shuffled.
+    """
     known = labels.filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     sample = per_class(known, "quality", sample_per_label)
 
@@ -180,7 +184,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_per_label: int = SAMPLE_PER
             found = [lines_of(t)[0] for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "lines": [f.ravel() for f in found]})
 
-    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(sample, "doc_id").select("doc_id", "quality", "text")
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
     rows = texts.mapInPandas(run, "doc_id long, quality int, lines array<double>").toPandas().sort_values("doc_id", kind="stable")
     found = [np.asarray(x, np.float64).reshape(-1, FEATURES) for x in rows["lines"]]
     if not found:
