@@ -48,12 +48,11 @@ def _scored(asked: DataFrame, fields: DataFrame, k: int) -> DataFrame:
     hit = words.join(terms, "term", "left_semi").groupBy("doc_id", "term").agg(F.sum("weight").alias("tf"), F.sum(F.when(F.col("term") == "", F.col("len"))).alias("len"))
     hit = materialize(hit, "postings")
     lengths = hit.filter("term = ''").select("doc_id", "len")
-    stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len"))
-    found = hit.filter("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.lit(IDF_FLOOR), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    weights = found.crossJoin(F.broadcast(stats)).select("term", idf.alias("idf"), "mean_len")  # one row of statistics
-    tf = F.col("tf")
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
+    n_docs, mean_len = lengths.agg(F.count("*"), F.avg("len")).first()
+    df, tf = F.col("df"), F.col("tf")
+    idf = F.greatest(F.lit(IDF_FLOOR), F.log((F.lit(n_docs) - df + 0.5) / (df + 0.5)))
+    weights = hit.filter("term <> ''").groupBy("term").agg(F.count("*").alias("df")).select("term", idf.alias("idf"))
+    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(mean_len)))
     scored = hit.select("doc_id", "term", "tf").join(weights, "term").join(asked, "term").join(lengths, "doc_id").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     return top(scored, k).select("query_id", "doc_id", "score", "rank")
 
