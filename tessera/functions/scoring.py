@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 LEVEL_SCORES = (0.2, 0.4, 0.6, 0.8, 1.0)
 RETRY_SECONDS = (60, 300, 900, 3600, 21600)
 DECAY_PER_DAY = 0.01
+RESERVED_TOKENS = 3
+ERROR_CLASSES = (
+    ("LLM_TRANSPORT", "llm_transport"), ("LLM_RATE_LIMIT", "quota_exceeded"), ("LLM_BAD_BODY", "invalid_response"), ("LLM_HTTP", "llm_http"),
+    ("LLM_TIMEOUT", "llm_timeout"), ("LLM_CIRCUIT_OPEN", "circuit_open"), ("LLM_QUOTA", "quota_exceeded"), ("INVALID_RESPONSE", "invalid_response"),
+)
 RERANK_WEIGHT, FUSION_WEIGHT, QUALITY_WEIGHT = 0.7, 0.3, 0.2
 # ---------------------------------------------------------------------------------------
 
@@ -78,13 +83,27 @@ def blend(rerank: Column, fused: Column) -> Column:
     return F.lit(RERANK_WEIGHT) * rerank + F.lit(FUSION_WEIGHT) * fused
 
 
-def cost_micro_usd(tokens_in: Column, tokens_out: Column, in_per_million: int, out_per_million: int) -> Column:
-    """Micro-dollars from prices in micro-dollars for a million tokens."""
-    return F.expr("0") + F.floor((tokens_in.cast("long") * in_per_million + tokens_out.cast("long") * out_per_million) / 1_000_000).cast("long")
+def cost_micro_usd(tokens_in: Column, tokens_out: Column, in_per_1k: int, out_per_1k: int) -> Column:
+    """Micro-dollars, rounded down, from prices in micro-dollars for a thousand tokens."""
+    spent = F.greatest(F.lit(0), tokens_in).cast("long") * in_per_1k + F.greatest(F.lit(0), tokens_out).cast("long") * out_per_1k
+    return ((spent - F.pmod(spent, F.lit(1000))) / 1000).cast("long")
 
 
-def retry_delay(attempt: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, RETRY_SECONDS)), F.greatest(F.lit(1), F.least(F.lit(len(RETRY_SECONDS)), attempt)))
+def retry_delay(attempts: Column) -> Column:
+    """Seconds until the next try after so many attempts (from 0)."""
+    return F.element_at(F.array(*map(F.lit, RETRY_SECONDS)), F.greatest(F.lit(0), F.least(F.lit(len(RETRY_SECONDS) - 1), attempts)) + 1)
+
+
+def cleanup_backoff(attempt: Column) -> Column:
+    """Seconds to wait after the first, second and third failure; 0: no more tries."""
+    return F.when(attempt == 1, 60).when(attempt == 2, 300).when(attempt == 3, 900).otherwise(0)
+
+
+def processing_level(parser: Column, enricher: Column, captioned: Column, is_metadata: Column) -> Column:
+    """0-4 by the best of what parsed, enriched and captioned a block; metadata blocks are 0."""
+    by_parser = F.when(parser.isin("docling", "docling+paddleocr"), 2).when(parser == "paddleocr", 1).otherwise(0)
+    by_enricher = F.when(enricher == "llm", 4).when(enricher.isin("contextual", "hype"), 3).otherwise(0)
+    return F.when(is_metadata, 0).otherwise(F.greatest(by_parser, by_enricher, F.when(captioned, 4).otherwise(0)))
 
 
 def next_daily_run(now_s: Column, hour: int = 2) -> Column:
@@ -96,11 +115,17 @@ def is_sealed(vectors: Column, size_bytes: Column, most_vectors: int, most_bytes
     return (vectors >= most_vectors) | (size_bytes >= most_bytes)
 
 
-def error_class(text: Column) -> Column:
-    low = F.lower(text)
-    has = lambda *w: low.rlike("|".join(w))
-    return F.when(has("timeout", "timed out"), "timeout").when(has("rate", "429"), "rate_limit").when(has("parse", "json"), "parse").when(has("connect", "network"), "network").otherwise("other")
+def error_class(message: Column) -> Column:
+    """A short reason for a degraded answer; transport errors come before the deadline they cause."""
+    reason = F.lit("llm_error")
+    for token, name in reversed(ERROR_CLASSES):
+        reason = F.when(F.contains(message, F.lit(token)), name).otherwise(reason)
+    return reason
+
+
+def passage_budget(query_tokens: Column, longest: int = 512) -> Column:
+    return F.greatest(F.lit(0), F.lit(longest) - query_tokens - RESERVED_TOKENS)
 
 
-def passage_length(tokens: Column, budget: int = 512) -> Column:
-    return F.when(tokens == 0, "empty").when(tokens <= budget // 4, "short").when(tokens <= budget, "fits").otherwise("truncated")
+def passage_length(query_tokens: Column, passage_tokens: Column, longest: int = 512) -> Column:
+    return F.when(passage_tokens <= passage_budget(query_tokens, longest), "normal").when(passage_tokens > 4 * longest, "extremely_long").otherwise("truncated")

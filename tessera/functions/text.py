@@ -90,9 +90,9 @@ def trim_space(text: Column) -> Column:
     return F.regexp_replace(text, r"^[ \t\r\n\f\x0B]+|[ \t\r\n\f\x0B]+$", "")
 
 
-def snippet(text: Column, most: int = 500, head: int = 250, tail: int = 250) -> Column:
-    """Head, an ellipsis and tail of a long text."""
-    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, head), F.lit("..."), F.right(text, F.lit(tail)))).otherwise(text)
+def snippet(text: Column, most: int = 500, head: int = 400, tail: int = 100) -> Column:
+    """Head, a mark and tail of a long text."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, head), F.lit("[...]"), F.right(text, F.lit(tail)))).otherwise(text)
 
 
 def truncate_bytes(text: Column, most: int) -> Column:

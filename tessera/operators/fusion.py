@@ -76,13 +76,13 @@ def weighted_fusion(lists: DataFrame, original: float = 1.7, variant: float = 0.
 
 def anchor_count(first: Column, second: Column, third: Column, cap: int = 3) -> Column:
     """How many of the original query's leading results stay in front."""
-    return F.when(third >= 0.45 * first, cap).when(second >= 0.35 * first, 2).otherwise(1)
+    return F.when((first <= 0) | second.isNull(), 1).when(F.coalesce(third, second) >= 0.45 * first, cap).when(second >= 0.35 * first, min(2, cap)).otherwise(1)
 
 
 def with_anchors(fused: DataFrame, original: DataFrame, cap: int = 3) -> DataFrame:
     """Put the original's leading results first, the rest of the fused order after them."""
     at = lambda n: F.max(F.when(F.col("rank") == n, F.col("raw_score")))
-    heads = original.groupBy("query_id").agg(anchor_count(at(1), F.coalesce(at(2), F.lit(0.0)), F.coalesce(at(3), F.lit(0.0)), cap).alias("anchors"))
+    heads = original.groupBy("query_id").agg(anchor_count(at(1), at(2), at(3), cap).alias("anchors"))
     anchored = original.join(heads, "query_id").filter(F.col("rank") <= F.col("anchors")).select("query_id", "id", F.col("rank").alias("anchor"))
     joined = fused.join(anchored, ["query_id", "id"], "left")
     order = Window.partitionBy("query_id").orderBy(F.col("anchor").isNull(), "anchor", "position")
@@ -170,7 +170,7 @@ def crag_signals(scored: DataFrame, high: float = 0.5, by: str = "query_id") ->
     """Top score, median, population deviation, share of high scores, gap of first to fifth, verdict."""
     order = Window.partitionBy(by).orderBy(F.desc("score"), "doc_id")
     ranked = scored.withColumn("_n", F.row_number().over(order))
-    fifth = F.coalesce(F.max(F.when(F.col("_n") == 5, F.col("score"))), F.min("score"))
+    fifth = F.max(F.when(F.col("_n") == 5, F.col("score")))  # null with fewer than five
     found = ranked.groupBy(by).agg(
         F.max("score").alias("top1"), F.expr("percentile(score, 0.5)").alias("median"), F.coalesce(F.stddev_pop("score"), F.lit(0.0)).alias("std"),
         F.avg(F.when(F.col("score") >= high, 1.0).otherwise(0.0)).alias("high_ratio"), (F.max("score") - fifth).alias("gap"), F.count("*").alias("n"),
@@ -181,10 +181,10 @@ def crag_signals(scored: DataFrame, high: float = 0.5, by: str = "query_id") ->
 
 
 def crag_keep(scored: DataFrame, signals: DataFrame, by: str = "query_id") -> DataFrame:
-    """Ambiguous answers keep their better half, rounded up; incorrect ones keep nothing."""
+    """Ambiguous answers keep their better half, rounded up; all others stay as they are."""
     order = Window.partitionBy(by).orderBy(F.desc("score"), "doc_id")
     ranked = scored.withColumn("rank", F.row_number().over(order)).join(signals.select(by, "verdict", "n"), by)
-    keep = F.when(F.col("verdict") == "ambiguous", F.ceil(F.col("n") / 2)).when(F.col("verdict") == "incorrect", 0).otherwise(F.col("n"))
+    keep = F.when(F.col("verdict") == "ambiguous", F.ceil(F.col("n") / 2)).otherwise(F.col("n"))
     return ranked.filter(F.col("rank") <= keep).drop("n")
 
 
@@ -214,12 +214,12 @@ def route_decision(
     return predicted, "predicted"
 
 
-def wants_variants(scores: DataFrame, margin: float = 0.2, by: str = "query_id") -> DataFrame:
-    """Whether rewriting a query is worth it: its first two scores lie close together."""
+def wants_variants(scores: DataFrame, margin: float = 0.2, least: int = 2, by: str = "query_id") -> DataFrame:
+    """Whether rewriting a query is worth it: few results, or its first two scores lie close together."""
     at = lambda n: F.max(F.when(F.col("rank") == n, F.col("score")))
-    found = scores.groupBy(by).agg(at(1).alias("first"), at(2).alias("second"))
-    gap = (F.col("first") - F.col("second")) / F.col("first")
-    return found.withColumn("expand", F.coalesce(gap < margin, F.lit(True)))
+    found = scores.groupBy(by).agg(at(1).alias("first"), at(2).alias("second"), F.count("*").alias("n"))
+    clear = (F.col("n") >= max(2, least)) & (F.col("first") > F.col("second")) & (F.col("first") - F.col("second") >= margin)
+    return found.withColumn("expand", ~F.coalesce(clear, F.lit(False))).drop("n")
 
 
 # --- listwise reranking -----------------------------------------------------------------

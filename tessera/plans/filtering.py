@@ -178,7 +178,7 @@ def metadata_block_text(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", block_text(docs).alias("block_text"))
 
 
-@query("snippets", "SELECT doc_id, CASE WHEN length(text) > 500 THEN substr(text, 1, 250) || '...' || right(text, 250) ELSE text END AS snippet FROM documents")
+@query("snippets", "SELECT doc_id, CASE WHEN length(text) > 500 THEN substr(text, 1, 400) || '[...]' || right(text, 100) ELSE text END AS snippet FROM documents")
 def snippets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.snippet(F.col("text")).alias("snippet"))
 
@@ -251,10 +251,10 @@ def deleted_before(spark: SparkSession, d: str) -> DataFrame:
     return readers.deleted_before(docs, 400_000).select("doc_id", "deleted_at")
 
 
-@query("mime_inference", r"SELECT page_id, lower(regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '\.([A-Za-z0-9]+)$', 1)) AS ext, CASE WHEN ends_with(split_part(split_part(url, '?', 1), '#', 1), '.html') THEN 'text/html' ELSE 'application/octet-stream' END AS mime, CASE WHEN ends_with(split_part(split_part(url, '?', 1), '#', 1), '.html') THEN 1 ELSE 0 END AS level FROM pages")
+@query("mime_inference", r"SELECT page_id, lower(regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '\.([A-Za-z0-9]+)$', 1)) AS ext, CASE WHEN ends_with(split_part(split_part(url, '?', 1), '#', 1), '.html') THEN 'text/html' ELSE 'application/octet-stream' END AS mime, CAST(1 AS INTEGER) AS block_type, CAST(3 AS INTEGER) AS level FROM pages")
 def mime_inference(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^[^?#]*", 0).alias("path"))
-    return readers.with_format(files).select("page_id", "ext", "mime", "level")
+    return readers.with_format(files).select("page_id", "ext", "mime", "block_type", "level")
 
 
 @query("rows_to_text_per_row", "SELECT n_nationkey AS first_id, CAST(1 AS INTEGER) AS n_rows, 'n_nationkey: ' || n_nationkey || chr(10) || 'n_name: ' || n_name || chr(10) AS text FROM nation")

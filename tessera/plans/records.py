@@ -85,9 +85,9 @@ def enrich_merge(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.merge_enriched(rows, ["summary"])
 
 
-@query("llm_cost", "SELECT event_id, (user_id * 150000 + event_id * 600000) // 1000000 AS micro_usd FROM events")
+@query("llm_cost", "SELECT event_id, (user_id * 150 + event_id * 600) // 1000 AS micro_usd FROM events")
 def llm_cost(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", scoring.cost_micro_usd(F.col("user_id"), F.col("event_id"), 150_000, 600_000).alias("micro_usd"))
+    return table(spark, d, "events").select("event_id", scoring.cost_micro_usd(F.col("user_id"), F.col("event_id"), 150, 600).alias("micro_usd"))
 
 
 @query("chunk_recursive")

@@ -196,8 +196,8 @@ def rrf_weighted(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "rrf_weighted_anchor",
-    f"""WITH {VARIANTS}, h AS (SELECT query_id, max(raw_score) FILTER (rank = 1) AS a, coalesce(max(raw_score) FILTER (rank = 2), 0) AS b, coalesce(max(raw_score) FILTER (rank = 3), 0) AS c FROM vs WHERE variant = 0 GROUP BY 1),
-n AS (SELECT query_id, CASE WHEN c >= 0.45 * a THEN 3 WHEN b >= 0.35 * a THEN 2 ELSE 1 END AS anchors FROM h),
+    f"""WITH {VARIANTS}, h AS (SELECT query_id, max(raw_score) FILTER (rank = 1) AS a, max(raw_score) FILTER (rank = 2) AS b, max(raw_score) FILTER (rank = 3) AS c FROM vs WHERE variant = 0 GROUP BY 1),
+n AS (SELECT query_id, CASE WHEN a <= 0 OR b IS NULL THEN 1 WHEN coalesce(c, b) >= 0.45 * a THEN 3 WHEN b >= 0.35 * a THEN 2 ELSE 1 END AS anchors FROM h),
 an AS (SELECT query_id, id, rank AS anchor FROM vs JOIN n USING (query_id) WHERE variant = 0 AND rank <= anchors)
 SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY anchor IS NULL, anchor, position) AS INTEGER) AS final FROM wp LEFT JOIN an USING (query_id, id)""",
 )
@@ -265,7 +265,7 @@ def rerank_blend_quality(spark: SparkSession, d: str) -> DataFrame:
     "semantic_level_score",
     """
 SELECT doc_id, CAST(least(doc_id % 6, 4) AS INTEGER) AS level, [0.2::DOUBLE, 0.4, 0.6, 0.8, 1.0][1 + least(doc_id % 6, 4)] AS score,
-  CAST(CASE WHEN doc_id % 9 > 4 THEN 21600 ELSE [60, 300, 900, 3600, 21600][greatest(1, doc_id % 9)] END AS INTEGER) AS retry_s,
+  CAST([60, 300, 900, 3600, 21600][1 + least(4, doc_id % 9)] AS INTEGER) AS retry_s,
   greatest(exp(-0.01::DOUBLE * (doc_id % 400)), 0.1::DOUBLE) AS decay
 FROM documents
 """,
@@ -335,7 +335,7 @@ def child_parent_top3(spark: SparkSession, d: str) -> DataFrame:
 CRAG = f"""{BM25_CTES.replace('{k}', '12')}, sc AS (SELECT query_id, doc_id, round(score / 100, 6) AS score FROM bm),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM sc),
 sg AS (SELECT query_id, max(score) AS top1, median(score) AS med, stddev_pop(score) AS sd, avg(CASE WHEN score >= 0.5 THEN 1.0::DOUBLE ELSE 0.0 END) AS hr,
-  max(score) - coalesce(max(score) FILTER (n = 5), min(score)) AS gap, count(*) AS n FROM rk GROUP BY 1),
+  max(score) - max(score) FILTER (n = 5) AS gap, count(*) AS n FROM rk GROUP BY 1),
 cf AS (SELECT *, greatest(0, least(1, 0.7::DOUBLE * top1 + 0.3::DOUBLE * hr)) AS confidence FROM sg),
 vd AS (SELECT *, CASE WHEN confidence >= 0.7 THEN 'correct' WHEN confidence < 0.3 THEN 'incorrect' ELSE 'ambiguous' END AS verdict FROM cf)"""
 
@@ -357,16 +357,16 @@ def crag_signals(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "crag_halve",
     f"WITH {CRAG} SELECT query_id, doc_id, sc.score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc.score DESC, doc_id) AS INTEGER) AS rank, verdict FROM sc JOIN vd USING (query_id) "
-    "QUALIFY rank <= CASE verdict WHEN 'ambiguous' THEN ceil(n / 2.0) WHEN 'incorrect' THEN 0 ELSE n END",
+    "QUALIFY rank <= CASE verdict WHEN 'ambiguous' THEN ceil(n / 2.0) ELSE n END",
 )
 def crag_halve(spark: SparkSession, d: str) -> DataFrame:
     return fusion.crag_keep(*_crag(spark, d)).select("query_id", "doc_id", "score", "rank", "verdict")
 
 
-@query("variant_policy", f"WITH {CRAG} SELECT query_id, max(score) FILTER (n = 1) AS first, max(score) FILTER (n = 2) AS second, coalesce((first - second) / first < 0.2, true) AS expand FROM rk GROUP BY 1")
+@query("variant_policy", f"WITH {CRAG} SELECT query_id, max(score) FILTER (n = 1) AS first, max(score) FILTER (n = 2) AS second, NOT coalesce(count(*) >= 2 AND first > second AND first - second >= 0.01, false) AS expand FROM rk GROUP BY 1")
 def variant_policy(spark: SparkSession, d: str) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return fusion.wants_variants(_crag(spark, d)[0].withColumn("rank", F.row_number().over(order)))
+    return fusion.wants_variants(_crag(spark, d)[0].withColumn("rank", F.row_number().over(order)), 0.01)
 
 
 @query(

@@ -6,12 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values -------------------------------------------------------------------------
-BLOCK_TYPES = {1: "TEXT", 2: "TABLE", 3: "IMAGE", 4: "CODE", 5: "MEMORY", 6: "AUDIO", 7: "VIDEO"}
+BLOCK_TYPES = {1: "FILE", 2: "SCAN", 3: "DATABASE", 4: "AUDIO", 5: "VIDEO", 6: "IMAGE", 7: "MEMORY"}
+#: Types that filters don't name.
+METADATA_BLOCK, QUESTION_BLOCK, SUMMARY_BLOCK = 8, 16, 17
 DOC_STATUS = ("pending", "processing", "ready", "stale", "error", "deleting", "deleted")
 # ---------------------------------------------------------------------------------------
 
-
-
 DDL = {
     "documents": "doc_id string, namespace_id string, source_type string, source_path string, content_hash string, status string, processing_level int, cdc_schema string, cdc_position string, cdc_last_sync string, metadata_json string, created_at string, deleted_at bigint",
     "blocks": "block_id bigint, doc_id string, chunk_index int, block_type int, content_text string, metadata_json string, enriched_score double, semantic_score double, flags_ext int",

@@ -12,13 +12,17 @@ from pyspark.sql import functions as F
 
 from tessera.operators.ordering import numbered
 
-# Extension to (MIME type, block type, processing level).
-FORMATS = {
-    "pdf": ("application/pdf", 1, 2), "docx": ("application/vnd.openxmlformats-officedocument.wordprocessingml.document", 1, 2),
-    "pptx": ("application/vnd.openxmlformats-officedocument.presentationml.presentation", 1, 2), "xlsx": ("application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", 2, 2),
-    "html": ("text/html", 1, 1), "md": ("text/markdown", 1, 1), "txt": ("text/plain", 1, 1), "csv": ("text/csv", 2, 1), "json": ("application/json", 2, 1), "xml": ("application/xml", 1, 1),
-    "png": ("image/png", 3, 3), "jpg": ("image/jpeg", 3, 3), "tiff": ("image/tiff", 3, 3),
+# Fixed values -------------------------------------------------------------------------
+MIME_TYPES = {
+    "pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "doc": "application/msword",
+    "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "xls": "application/vnd.ms-excel", "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+    "md": "text/markdown", "markdown": "text/markdown", "txt": "text/plain", "csv": "text/csv", "html": "text/html", "htm": "text/html", "json": "application/json", "xml": "application/xml",
+    "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "tiff": "image/tiff", "tif": "image/tiff", "bmp": "image/bmp", "tmp": "application/x-temp", "bak": "application/x-temp",
+    "exe": "application/x-executable", "dll": "application/x-executable", "so": "application/x-executable", "ttf": "font/ttf", "otf": "font/ttf", "woff": "font/ttf",
 }
+FILE_BLOCK, SCAN_BLOCK, FULL_LEVEL, SKIP_LEVEL = 1, 2, 3, 0
+SKIPPED = ("application/x-temp", "application/x-executable", "font/ttf")
+# ---------------------------------------------------------------------------------------
 
 
 def documents_by(docs: DataFrame, **equal: object) -> DataFrame:
@@ -45,11 +49,16 @@ def extension(path: Column) -> Column:
 
 
 def with_format(files: DataFrame, path: str = "path") -> DataFrame:
-    """Adds mime, block_type, level by extension; unknown ones are plain bytes of level 0."""
-    rows = [(k, *v) for k, v in FORMATS.items()]
-    dim = files.sparkSession.createDataFrame(rows, "ext string, mime string, block_type int, level int")
-    joined = files.withColumn("ext", extension(F.col(path))).join(F.broadcast(dim), "ext", "left")  # len(FORMATS) rows
-    return joined.withColumns({"mime": F.coalesce("mime", F.lit("application/octet-stream")), "block_type": F.coalesce("block_type", F.lit(1)), "level": F.coalesce("level", F.lit(0))})
+    """Adds ext, mime, block_type and level: images are scans, temporary files, programs and fonts are skipped."""
+    dim = files.sparkSession.createDataFrame(list(MIME_TYPES.items()), "ext string, mime string")
+    joined = files.withColumn("ext", extension(F.col(path))).join(F.broadcast(dim), "ext", "left")  # len(MIME_TYPES) rows
+    mime = F.coalesce("mime", F.lit("application/octet-stream"))
+    block = F.when(mime.startswith("image/"), SCAN_BLOCK).otherwise(FILE_BLOCK)
+    return joined.withColumns({"mime": mime, "block_type": block, "level": F.when(mime.isin(*SKIPPED), SKIP_LEVEL).otherwise(FULL_LEVEL)})
+
+
+def needs_ocr(mime: Column, has_text: Column) -> Column:
+    return mime.startswith("image/") | ((mime == "application/pdf") & ~has_text)
 
 
 def scan_directory(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:

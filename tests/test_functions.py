@@ -72,7 +72,7 @@ def test_names_and_masks(spark):
     assert one(spark, text.mask("pii", F.lit("192.168.1.7"), "ip_address")) == "192.168.***.***"
     assert one(spark, text.mask("pii", F.lit("::1"), "ip_address")) == "***"
     assert one(spark, text.truncate_bytes(F.lit("aé你b"), 4)) == "aé"
-    assert one(spark, text.snippet(F.lit("x" * 600))) == "x" * 250 + "..." + "x" * 250
+    assert one(spark, text.snippet(F.lit("x" * 600))) == "x" * 400 + "[...]" + "x" * 100
 
 
 def test_scores(spark):
@@ -87,8 +87,26 @@ def test_scores(spark):
     assert one(spark, scoring.blend(F.lit(0.9), F.lit(0.1))) == pytest.approx(0.66)
     assert one(spark, scoring.with_quality(F.lit(1.0), F.lit(1.0))) == pytest.approx(1.1)
     assert one(spark, scoring.with_quality(F.lit(1.0), F.lit(None).cast("double"))) == 1.0
-    assert [one(spark, scoring.retry_delay(F.lit(i))) for i in (0, 1, 5, 9)] == [60, 60, 21600, 21600]
+    assert [one(spark, scoring.retry_delay(F.lit(i))) for i in (-1, 0, 1, 4, 9)] == [60, 60, 300, 21600, 21600]
+    assert [one(spark, scoring.cleanup_backoff(F.lit(i))) for i in (1, 2, 3, 4)] == [60, 300, 900, 0]
+    assert one(spark, scoring.error_class(F.lit("X_LLM_HTTP inside LLM_TIMEOUT"))) == "llm_http" and one(spark, scoring.error_class(F.lit("?"))) == "llm_error"
+    assert [one(spark, scoring.passage_length(F.lit(9), F.lit(n))) for n in (500, 501, 2049)] == ["normal", "truncated", "extremely_long"]
+    assert one(spark, scoring.cost_micro_usd(F.lit(1500), F.lit(-1), 3, 9)) == 4
+    assert one(spark, scoring.processing_level(F.lit("docling"), F.lit("hype"), F.lit(False), F.lit(False))) == 3
     assert one(spark, scoring.next_daily_run(F.lit(0))) == 7200
     assert one(spark, scoring.next_daily_run(F.lit(7200))) == 7200 + 86400
     assert one(spark, scoring.bad_vector(v(0.0, 0.0))) and one(spark, scoring.bad_vector(v(float("nan")))) and not one(spark, scoring.bad_vector(v(0.0, 1.0)))
     assert one(spark, scoring.score_of_rank(F.lit(-3.0))) == 0.25
+
+
+def test_schemas(spark):
+    from pyspark.sql import types as T
+
+    from tessera import schemas
+
+    assert one(spark, schemas.block_type_name(F.lit(2))) == "SCAN" and one(spark, schemas.block_type_name(F.lit(16))) == "UNKNOWN"
+    assert schemas.block_type_code("memory") == 7
+    with pytest.raises(ValueError):
+        schemas.block_type_code("unknown")
+    for ddl in schemas.DDL.values():
+        assert isinstance(spark.createDataFrame([], ddl).schema, T.StructType)

@@ -46,8 +46,8 @@ def test_fusion_ignores_order(spark):
 
 
 def test_anchors(spark):
-    counts = spark.createDataFrame([(1.0, 0.5, 0.45), (1.0, 0.35, 0.4), (1.0, 0.3, 0.2)], "a double, b double, c double")
-    assert rows(counts.select(fusion.anchor_count(F.col("a"), F.col("b"), F.col("c")).alias("n")), "n") == [(3,), (2,), (1,)]
+    counts = spark.createDataFrame([(1.0, 0.5, 0.45), (1.0, 0.35, 0.4), (1.0, 0.3, 0.2), (1.0, 0.5, None), (1.0, None, None), (0.0, 0.0, 0.0)], "a double, b double, c double")
+    assert rows(counts.select(fusion.anchor_count(F.col("a"), F.col("b"), F.col("c")).alias("n")), "n") == [(3,), (2,), (1,), (3,), (1,), (1,)]
 
 
 def test_sparse_dot(spark):
