@@ -153,8 +153,8 @@ def integer_vectors(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, n: int, name: str, *more: str) -> DataFrame:
-    """One row per block: rows are dealt by their id's hash, so a block's size is bounded."""
-    dealt = rows.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(name))
+    """One row per block: rows are dealt by the hash of id and vector, so a block's size is bounded."""
+    dealt = rows.groupBy(F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int").alias(name))
     return dealt.agg(F.array_sort(F.collect_list(F.struct("vec_id", "v", *more))).alias(f"{name}_rows"))
 
 

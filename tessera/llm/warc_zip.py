@@ -203,6 +203,11 @@ def plan_records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFr
     return joined.select("p.page_id", "p.url", "p.html", "p.digest", other.alias("refers_to"))
 
 
+def _storage(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a folder or file that Spark names: file, hdfs, s3a, gs."""
+    return pafs.FileSystem.from_uri("s3://" + uri[6:] if uri.startswith("s3a://") else uri)
+
+
 def write_packages(planned: DataFrame, folder: str, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
     """Write packages into a folder that all executors share; path, size and records of each.
 
@@ -214,7 +219,7 @@ def write_packages(planned: DataFrame, folder: str, package_bytes: int = PACKAGE
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        fs, base = pafs.FileSystem.from_uri(folder)
+        fs, base = _storage(folder)
         fs.create_dir(base, recursive=True)
         made: list[tuple[str, int, int]] = []
         package = stream = None
@@ -274,7 +279,7 @@ def read_packages(manifest: DataFrame) -> DataFrame:
         number = lambda x: int(x.removeprefix("<urn:page:").removesuffix(">") or -1) if x else -1
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                fs, name = pafs.FileSystem.from_uri(path)
+                fs, name = _storage(path)
                 rows = []
                 with fs.open_input_file(name) as file:
                     for fields, http, payload in records(file, file.size()):
