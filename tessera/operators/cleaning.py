@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scoring, text
@@ -29,16 +29,23 @@ def exact_dedup(blocks: DataFrame, text_col: str = "text", order_col: str = "doc
     return named.join(first, order_col)
 
 
-def anomalies(blocks: DataFrame, id_col: str, text_col: str, vector_col: str | None = None, status: str | None = None, id_counts: bool = True) -> DataFrame:
+def _parse_failed(column: str) -> Column:
+    """Either signal of the parser counts; keys are flat or nested."""
+    at = lambda key: F.coalesce(F.get_json_object(column, f"$['meta.{key}']"), F.get_json_object(column, f"$.meta.{key}"))
+    return F.coalesce(at("parse_status") == "failed", F.lit(False)) | at("parse_failed_page").isNotNull()
+
+
+def anomalies(blocks: DataFrame, id_col: str, text_col: str, vector_col: str | None = None, status: str | None = None, id_counts: bool = True, order_col: str | None = None) -> DataFrame:
     """Adds ``reasons`` (array, in the fixed order) and ``anomalous``.
 
-    empty, oversized (bytes), parse_failed, invalid_embedding, duplicate_id (all but the first).
+    empty, oversized (bytes), parse_failed, invalid_embedding, duplicate_id (all but the first
+    by ``order_col``, else by text). ``status`` names the metadata column.
     """
     body = F.coalesce(F.col(text_col), F.lit(""))
-    again = F.row_number().over(Window.partitionBy(id_col).orderBy(body)) > 1 if id_counts else F.lit(False)
+    again = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(order_col) if order_col else body)) > 1 if id_counts else F.lit(False)
     reasons = [
-        F.when(F.length(text.trim_space(body)) == 0, "empty"), F.when(F.octet_length(body) > MOST_BYTES, "oversized"),
-        F.when(F.get_json_object(status, "$.meta.parse_status") == "failed", "parse_failed") if status else F.lit(None).cast("string"),
+        F.when(F.length(body) == 0, "empty"), F.when(F.octet_length(body) > MOST_BYTES, "oversized"),
+        F.when(_parse_failed(status), "parse_failed") if status else F.lit(None).cast("string"),
         F.when(scoring.bad_vector(F.col(vector_col)), "invalid_embedding") if vector_col else F.lit(None).cast("string"), F.when(again, "duplicate_id"),
     ]
     found = blocks.withColumn("reasons", F.array_compact(F.array(*reasons)))

@@ -162,7 +162,8 @@ def children_per_parent(hits: DataFrame, cap: int = 3, by: str = "query_id") ->
     inside = Window.partitionBy(by, "group_key").orderBy(F.desc("score"), "child_id")
     rows = hits.withColumn("group_key", key).withColumn("child_position", F.row_number().over(inside))
     rows = rows.withColumn("top", F.max("score").over(Window.partitionBy(by, "group_key"))).filter(F.col("child_position") <= cap)
-    groups = Window.partitionBy(by).orderBy(F.desc("top"), "group_key")
+    tie = F.when(F.coalesce("parent_id", F.lit("")) == "", F.col("child_id")).otherwise(F.col("parent_id"))
+    groups = Window.partitionBy(by).orderBy(F.desc("top"), tie, "group_key")
     return rows.withColumn("group_rank", F.dense_rank().over(groups)).withColumn("is_primary", F.col("child_position") == 1).drop("top")
 
 

@@ -22,12 +22,14 @@ def operation_log(rows: DataFrame, *, actions: Sequence[str] | None = None, sinc
 
 
 def retained(rows: DataFrame, cutoff_ms: int, most: int, time_col: str = "timestamp", id_col: str = "id") -> DataFrame:
-    """Rows young enough, and of those the newest ``most``.
+    """Rows young enough, and of those the newest ``most`` (0: all).
 
     The quota is found by counting per day first: only the one day in which it runs out is
     ranked row by row, so nothing sorts the whole log.
     """
     young = rows.filter(F.col(time_col) >= cutoff_ms)
+    if most <= 0:
+        return young
     day = F.floor(F.col(time_col) / 86_400_000)
     per_day = young.groupBy(day.alias("d")).agg(F.count("*").alias("n"))
     newer = Window.orderBy(F.desc("d")).rowsBetween(Window.unboundedPreceding, -1)

@@ -55,9 +55,9 @@ def parse_facts(answer: str) -> list[dict]:
 
 
 def contradiction_pairs(new_facts: DataFrame, facts: DataFrame, n: int = NEWEST_FACTS) -> DataFrame:
-    """Each new fact with its user's newest n active facts: what a judge is asked about."""
+    """Each new fact with its user's newest n active facts and preferences: what a judge is asked about."""
     at = Window.partitionBy("user_id").orderBy(F.desc("created_s"), F.desc("block_id"))
-    recent = facts.filter("status = 'active'").withColumn("nth", F.row_number().over(at)).filter(F.col("nth") <= n)
+    recent = facts.filter((F.col("status") == "active") & F.col("memory_type").isin("fact", "preference")).withColumn("nth", F.row_number().over(at)).filter(F.col("nth") <= n)
     old = recent.select("user_id", F.col("block_id").alias("old_id"), F.col("content").alias("old_content"), "nth")
     return new_facts.select("user_id", F.col("block_id").alias("new_id"), F.col("content").alias("new_content")).join(old, "user_id")
 

@@ -22,7 +22,7 @@ def exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.exact_dedup(table(spark, d, "documents")).select("doc_id", "text_hash", "copies")
 
 
-MARKED = """m AS (SELECT conv_id, turn, list_filter([CASE WHEN length(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) = 0 THEN 'empty' END, CASE WHEN octet_length(encode(text)) > 10000 THEN 'oversized' END,
+MARKED = """m AS (SELECT conv_id, turn, list_filter([CASE WHEN text = '' THEN 'empty' END, CASE WHEN octet_length(encode(text)) > 10000 THEN 'oversized' END,
   CASE WHEN row_number() OVER (PARTITION BY conv_id ORDER BY text) > 1 THEN 'duplicate_id' END], lambda x: x IS NOT NULL) AS reasons FROM conversations)"""
 
 
@@ -150,7 +150,7 @@ def memory_list(spark: SparkSession, d: str) -> DataFrame:
     return memory.listing(_facts(spark, d), "3", "event").select("block_id", "memory_type", "status")
 
 
-@query("contradiction_pairs", f"WITH {FACTS}, r AS (SELECT user_id, block_id AS old_id, row_number() OVER (PARTITION BY user_id ORDER BY created_s DESC, block_id DESC) AS nth FROM f WHERE status = 'active' QUALIFY nth <= 5) SELECT n.user_id, n.block_id AS new_id, r.old_id, CAST(r.nth AS INTEGER) AS nth FROM f n JOIN r USING (user_id) WHERE n.block_id % 100 = 0")
+@query("contradiction_pairs", f"WITH {FACTS}, r AS (SELECT user_id, block_id AS old_id, row_number() OVER (PARTITION BY user_id ORDER BY created_s DESC, block_id DESC) AS nth FROM f WHERE status = 'active' AND memory_type IN ('fact', 'preference') QUALIFY nth <= 5) SELECT n.user_id, n.block_id AS new_id, r.old_id, CAST(r.nth AS INTEGER) AS nth FROM f n JOIN r USING (user_id) WHERE n.block_id % 100 = 0")
 def contradiction_pairs(spark: SparkSession, d: str) -> DataFrame:
     facts = _facts(spark, d)
     return memory.contradiction_pairs(facts.filter("block_id % 100 = 0"), facts).select("user_id", "new_id", "old_id", "nth")

@@ -321,7 +321,7 @@ def scatter_coverage(spark: SparkSession, d: str) -> DataFrame:
 WITH h AS (SELECT doc_id % 3 AS query_id, CAST(doc_id AS VARCHAR) AS child_id, CASE WHEN doc_id % 13 = 0 THEN '' ELSE source END AS parent_id, round(CAST((doc_id * 53) % 97 AS DOUBLE) / 97, 6) AS score FROM documents),
 g AS (SELECT *, CASE WHEN parent_id = '' THEN 'flat:' || child_id ELSE parent_id END AS group_key FROM h),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, group_key ORDER BY score DESC, child_id) AS INTEGER) AS child_position, max(score) OVER (PARTITION BY query_id, group_key) AS top FROM g)
-SELECT query_id, child_id, group_key, score, child_position, child_position = 1 AS is_primary, CAST(dense_rank() OVER (PARTITION BY query_id ORDER BY top DESC, group_key) AS INTEGER) AS group_rank FROM r WHERE child_position <= 3
+SELECT query_id, child_id, group_key, score, child_position, child_position = 1 AS is_primary, CAST(dense_rank() OVER (PARTITION BY query_id ORDER BY top DESC, CASE WHEN parent_id = '' THEN child_id ELSE parent_id END, group_key) AS INTEGER) AS group_rank FROM r WHERE child_position <= 3
 """,
 )
 def child_parent_top3(spark: SparkSession, d: str) -> DataFrame:

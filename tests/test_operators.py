@@ -137,9 +137,9 @@ def test_semantic_dedup_is_a_sweep(spark, monkeypatch):
 
 
 def test_anomalies(spark):
-    df = spark.createDataFrame([(1, " ", [1.0], None), (1, "b", [0.0], None), (2, "x" * 10001, [1.0], '{"meta":{"parse_status":"failed"}}')], "id long, t string, v array<double>, m string")
+    df = spark.createDataFrame([(1, "", [1.0], None), (1, "b", [0.0], '{"meta.parse_status":"ok"}'), (2, "x" * 10001, [1.0], '{"meta":{"parse_status":"failed"}}'), (3, "c", [1.0], '{"meta.parse_failed_page":4}')], "id long, t string, v array<double>, m string")
     got = {(r["id"], tuple(r["reasons"])) for r in cleaning.anomalies(df, "id", "t", "v", "m").collect()}
-    assert got == {(1, ("empty",)), (1, ("invalid_embedding", "duplicate_id")), (2, ("oversized", "parse_failed"))}
+    assert got == {(1, ("empty",)), (1, ("invalid_embedding", "duplicate_id")), (2, ("oversized", "parse_failed")), (3, ("parse_failed",))}
 
 
 def test_enrichers(spark):
