@@ -157,13 +157,13 @@ def metadata_overlay(document: Column, block: Column) -> Column:
 
 
 def importable(files: DataFrame, ignore: list[str], extensions: list[str]) -> DataFrame:
-    """Files worth importing: no dot or backup file, no ignored pattern, a known extension."""
+    """Files worth importing: no dot or backup file, no ignored pattern, a listed extension if any are."""
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     ext = F.regexp_extract(name, r"\.([^.]+)$", 1)
     bad = name.startswith(".") | name.endswith("~")
     for pattern in ignore:
         bad = bad | name.rlike(text.wildcard_regex(pattern.lower()))
-    return files.filter(~bad & ext.isin(*[e.lower().lstrip(".") for e in extensions]))
+    return files.filter(~bad & ext.isin(*[e.lower().lstrip(".") for e in extensions]) if extensions else ~bad)
 
 
 def contains_text(rows: DataFrame, column: str, needle: str, order_col: str, limit: int = 20, tie: str = "id") -> DataFrame:

@@ -89,12 +89,12 @@ def delete(facts: DataFrame, ids: list[int], at_s: int) -> DataFrame:
 
 
 def preferences(mentions: DataFrame, now_s: int) -> DataFrame:
-    """Per (user, key): mentions, last time, and whether it is immune: said often enough, and lately.
+    """Per (user, key): mentions, first time, and whether it is immune: said often enough since lately.
 
-    A time that can't be read counts as lately.
+    The first mention must lie in the window; a time that can't be read does.
     """
-    said = mentions.groupBy("user_id", "pref_key").agg(F.count("*").alias("mention_count"), F.max("at_s").alias("last_s"))
-    lately = F.coalesce(F.lit(now_s) - F.col("last_s") <= IMMUNITY_DAYS * 86400, F.lit(True))
+    said = mentions.groupBy("user_id", "pref_key").agg(F.count("*").alias("mention_count"), F.min("at_s").alias("first_s"))
+    lately = F.coalesce(F.lit(now_s) - F.col("first_s") <= IMMUNITY_DAYS * 86400, F.lit(True))
     return said.withColumn("immune", (F.col("mention_count") >= MENTIONS_FOR_IMMUNITY) & lately)
 
 

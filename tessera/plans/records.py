@@ -163,10 +163,10 @@ def memory_invalidate(spark: SparkSession, d: str) -> DataFrame:
     return memory.invalidate(facts, verdicts, NOW).select("block_id", "status", "invalidated_by", "auto_revoke_eligible")
 
 
-@query("preference_immunity", f"SELECT user_id, event_type AS pref_key, CAST(count(*) AS BIGINT) AS mention_count, count(*) >= 2 AND {NOW} - max(CAST(floor(epoch(ts)) AS BIGINT)) <= 30 * 86400 AS immune FROM events GROUP BY ALL")
+@query("preference_immunity", f"SELECT user_id, event_type AS pref_key, CAST(count(*) AS BIGINT) AS mention_count, count(*) >= 2 AND {NOW} - min(CAST(floor(epoch(ts)) AS BIGINT)) <= 30 * 86400 AS immune FROM events GROUP BY ALL")
 def preference_immunity(spark: SparkSession, d: str) -> DataFrame:
     said = table(spark, d, "events").select("user_id", F.col("event_type").alias("pref_key"), F.unix_timestamp("ts").alias("at_s"))
-    return memory.preferences(said, NOW).drop("last_s")
+    return memory.preferences(said, NOW).drop("first_s")
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
