@@ -24,7 +24,7 @@ SHAPES = 24
 SHAPE_COUNT = 3000.0
 WIDTH = CLASSES * CLASSES + SHAPES
 #: Bounds of what is learned and broadcast.
-SAMPLE_PER_LABEL = 2048
+SAMPLE_PER_LABEL = 1024
 RANK = 64
 NEIGHBOURS = 25
 POWER = 8.0
@@ -100,12 +100,13 @@ def _fair(labels: np.ndarray) -> np.ndarray:
 
 
 def fit(features: np.ndarray, labels: np.ndarray) -> Model:
-    """Truncated SVD by a seeded randomised range finder."""
+    """Truncated SVD by a seeded randomised range finder; ``features`` is weighted in place."""
     if not len(labels):
         empty = np.zeros((0, RANK), np.float32)
         return Model(np.ones(WIDTH, np.float32), np.zeros((WIDTH, RANK), np.float32), empty, labels, 0.5, labels)
     idf = np.log((1 + len(features)) / (1 + (features > 0).sum(0))).astype(np.float32) + 1
-    weighed = np.log1p(features) * idf
+    weighed = np.log1p(features, out=features)
+    weighed *= idf
     weighed /= np.maximum(np.linalg.norm(weighed, axis=1, keepdims=True), 1e-12)
     rank = min(RANK, *weighed.shape)
     basis = np.random.default_rng(5).standard_normal((weighed.shape[1], min(rank + 16, *weighed.shape))).astype(np.float32)
@@ -113,7 +114,8 @@ def fit(features: np.ndarray, labels: np.ndarray) -> Model:
         basis, _ = np.linalg.qr(weighed.T @ (weighed @ basis))
     _, _, right = np.linalg.svd(weighed @ basis, full_matrices=False)
     model = Model(idf, (basis @ right[:rank].T).astype(np.float32), np.zeros((0, rank), np.float32), labels, float(labels.mean()), _fair(labels))
-    model.vectors = model.embed(features)
+    latent = weighed @ model.project
+    model.vectors = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
     return model
 
 
