@@ -95,6 +95,24 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     return state.select("source", "repeats", F.col("low").alias("threshold"))
 
 
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, h of every document."""
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    return sizes.withColumn("h", id_hash(F.col("doc_id")))
+
+
+def plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+    """source, source_size, target, repeats, threshold: one row per source. ``sizes`` is read several times."""
+    goals = materialize(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "mix-targets")
+    cuts = thresholds(sizes, goals)
+    return materialize(goals.alias("g").join(cuts.alias("c"), F.expr("g.source <=> c.source")).select("g.*", "repeats", "threshold"), "mix-plan")
+
+
+def copies(h: Column, most: int = MOST_REPEATS) -> Column:
+    """How often the mix takes a document, beside its source's ``repeats`` and ``threshold``."""
+    return F.least(F.col("repeats") + F.when(h < F.col("threshold"), 1).otherwise(0), F.lit(most)).cast("int")
+
+
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """doc_id, size, source_size, target, taken, and copies (how often the mix takes it).
 
@@ -103,15 +121,9 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_
     the source; Spark broadcasts the table of sources where its size allows and splits a hot
     source's rows where not.
     """
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    sizes = materialize(sizes.withColumn("h", id_hash(F.col("doc_id"))), "mix-sizes")
-    goals = materialize(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "mix-targets")
-    cuts = thresholds(sizes, goals)
-    plan = goals.alias("g").join(cuts.alias("c"), F.expr("g.source <=> c.source")).select("g.*", "repeats", "threshold")
-    copies = F.least(F.col("repeats") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0), F.lit(most))
-    return sizes.alias("s").join(plan.alias("p"), F.expr("s.source <=> p.source")).select(
-        "doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("int").alias("copies")
-    )
+    sizes = materialize(measured(docs), "mix-sizes")
+    rows = sizes.alias("s").join(plan(sizes, weights, most).alias("p"), F.expr("s.source <=> p.source")).withColumn("copies", copies(F.col("h"), most))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
 
 ORACLE = r"""
