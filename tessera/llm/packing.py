@@ -5,7 +5,8 @@ The second deals the pieces by a hash over as many tasks as the token count asks
 task packs its pieces online into a bounded number of open bins. A ``capacity + 1`` bit
 integer has bit ``f`` set while an open bin has ``f`` free tokens, so the tightest bin that
 takes a piece is one shift and one lowest-set-bit away. When all bins are open and none
-fits, the fullest one closes. Memory is the open bins, whatever the input.
+fits, the fullest one closes. Pieces arrive in windows, each from long to short. Memory is
+the open bins and one window, whatever the input.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ from tessera.runtime import materialize
 
 CAPACITY = 2048
 OPEN_BINS = 1024
+#: Pieces that are taken together, the longest first, so that short ones fill what is left.
+WINDOW = 2048
 #: Sequences that one packing task fills; more tokens mean more tasks.
 TASK_SEQUENCES = 8192
 #: Words whose ids a worker keeps; at this count it forgets them all and starts anew.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 SEPARATOR = b"\0\0\0\0"
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -175,9 +178,14 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_
 
         base, bins = TaskContext.get().partitionId() << 40, Bins(capacity, open_bins)
         for batch in batches:
-            placed = [bins.place(n) for n in batch.column("length").to_pylist()]
-            sequence, offset = pa.array([base + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, sequence, offset], names=[*batch.schema.names, "sequence_id", "offset"])
+            for at in range(0, batch.num_rows, WINDOW):
+                part = batch.slice(at, WINDOW)
+                lengths = part.column("length").to_pylist()
+                placed = [(0, 0)] * len(lengths)
+                for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+                    placed[i] = bins.place(lengths[i])
+                sequence, offset = pa.array([base + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, sequence, offset], names=[*part.schema.names, "sequence_id", "offset"])
 
     order = F.xxhash64("doc_id", "piece")
     dealt = cut_pieces.repartition(tasks, order).sortWithinPartitions(order, "doc_id", "piece", "ids_crc32")
