@@ -56,13 +56,16 @@ def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Each document as often as the mix takes it; documents that it doesn't take go.
 
     Equal (doc_id, source) rows share their fate. Rows without an id or source are mixed too.
+    Only the plan, one row per source, is joined: no text is shuffled.
     """
     prepare(spark)
-    plan = mixing.mixed(docs.select("doc_id", "source", "text"))
-    key, copies, turn = (_free(docs, x) for x in ("key", "copies", "turn"))
-    per_id = materialize(plan.groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(copies)), "copies")
-    again = docs.join(per_id, docs["doc_id"].eqNullSafe(per_id[key])).filter(F.col(copies) > 0)
-    return again.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(key, copies, turn)
+    own = {n: _free(docs, n) for n in ("source_", "repeats", "threshold", "copies", "turn")}
+    plan = mixing.plan(materialize(mixing.measured(docs), "mix-sizes"))
+    marks = plan.select(F.col("source").alias(own["source_"]), F.col("repeats").alias(own["repeats"]), F.col("threshold").alias(own["threshold"]))
+    taken = F.least(F.col(own["repeats"]) + F.when(mixing.id_hash(docs["doc_id"]) < F.col(own["threshold"]), 1).otherwise(0), F.lit(mixing.MOST_REPEATS))
+    again = docs.join(marks, docs["source"].cast("string").eqNullSafe(marks[own["source_"]])).withColumn(own["copies"], taken).filter(F.col(own["copies"]) > 0)
+    again = again.withColumn(own["turn"], F.explode(F.sequence(F.lit(1), F.col(own["copies"]))))
+    return again.drop(*own.values())
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
