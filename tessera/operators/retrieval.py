@@ -77,15 +77,20 @@ def knn(data: DataFrame, queries: DataFrame, k: int, metric: str = "l2", decimal
     beyond the bound they are dealt into blocks that meet the data one after the other.
     """
     rows = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    bound = rows.agg(F.sum(F.size("q") * 8).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-bound // BROADCAST_BYTES))
-    parts = [_knn_block(data, rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else rows, k, metric, decimals) for i in range(blocks)]
+    parts = [_knn_block(data, block, k, metric, decimals) for block in query_blocks(rows)]
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
     return top(found, k, tie="vec_id").select("query_id", "vec_id", "score", "rank")
 
 
+def query_blocks(rows: DataFrame) -> list[DataFrame]:
+    """(query_id, q) dealt by id into blocks of at most BROADCAST_BYTES of vectors."""
+    bound = rows.agg(F.sum(F.size("q") * 8).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-bound // BROADCAST_BYTES))
+    return [rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else rows for i in range(blocks)]
+
+
 def _knn_block(data: DataFrame, queries: DataFrame, k: int, metric: str, decimals: int) -> DataFrame:
     collected = queries.toPandas()  # at most BROADCAST_BYTES
     ids = collected["query_id"].to_numpy(np.int64)

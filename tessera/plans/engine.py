@@ -33,11 +33,18 @@ def engine_search_hybrid(spark: SparkSession, d: str) -> DataFrame:
 
 @query("dense_knn_cells", retrieval_plans.L2_SQL)
 def dense_knn_cells(spark: SparkSession, d: str) -> DataFrame:
-    """The cell index with all cells probed is exact; tests measure the recall with fewer."""
+    """The cell index with all cells probed is exact; ``dense_knn_cells_hundredths`` prunes."""
     e = table(spark, d, "embeddings")
     return CellIndex(e).search(e.filter("vec_id < 20"), 10, probe=CELLS)
 
 
+@query("dense_knn_cells_hundredths")
+def dense_knn_cells_hundredths(spark: SparkSession, d: str) -> DataFrame:
+    """The whole query set with the production probe; tests measure its recall against brute force."""
+    e = table(spark, d, "embeddings")
+    return CellIndex(e).search(e.filter(retrieval_plans.HUNDREDTHS), 10)
+
+
 @query("metadata_search", "SELECT event_id, event_type FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) >= 5")
 def metadata_search(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").filter(F.get_json_object("props", "$.k").try_cast("int") >= 5).select("event_id", "event_type")

@@ -56,15 +56,19 @@ def bm25_field_weighted(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.field_bm25(docs, {"title": 2.0, "text": 1.0, "source": 1.5}, table(spark, d, "benchmark"), 10)
 
 
-def _knn_sql(score: str) -> str:
+def _knn_sql(score: str, asked: str = "q.vec_id < 20") -> str:
     return f"""
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, v.vec_id, round({score}, 6) AS score FROM v q JOIN v ON q.vec_id < 20)
+s AS (SELECT q.vec_id AS query_id, v.vec_id, round({score}, 6) AS score FROM v q JOIN v ON {asked})
 SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10
 """
 
 
-L2_SQL = _knn_sql("1 / (1 + list_sum(list_transform(list_zip(q.e, v.e), lambda x: (x[1] - x[2]) * (x[1] - x[2]))))")
+L2 = "1 / (1 + list_sum(list_transform(list_zip(q.e, v.e), lambda x: (x[1] - x[2]) * (x[1] - x[2]))))"
+COSINE = "list_cosine_similarity(q.e, v.e)"
+L2_SQL = _knn_sql(L2)
+#: The whole query set, which grows with the table; ``dense_knn_*`` without it are a fixed sample of 20 ids.
+HUNDREDTHS = "vec_id % 100 = 0"
 
 
 @query("dense_knn_l2", L2_SQL)
@@ -73,12 +77,24 @@ def dense_knn_l2(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.knn(e, e.filter("vec_id < 20"), 10)
 
 
-@query("dense_knn_cosine", _knn_sql("list_cosine_similarity(q.e, v.e)"))
+@query("dense_knn_cosine", _knn_sql(COSINE))
 def dense_knn_cosine(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     return retrieval.knn(e, e.filter("vec_id < 20"), 10, "cosine")
 
 
+@query("dense_knn_l2_hundredths", _knn_sql(L2, f"q.{HUNDREDTHS}"))
+def dense_knn_l2_hundredths(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return retrieval.knn(e, e.filter(HUNDREDTHS), 10)
+
+
+@query("dense_knn_cosine_hundredths", _knn_sql(COSINE, f"q.{HUNDREDTHS}"))
+def dense_knn_cosine_hundredths(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return retrieval.knn(e, e.filter(HUNDREDTHS), 10, "cosine")
+
+
 @query(
     "vector_functions",
     """

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera import models, search
 from tessera.operators.ann import CellIndex
 from tessera.operators.retrieval import knn
+from tessera.plans import registry
 
 
 @pytest.fixture(scope="module")
@@ -73,6 +75,25 @@ def test_cell_index(spark, small):
     assert every == exact
 
 
+def test_vector_queries_ask_every_hundredth_row(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(4000, 64))
+    rows = [(i, [float(x) for x in v[i]], 0) for i in range(4000)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {n: registry.queries()[n](spark, str(tmp_path)).collect() for n in ("dense_knn_l2_hundredths", "dense_knn_cosine_hundredths", "dense_knn_cells_hundredths")}
+    for got in found.values():
+        assert {r["query_id"] for r in got} == set(range(0, 4000, 100)) and len(got) == 400
+    brute = {(i, int(j)) for i in range(0, 4000, 100) for j in np.argsort(((v - v[i]) ** 2).sum(1))[:10]}
+    assert {(r["query_id"], r["vec_id"]) for r in found["dense_knn_l2_hundredths"]} == brute
+
+
+def test_production_probe_prunes_and_recalls(spark):
+    big = "/root/testdata/sf0.1"
+    exact = {(r["query_id"], r["vec_id"]) for r in registry.queries()["dense_knn_l2_hundredths"](spark, big).collect()}
+    found = {(r["query_id"], r["vec_id"]) for r in registry.queries()["dense_knn_cells_hundredths"](spark, big).collect()}
+    assert 0.9 <= len(exact & found) / len(exact) < 1 and len(exact) == 200
+
+
 def test_wordpiece():
     t = models.WordPiece(["[UNK]", "un", "##aff", "##able", "hello", ",", "你", "cafe"])
     assert t.encode("Unaffable, HELLO 你 café xyz") == [1, 2, 3, 5, 4, 6, 7, 0]
