@@ -76,7 +76,8 @@ def semantic_dedup(blocks: DataFrame, scope: str, order_col: str, vector_col: st
     """(scope, order, kept): row j goes if an earlier row that stays has a cosine of ``same`` or more.
 
     The sweep is in input order within a scope (one document's blocks), so it isn't
-    connected components. Vectors are taken in blocks: kept rows so far are one matrix.
+    connected components. Blocks of vectors meet the kept rows of each earlier block; a worker
+    holds one scope's vectors and one product of two blocks.
     """
 
     def sweep(group: pd.DataFrame) -> pd.DataFrame:
@@ -91,8 +92,10 @@ def semantic_dedup(blocks: DataFrame, scope: str, order_col: str, vector_col: st
                 unit[i, : len(r)] = r / norm
         for at in range(0, len(rows), SWEEP_BLOCK):
             now = unit[at : at + SWEEP_BLOCK]
-            before = unit[:at][kept[:at]]
-            near = (now @ before.T >= same).any(1) if len(before) else np.zeros(len(now), bool)
+            near = np.zeros(len(now), bool)
+            for b in range(0, at, SWEEP_BLOCK):
+                before = unit[b : b + SWEEP_BLOCK][kept[b : b + SWEEP_BLOCK]]
+                near |= (now @ before.T >= same).any(1)
             inside = now @ now.T >= same
             for j in range(len(now)):
                 kept[at + j] = not near[j] and not (inside[j, :j] & kept[at : at + j]).any()

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.operators import catalog, chunking, cleaning, filters, fusion, memory, retrieval
+from tessera.plans import registry
 from tessera.sources import codecs, readers
 from tessera.streaming import events
 
@@ -136,6 +137,25 @@ def test_semantic_dedup_is_a_sweep(spark, monkeypatch):
         assert kept == {("d", 0), ("d", 2), ("d", 4), ("d", 6), ("e", 0), ("e", 1), ("e", 2)}
 
 
+def test_semantic_dedup_of_whole_labels(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(700, 64))
+    v = np.concatenate([base, base + rng.normal(size=base.shape) * 0.05, base[:600] + rng.normal(size=(600, 64)) * 0.05])
+    label, ids = rng.integers(0, 2, len(v)), rng.permutation(len(v))
+    made = [(int(i), [float(x) for x in w], int(n)) for i, w, n in zip(ids, v, label, strict=True)]
+    spark.createDataFrame(made, "vec_id long, embedding array<double>, label int").repartition(4).write.parquet(f"{tmp_path}/embeddings.parquet")
+    kept: dict[str, list[np.ndarray]] = {}
+    expected = set()
+    for i, w, n in sorted(made):
+        u = np.array(w) / np.linalg.norm(w)
+        if not any(u @ k >= 0.95 for k in kept.setdefault(str(n), [])):
+            kept[str(n)].append(u)
+            expected.add((str(n), i))
+    got = registry.queries()["semantic_dedup_label"](spark, str(tmp_path)).collect()
+    assert len(got) == len(v) and {(r["scope"], r["o"]) for r in got if r["kept"]} == expected
+    assert 700 <= len(expected) <= 1400
+
+
 def test_anomalies(spark):
     df = spark.createDataFrame([(1, "", [1.0], None), (1, "b", [0.0], '{"meta.parse_status":"ok"}'), (2, "x" * 10001, [1.0], '{"meta":{"parse_status":"failed"}}'), (3, "c", [1.0], '{"meta.parse_failed_page":4}')], "id long, t string, v array<double>, m string")
     got = {(r["id"], tuple(r["reasons"])) for r in cleaning.anomalies(df, "id", "t", "v", "m").collect()}
