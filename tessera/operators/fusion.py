@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordering import numbered
+
 RRF_K = 60
 #: Bits of the routes that a fused block came by.
 ROUTE_BITS = {"vector": 1, "bm25": 2, "sql": 4}
@@ -112,17 +114,23 @@ def hybrid_by_document(chunks: DataFrame, documents: DataFrame, k: int = RRF_K)
     return fused.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
 
 
-def cross_namespace(items: DataFrame, top_k: int, by: str = "query_id") -> DataFrame:
+def cross_namespace(items: DataFrame, top_k: int | None, by: str = "query_id") -> DataFrame:
     """Merge namespaces: one item per content hash, its best score, every source listed.
 
     ``items`` (query_id, namespace_id, child_id, content_hash, score, at); an empty hash never
-    merges; of equal scores the earliest (``at``) stays.
+    merges; of equal scores the earliest (``at``) stays. Without ``top_k`` all items stay, and are
+    numbered without bringing a query's items into one task.
     """
     group = F.when(F.coalesce("content_hash", F.lit("")) == "", F.concat_ws("/", F.lit("own"), "namespace_id", "child_id")).otherwise(F.col("content_hash"))
     best = F.max(F.struct(F.col("score"), (-F.col("at")).alias("first"), F.col("namespace_id"), F.col("child_id"))).alias("b")
     sources = F.array_join(F.sort_array(F.collect_set(F.concat_ws("/", "namespace_id", "child_id"))), ",").alias("sources")
     merged = items.withColumn("_g", group).groupBy(by, "_g").agg(best, sources, F.count("*").alias("n_sources"))
     flat = merged.select(by, "b.namespace_id", "b.child_id", "b.score", (-F.col("b.first")).alias("at"), "sources", "n_sources")
+    if top_k is None:
+        placed = numbered(flat, "_n", by, F.desc("score"), "at", "namespace_id", "child_id")
+        first = placed.groupBy(F.col(by).alias("_by")).agg(F.min("_n").alias("_first"))
+        joined = placed.join(first, F.col(by).eqNullSafe(F.col("_by")))
+        return joined.withColumn("position", (F.col("_n") - F.col("_first") + 1).cast("int")).drop("_n", "_by", "_first")
     order = Window.partitionBy(by).orderBy(F.desc("score"), "at")
     return flat.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= max(0, top_k))
 

@@ -314,7 +314,7 @@ FROM b JOIN m USING (query_id, g) QUALIFY position <= {k}"""
 
 @query("cross_ns_dedup", _cross_sql(100000))
 def cross_ns_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.cross_namespace(_items(spark, d), 100_000)
+    return fusion.cross_namespace(_items(spark, d), None)
 
 
 @query("scatter_gather_dedup", _cross_sql(10))

@@ -77,6 +77,21 @@ def test_cross_namespace(spark):
     assert rows(got, "child_id", "sources") == [("2", "a/1,b/2,d/5"), ("3", "c/3"), ("6", "e/6"), ("4", "c/4")]
 
 
+def test_cross_ns_dedup_keeps_every_group(spark, tmp_path):
+    n = 600_000
+    spark.range(n).selectExpr("id AS doc_id", "concat('s', id % 3) AS source", "concat('text ', id) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["cross_ns_dedup"](spark, str(tmp_path))
+    per_query = got.groupBy("query_id").agg(F.count("*").alias("n"), F.countDistinct("position").alias("d"), F.min("position").alias("a"), F.max("position").alias("b"))
+    assert sorted(rows(per_query, "query_id", "n", "d", "a", "b")) == [(i, n // 5, n // 5, 1, n // 5) for i in range(5)]
+
+
+def test_cross_namespace_without_limit_is_the_limited_one(spark):
+    items = [(q, f"n{i % 4}", str(i), ["", "h1", "h2", "h3", None][i % 5] if i % 3 else f"g{i}", (i * 7 % 10) / 10, i) for q in (1, 2, None) for i in range(200)]
+    df = spark.createDataFrame(items, "query_id long, namespace_id string, child_id string, content_hash string, score double, at long")
+    columns = ("query_id", "position", "namespace_id", "child_id", "score", "at", "sources", "n_sources")
+    assert sorted(rows(fusion.cross_namespace(df, None), *columns), key=str) == sorted(rows(fusion.cross_namespace(df, 10_000), *columns), key=str)
+
+
 def test_namespaces():
     assert fusion.authorised(["*"], ["b", "a"]) == ["a", "b"]
     assert fusion.authorised(["b", "a", "b"], ["a", "b"]) == ["b", "a"]
