@@ -19,10 +19,10 @@ KNN_BLOCK = 4096
 BROADCAST_BYTES = 64 << 20
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, term, tf, len: one row per term of a document; counted before any shuffle by document."""
-    words = docs.select(F.col(id_col).alias("id"), text.tokens(F.col(text_col)).alias("w")).withColumn("len", F.size("w"))
-    return words.select("id", "len", F.explode("w").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """id, term, tf, len (and columns ``also``): one row per term of a document; counted before any shuffle by document."""
+    words = docs.select(F.col(id_col).alias("id"), *also, text.tokens(F.col(text_col)).alias("w")).withColumn("len", F.size("w"))
+    return words.select("id", *also, "len", F.explode("w").alias("term")).groupBy("id", *also, "len", "term").agg(F.count("*").alias("tf"))
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -129,10 +129,14 @@ def capped_postings(sparse: DataFrame, cap: int = 1000) -> DataFrame:
     return sparse.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= cap).drop("_n")
 
 
-def sparse_dot(sparse: DataFrame, queries: DataFrame, k: int = 100, cap: int = 1000) -> DataFrame:
-    """Dot products of sparse vectors: (ns, term, child_id, weight) with (query_id, term, qw)."""
+def sparse_dot(sparse: DataFrame, queries: DataFrame, k: int = 100, cap: int | None = 1000) -> DataFrame:
+    """Dot products of sparse vectors: (ns, term, child_id, weight) with (query_id, term, qw).
+
+    Without ``cap`` every posting of the terms asked for counts.
+    """
     asked = queries.select("term").distinct()
-    hit = capped_postings(sparse.join(asked, "term", "left_semi"), cap)
+    hit = sparse.join(asked, "term", "left_semi")
+    hit = hit if cap is None else capped_postings(hit, cap)
     scored = hit.join(queries, "term").groupBy("query_id", "child_id").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score"))
     return top(scored, k, tie="child_id").select("query_id", "child_id", "score", "rank")
 

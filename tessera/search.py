@@ -24,6 +24,7 @@ class Options:
     rerank: bool = False
     filter: dict | None = None
     per_parent: int = 3
+    posting_cap: int | None = None  # postings of each (namespace, term) that the sparse route reads; None reads all
 
 
 @dataclass
@@ -68,8 +69,8 @@ class Engine:
         dense = retrieval.knn(blocks.select(F.col("block_id").alias("vec_id"), "embedding"), vectors, pool, "cosine")
         lists = [lexical.select("query_id", F.lit("fts5").alias("route"), F.col("doc_id").alias("id"), "rank"), dense.select("query_id", F.lit("dense").alias("route"), F.col("vec_id").alias("id"), "rank")]
         if options.route == "complex":
-            terms = retrieval.postings(blocks, "block_id", "content").select(F.lit("all").alias("ns"), "term", F.col("id").alias("child_id"), F.log1p(F.col("tf").cast("double")).alias("weight"))
-            sparse = retrieval.sparse_dot(terms, retrieval.query_terms(queries, "query_id", "text").withColumn("qw", F.lit(1.0)), pool)
+            terms = retrieval.postings(blocks, "block_id", "content", ("namespace_id",)).select(F.col("namespace_id").alias("ns"), "term", F.col("id").alias("child_id"), F.log1p(F.col("tf").cast("double")).alias("weight"))
+            sparse = retrieval.sparse_dot(terms, retrieval.query_terms(queries, "query_id", "text").withColumn("qw", F.lit(1.0)), pool, options.posting_cap)
             lists.append(sparse.select("query_id", F.lit("sparse").alias("route"), F.col("child_id").alias("id"), "rank"))
         rows = lists[0]
         for part in lists[1:]:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import models, search
+from tessera.operators import retrieval
 from tessera.operators.ann import CellIndex
 from tessera.operators.retrieval import knn
 from tessera.plans import registry
@@ -60,6 +61,29 @@ def test_explain_and_sql(spark, engine):
     assert search.sql_search(spark, engine, "a", "refund", 3).first()["doc_id"] == 2
 
 
+def test_sparse_route_reads_whole_postings_of_every_namespace(spark):
+    """A word of 1500 chunks of one namespace counts for the last one and for the chunk of a small namespace, too."""
+    made = [(i, "big", "pump") for i in range(1499)] + [(1499, "big", "pump hose"), (5000, "small", "pump valve")]
+    blocks = spark.createDataFrame(made, "block_id long, namespace_id string, content string").withColumn("embedding", models.embedding(models.HashingEmbedder())(F.col("content")))
+    store = search.Engine(blocks, blocks, blocks)
+
+    def sparse(query, **options):
+        hits = store.chunk_hits(asked(spark, query), blocks, search.Options(top_k=1, **options)).collect()
+        return {r["block_id"] for r in hits if "sparse" in r["routes"].split(",")}
+
+    assert 1499 in sparse("pump hose") and 5000 in sparse("pump valve")
+    assert 1499 not in sparse("pump hose", posting_cap=1000) and 5000 in sparse("pump valve", posting_cap=1000)
+
+
+def test_posting_cap_is_per_namespace(spark):
+    made = [(i, "a", "pump " * 3) for i in range(5)] + [(9, "b", "pump hose")]
+    blocks = spark.createDataFrame(made, "block_id long, namespace_id string, content string")
+    terms = retrieval.postings(blocks, "block_id", "content", ("namespace_id",)).select(F.col("namespace_id").alias("ns"), "term", F.col("id").alias("child_id"), F.col("tf").cast("double").alias("weight"))
+    words = spark.createDataFrame([(0, "pump", 1.0)], "query_id long, term string, qw double")
+    assert {r["child_id"] for r in retrieval.sparse_dot(terms, words, 10, 2).collect()} == {0, 1, 9}
+    assert {r["child_id"] for r in retrieval.sparse_dot(terms, words, 10, None).collect()} == {0, 1, 2, 3, 4, 9}
+
+
 def test_chat(spark):
     facts = spark.createDataFrame([(i, "u" if i % 2 else "v", "active" if i % 3 else "invalidated", i) for i in range(9)], "block_id long, user_id string, status string, created_s long")
     assert [r["block_id"] for r in search.chat_facts(facts, "u", 2).collect()] == [7, 5]
