@@ -33,6 +33,8 @@ TASK_SEQUENCES = 8192
 #: Words whose ids a worker keeps; at this count it forgets them all and starts anew.
 CACHED_WORDS = 300_000
 SEPARATOR = b"\0\0\0\0"
+#: The added token of ``byte_bpe_50k.json``, which is matched inside texts before anything else.
+SPECIAL = ("<|endoftext|>", 50256)
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -68,19 +70,25 @@ def _little(ids: list[int]) -> bytes:
 class Encoder:
     """Token ids of a text as little-endian uint32 bytes.
 
-    The rank file holds the vocabulary of ``byte_bpe_50k.json``; special-token strings in a
-    text are ordinary text.
+    The rank file holds the vocabulary of ``byte_bpe_50k.json``. A text is cut at the string of
+    ``special``, which becomes its id; without ``special`` that string is ordinary text.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, special: tuple[str, int] | None = None):
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._encode, self._first, self._rest = encode, _Words(encode, ""), _Words(encode, " ")
+        self._mark, self._mark_ids = (special[0], _little([special[1]])) if special else (None, b"")
 
     def __call__(self, text: str) -> bytes:
+        if self._mark and self._mark in text:
+            return self._mark_ids.join(map(self._plain, text.split(self._mark)))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if not text:
             return b""
         head, *rest = text.split(" ")
@@ -91,8 +99,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(ranks_path: str, pattern: str) -> Encoder:
-    return Encoder(ranks_path, pattern)
+def encoder(ranks_path: str, pattern: str, special: tuple[str, int] | None = None) -> Encoder:
+    return Encoder(ranks_path, pattern, special)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -115,7 +123,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = N
     path, pattern = ranks_path or tokenizers_files.path("byte_bpe_50k.tiktoken"), tokenizers_files.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, pattern)
+        encode = encoder(path, pattern, SPECIAL)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

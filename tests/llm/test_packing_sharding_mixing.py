@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import array
 import hashlib
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -81,6 +82,20 @@ def test_packed_whole_table(spark, tiny, tokenizer):
     assert n <= -(-total // 2048) * 1.02 + 1
 
 
+def test_the_added_token_is_matched_inside_texts(spark):
+    path, mark = public_tokenizers.path("byte_bpe_50k.json"), "<|endoftext|>"
+    t = Tokenizer.from_file(path)
+    with open(path) as f:
+        assert [(a["content"], a["id"]) for a in json.load(f)["added_tokens"]] == [packing.SPECIAL]
+    rng = random.Random(8)
+    texts = [f"end of page {mark} next page", mark, mark * 3, f" {mark} ", f"a {mark}b", f"it's{mark}'s", f"\n{mark}\n\n  x", "<|endoftext|", "<|ENDOFTEXT|>", f"<|endof{mark}text|>", f"x{mark} " * 900]
+    texts += ["".join(rng.choice(["ab", "'s", "é", " ", "  ", "1", ".", "\n", "\t", "\xa0", "<|", "|>", mark]) for _ in range(60)) for _ in range(300)]
+    docs = [(i, text, None) for i, text in enumerate(texts)]
+    rows = packing.packed(docs_of(spark, docs), capacity=256).collect()
+    check_packed(rows, {i: text for i, text, _ in docs}, t, 256)
+    assert len(rows) > len(docs)
+
+
 def test_packing_edges(spark, tokenizer):
     rows = packing.packed(docs_of(spark, EDGE), capacity=64, open_bins=2).collect()
     once = {i: t for i, t, _ in EDGE if i not in (4, None)}
