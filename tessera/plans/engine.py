@@ -104,11 +104,23 @@ def bloom_precheck(spark: SparkSession, d: str) -> DataFrame:
     """No key that is in the filter is missed."""
     docs = table(spark, d, "documents").select("doc_id")
     some = docs.filter("doc_id % 3 = 0")
-    found = Bloom.build(some, "doc_id", 400).might_contain(docs, "doc_id")
+    found = Bloom.build(some, "doc_id", some.distinct().count()).might_contain(docs, "doc_id")
     missed = some.join(found, "doc_id", "left_anti")
     return missed.agg((F.count("*") == 0).alias("all_found"))
 
 
+@query("bloom_pass_counts")
+def bloom_pass_counts(spark: SparkSession, d: str) -> DataFrame:
+    """A filter of all documents' texts: how many of them it passes, and how many of the other texts of conversations."""
+    texts = lambda name: table(spark, d, name).filter(F.col("text").isNotNull()).select(F.sha2("text", 256).alias("k")).distinct()
+    keys = texts("documents")
+    others = texts("conversations").join(keys, "k", "left_anti")
+    asked = keys.withColumn("is_in", F.lit(True)).unionByName(others.withColumn("is_in", F.lit(False)))
+    passed = Bloom.build(keys, "k", keys.count()).might_contain(asked, "k").groupBy("is_in").agg(F.count("*").alias("passed"))
+    rows = asked.groupBy("is_in").agg(F.count("*").alias("asked"))
+    return rows.join(passed, "is_in", "left").select("is_in", "asked", F.coalesce("passed", F.lit(0)).alias("passed"))
+
+
 @query("explain_paths", "SELECT conv_id AS query_id, role AS route, CAST(count(*) AS BIGINT) AS hits FROM conversations GROUP BY ALL")
 def explain_paths(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").groupBy(F.col("conv_id").alias("query_id"), F.col("role").alias("route")).agg(F.count("*").alias("hits"))

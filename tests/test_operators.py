@@ -403,3 +403,17 @@ def test_bloom(spark):
     found = bloom.might_contain(keys, "k")
     assert found.filter("CAST(substring(k, 2) AS INT) < 1000").count() == 1000
     assert found.count() - 1000 < 60 and bloom.false_positive_rate() < 0.04
+
+
+def test_bloom_precheck_is_sized_by_its_keys(spark, monkeypatch):
+    from tessera.operators.bloom import Bloom
+
+    made = []
+    build = Bloom.build.__func__
+    monkeypatch.setattr(Bloom, "build", classmethod(lambda cls, *a, **k: made.append(build(cls, *a, **k)) or made[-1]))
+    big = "/root/testdata/sf0.1"
+    assert registry.queries()["bloom_precheck"](spark, big).first()["all_found"]
+    assert made[0].false_positive_rate() < 0.02
+    got = {r["is_in"]: (r["asked"], r["passed"]) for r in registry.queries()["bloom_pass_counts"](spark, big).collect()}
+    assert got[True][0] == got[True][1] > 9000
+    assert got[False][0] > 5000 and got[False][1] / got[False][0] < 0.02
