@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import trim_space
+
 # Separators from coarse to fine.
 SEPARATORS = ("\f", "\n\n", "\n", "。", ".", "！", "？", "!", "?", "；", ";", " ", "")
 CHUNK, OVERLAP = 512, 50
@@ -173,8 +175,15 @@ def chunk_parent_child(docs: DataFrame, unit: str = "paragraph", parent: int = P
     return docs.select("doc_id", "text").mapInPandas(run, CHILDREN)
 
 
-def chunk_stats(children: DataFrame) -> DataFrame:
-    """Per document: parents, children, pages and the share of pages with content."""
-    return children.groupBy("doc_id").agg(
+def chunk_stats(children: DataFrame, docs: DataFrame) -> DataFrame:
+    """Per document, also one without chunks: parents, children, pages (all, with content, without) and the share with content."""
+    page = F.split(F.coalesce("text", F.lit("")), "\f")
+    pages = docs.select("doc_id", F.size(page).alias("n"), F.size(F.filter(page, lambda p: trim_space(p) != "")).alias("full"))
+    pages = pages.groupBy(F.col("doc_id").alias("_id")).agg(F.sum("n").alias("total_pages"), F.sum("full").alias("succeeded_pages"))
+    made = children.groupBy("doc_id").agg(
         F.countDistinct("parent_id").alias("parents"), F.count("*").alias("children"), F.max("page_end").alias("last_page"), F.sum("child_tokens").alias("child_tokens")
     )
+    found = pages.join(made, F.col("_id").eqNullSafe(F.col("doc_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("parents", "children", "last_page", "child_tokens")]
+    failed = (F.col("total_pages") - F.col("succeeded_pages")).alias("failed_pages")
+    return found.select(F.col("_id").alias("doc_id"), *counts, "total_pages", "succeeded_pages", failed, (F.col("succeeded_pages") / F.col("total_pages")).alias("coverage_ratio"))

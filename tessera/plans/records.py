@@ -117,7 +117,8 @@ def chunk_parent_child(spark: SparkSession, d: str) -> DataFrame:
 
 @query("chunk_stats")
 def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunk_stats(chunking.chunk_parent_child(table(spark, d, "documents")))
+    docs = table(spark, d, "documents")
+    return chunking.chunk_stats(chunking.chunk_parent_child(docs), docs)
 
 
 @query("metadata_blocks")
