@@ -171,12 +171,91 @@ def test_search_small_and_large_numbers(spark):
     assert sum(r[0] == 0 for r in got) == 4
 
 
-def test_cover_tree_covers():
-    points = np.random.default_rng(0).standard_normal((500, 3))
-    stack = [covertree.build(points)]
-    while stack:
-        node = stack.pop()
-        assert (np.linalg.norm(points[node.rows] - node.centre, axis=1) <= node.radius + 1e-9).all()
-        if node.children:
-            assert sorted(np.concatenate([c.rows for c in node.children])) == sorted(node.rows)
-        stack += node.children
+def tree_nodes(points, tree):
+    """(centre, radius, rows, children's rows) of every node."""
+    for i in range(len(tree.centre)):
+        rows = tree.order[tree.start[i] : tree.end[i]]
+        below = range(tree.child[i], tree.child[i] + tree.children[i]) if tree.children[i] else ()
+        yield points[tree.centre[i]], tree.radius[i], rows, [tree.order[tree.start[c] : tree.end[c]] for c in below]
+
+
+def clusters(n, spread, seed=1):
+    """n integer vectors of 64 dimensions around 64 centres."""
+    rng = np.random.default_rng(seed)
+    return rng.integers(-400, 400, (64, 64))[rng.integers(0, 64, n)] + rng.integers(-spread, spread + 1, (n, 64))
+
+
+@pytest.mark.parametrize("points", [np.random.default_rng(0).integers(-99, 99, (900, 3)), clusters(900, 9), np.ones((300, 2), np.int64)])
+def test_cover_tree_covers(points):
+    tree = covertree.build(points, 32)
+    for centre, radius, rows, below in tree_nodes(points, tree):
+        assert (np.linalg.norm(points[rows] - centre, axis=1) <= radius + 1e-9).all()
+        assert len(rows) <= 32 or radius == 0 or below
+        if below:
+            assert sorted(np.concatenate(below)) == sorted(rows)
+    assert sorted(tree.order) == list(range(len(points)))
+
+
+def test_nets_cover_and_keep_apart():
+    points = np.random.default_rng(3).standard_normal((700, 4))
+    centres, owner = covertree.net(points, 5, 0.8)
+    assert (np.linalg.norm(points - points[centres[owner]], axis=1) <= 0.8 + 1e-9).all()
+    between = np.linalg.norm(points[centres][:, None] - points[centres][None], axis=2) + 9 * np.eye(len(centres))
+    assert between.min() > 0.8 and (owner[centres] == np.arange(len(centres))).all()
+
+
+def best_pairs(v, asked, k):
+    scores = v[asked] @ v.T
+    scores[np.arange(len(asked)), asked] = np.iinfo(np.int64).min // 2
+    return {(i, int(j), int(scores[i, j])) for i in range(len(asked)) for j in np.lexsort((np.arange(len(v)), -scores[i]))[:k]}
+
+
+def walked(v, every, k=20):
+    asked, walk = np.arange(0, len(v), every), covertree.Walk()
+    found = covertree.search(v[asked], asked, v, np.arange(len(v)), k, np.full(len(asked), covertree.NOTHING + 1), None, walk)
+    assert set(found) == best_pairs(v, asked, k)
+    return walk
+
+
+def test_dual_tree_prunes_clusters():
+    walk = walked(clusters(4000, 12), 20)
+    assert min(walk.nodes) > 10
+    assert walk.products < 0.3 * walk.pairs
+
+
+def test_trees_are_grown_on_the_given_vectors(spark):
+    rows = covertree.integer_vectors(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).orderBy("vec_id").collect()
+    walk = walked(np.array([r["v"] for r in rows]), 20)
+    assert min(walk.nodes) > 1
+
+
+def test_cell_pairs_are_pruned_before_the_shuffle(spark):
+    v = clusters(3000, 4, seed=2)
+    df = spark.createDataFrame([(i, [float(x) / 64 for x in row]) for i, row in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    met = []
+    searched = covertree._searched
+
+    def counted(asked, data, k, tasks):
+        met.append(asked.count())
+        return searched(asked, data, k, tasks)
+
+    covertree._searched = counted
+    try:
+        got = {tuple(r) for r in covertree.top_k(df, k=10, data_block=256, query_block=64).select("query_id", "vec_id", "score").collect()}
+    finally:
+        covertree._searched = searched
+    asked = np.arange(0, 3000, 20)
+    assert got == {(int(asked[i]), j, s) for i, j, s in best_pairs(v, asked, 10)}
+    blocks = -(-3000 // 256)
+    assert sum(met) < 0.5 * len(asked) * blocks
+
+
+def test_a_hot_vector_and_uneven_widths(spark):
+    rows = [(i, [0.5, 0.25] if i % 3 else [float(i % 7), 1.0, float(i % 5)][: 1 + i % 3]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in covertree.top_k(df, k=5, data_block=32, query_block=8).select("query_id", "vec_id", "score").collect()}
+    v = np.zeros((400, 3), np.int64)
+    for i, x in rows:
+        v[i, : len(x)] = np.floor(64 * np.array(x))
+    asked = np.arange(0, 400, 20)
+    assert got == {(int(asked[i]), j, s) for i, j, s in best_pairs(v, asked, 5)}
