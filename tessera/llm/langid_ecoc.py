@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from tessera.llm.samples import held_out, per_class
 
 WIDTH = 4096
-#: Bounds of the training sample: documents in all, and languages.
-SAMPLE = 4096
-LANGUAGES = 1024
+#: Bounds of the training sample: documents in all, or so many of each language if that is more.
+SAMPLE, LEAST = 4096, 16
+#: Rows whose features stand in memory at once.
+BLOCK = 512
 ROUNDS = 60
 AMBIGUOUS_MARGIN = 0.1
 UNKNOWN = "und"
@@ -96,34 +97,53 @@ class Model:
         return out
 
 
-def fit(features: np.ndarray, languages: list[str]) -> Model:
+Sparse = list[tuple[np.ndarray, np.ndarray]]
+
+
+def _dense(rows: Sparse) -> np.ndarray:
+    out = np.zeros((len(rows), WIDTH), np.float32)
+    for i, (at, n) in enumerate(rows):
+        out[i, at] = n
+    return _unit(out)
+
+
+def fit(rows: Sparse, languages: list[str]) -> Model:
+    """Full-batch descent on the logistic loss of every bit; features are made dense by blocks."""
     names = sorted(set(languages))
-    code = codewords(len(names))
-    x, target = _unit(features), code[[names.index(v) for v in languages]] if names else np.zeros((0, 1))
-    weights, bias = np.zeros((WIDTH, code.shape[1])), np.zeros(code.shape[1])
-    if len(names) > 1:
-        share = {v: languages.count(v) for v in names}
-        importance = np.array([len(languages) / (len(names) * share[v]) for v in languages])[:, None]
-        step = 8.0
-        for _ in range(ROUNDS):  # full-batch descent on the logistic loss
-            pull = -target / (1 + np.exp(np.clip(target * (x @ weights + bias), -30, 30))) * importance / len(x)
-            weights -= step * (x.T @ pull + 1e-6 * weights)
-            bias -= step * pull.sum(0)
-        margin = (x @ weights + bias) * target
-        trust = np.clip((margin > 0).mean(0) * 2 - 1, 0.05, 1)
-        scale = 4 / np.maximum(np.median(np.abs(margin), axis=0), 1e-9)
-        weights, bias = weights * scale, bias * scale
-    else:
-        trust = np.ones(code.shape[1])
-    return Model(names, code, weights.astype(np.float32), bias.astype(np.float32), trust / trust.sum() * len(trust))
+    code = codewords(len(names)).astype(np.float32)
+    weights, bias = np.zeros((WIDTH, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
+    if len(names) < 2:
+        return Model(names, code, weights, bias, np.ones(code.shape[1]))
+    place = {v: i for i, v in enumerate(names)}
+    at = np.array([place[v] for v in languages])
+    target, importance = code[at], (len(at) / (len(names) * np.bincount(at)))[at][:, None].astype(np.float32)
+    blocks = [slice(i, i + BLOCK) for i in range(0, len(rows), BLOCK)]
+    dense = [_dense(rows[b]) for b in blocks] if len(rows) <= 2 * SAMPLE else None
+    features = lambda i: dense[i] if dense else _dense(rows[blocks[i]])
+    step = np.float32(8.0)
+    for _ in range(ROUNDS):
+        slope, tilt = np.zeros_like(weights), np.zeros_like(bias)
+        for i, b in enumerate(blocks):
+            x = features(i)
+            pull = -target[b] / (1 + np.exp(np.clip(target[b] * (x @ weights + bias), -30, 30))) * importance[b] / len(rows)
+            slope += x.T @ pull
+            tilt += pull.sum(0)
+        weights -= step * (slope + np.float32(1e-6) * weights)
+        bias -= step * tilt
+    margin = np.concatenate([features(i) @ weights + bias for i in range(len(blocks))]) * target
+    trust = np.clip((margin > 0).mean(0) * 2 - 1, 0.05, 1)
+    scale = (4 / np.maximum(np.median(np.abs(margin), axis=0), 1e-9)).astype(np.float32)
+    return Model(names, code, weights * scale, bias * scale, trust / trust.sum() * len(trust))
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on about ``sample`` documents, as many of each language, outside the held-out quarter."""
+    """Fit on about ``sample`` documents, as many of each language, outside the held-out quarter.
+
+    Every language that a document has is learned. Rows that share id and text count once.
+    """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    n = max(1, len(known.select("lang").distinct().limit(LANGUAGES).collect()))
-    chosen = per_class(known, "lang", max(4, sample // n), LANGUAGES).select("doc_id", "lang", "text")
+    chosen = per_class(known, "lang", lambda n: max(LEAST, sample // max(1, n)), "doc_id", "text").dropDuplicates(["doc_id", "text", "lang"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -132,11 +152,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
             out = {"doc_id": [x[0] for x in found], "lang": [x[1] for x in found], "at": [a.astype(np.int32) for a in at]}
             yield pd.DataFrame(out | {"n": [x[2][a] for x, a in zip(found, at, strict=True)]})
 
-    rows = chosen.mapInPandas(run, "doc_id long, lang string, at array<int>, n array<float>").toPandas().sort_values("doc_id", kind="stable")
-    features = np.zeros((len(rows), WIDTH), np.float32)
-    for i, (at, n) in enumerate(zip(rows["at"], rows["n"], strict=True)):
-        features[i, at] = n
-    return fit(features, list(rows["lang"]))
+    rows = chosen.mapInPandas(run, "doc_id long, lang string, at array<int>, n array<float>").toPandas().sort_values(["doc_id", "lang"], kind="stable")
+    return fit(list(zip(rows["at"], rows["n"], strict=True)), list(rows["lang"]))
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -144,7 +161,8 @@ def identified(docs: DataFrame) -> DataFrame:
 
     ``und`` (score 0, ambiguous) for a null text, one without a letter, or if nothing was
     there to learn from. With one learned language all other texts get it. Repeated rows are
-    judged alike; extra columns are ignored.
+    judged alike; extra columns are ignored; an empty table gives no rows. A text is read
+    whole however long; what is kept of it is one count a feature.
     """
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs))
 

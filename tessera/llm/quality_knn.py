@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.samples import held_out, per_class
+from tessera.llm.samples import held_out, labelled_texts
 
 CLASSES = 64
 #: Word shapes: three shares of a text, each in eight steps.
@@ -120,12 +120,7 @@ def fit(features: np.ndarray, labels: np.ndarray) -> Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_per_label: int = SAMPLE_PER_LABEL) -> Model:
-    """Fit on about ``sample_per_label`` documents of each label outside the held-out quarter.
-
-    The sample's ids, bounded by that number, are broadcast: no text is shuffled.
-    """
-    known = labels.filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    sample = per_class(known, "quality", sample_per_label)
+    """Fit on about ``sample_per_label`` documents of each label outside the held-out quarter."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -133,7 +128,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_per_label: int = SAMPLE_PER
             at = [np.flatnonzero(c) for c in found]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "at": [a.astype(np.int32) for a in at], "n": [c[a] for c, a in zip(found, at, strict=True)]})
 
-    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
+    texts = labelled_texts(docs, labels, sample_per_label)
     rows = texts.mapInPandas(run, "doc_id long, quality int, at array<int>, n array<float>").toPandas().sort_values("doc_id", kind="stable")
     features = np.zeros((len(rows), WIDTH), np.float32)
     for i, (at, n) in enumerate(zip(rows["at"], rows["n"], strict=True)):

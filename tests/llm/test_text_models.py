@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tessera.llm import langid_ecoc, line_crf, quality_knn
+from tessera.llm import langid_ecoc, line_crf, quality_knn, samples
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean"
 EDGE = [(1, None), (2, ""), (3, " \n\t"), (4, "123 !!! ***"), (5, "one"), (5, "one"), (None, "no id"), (6, "very long " * 200_000), (7, "é"), (8, "\x00 ퟿ 語 "), (9, "\n\n\nline\n\n")]
@@ -85,6 +85,46 @@ def test_codewords():
         assert (np.abs(code.sum(0)) < n).all()
 
 
+def test_decoding_takes_the_codeword_of_least_weighted_loss():
+    """Blocked decoding against a sum over bits, language by language."""
+    rng = np.random.default_rng(8)
+    names = [f"l{i}" for i in range(9)]
+    code = langid_ecoc.codewords(9)
+    bits = code.shape[1]
+    model = langid_ecoc.Model(names, code, rng.standard_normal((langid_ecoc.WIDTH, bits)).astype(np.float32), rng.standard_normal(bits).astype(np.float32), rng.random(bits))
+    texts = ["".join(rng.choice(list("abcdé "), 60)) for _ in range(40)] + ["1 2 3", None]
+    got = model.predict(texts)
+    for text, lang, score, unsure in zip(texts, got["lang_pred"], got["score"], got["ambiguous"], strict=True):
+        c = langid_ecoc.counts(text)
+        if c is None:
+            assert (lang, score, unsure) == ("und", 0.0, True)
+            continue
+        x = np.sqrt(c) / np.linalg.norm(np.sqrt(c))
+        loss = [sum(model.trust[b] * np.log1p(np.exp(-code[i, b] * float(x @ model.weights[:, b] + model.bias[b]))) for b in range(bits)) for i in range(9)]
+        first, second = sorted(loss)[:2]
+        assert lang == names[int(np.argmin(loss))]
+        assert score == pytest.approx(1 / sum(np.exp(first - v) for v in loss), abs=1e-3)
+        assert unsure == (second - first < langid_ecoc.AMBIGUOUS_MARGIN) or abs(second - first - langid_ecoc.AMBIGUOUS_MARGIN) < 1e-4
+
+
+def test_every_language_is_learned(spark):
+    """More languages than any cap, rare ones beside a hot one whose rows repeat."""
+    words = ["".join(x) for x in itertools.product("bcdfgklmnprst", "aeiou", "bcdfgklmnprst")]
+    own = lambda i: " ".join(words[(i * 31 + j) % len(words)] for j in range(3)) + " "
+    rows = [(1000 * i + j, own(i) * 6, f"l{i}") for i in range(40) for j in range(4)] + [(7, own(0) * 6, "l0")] * 400 + [(None, own(1) * 6, "l1")] * 200
+    model = langid_ecoc.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 64)
+    assert len(model.languages) == 40
+    got = model.predict([own(i) * 4 for i in range(40)])["lang_pred"]
+    assert np.mean([g == f"l{i}" for i, g in enumerate(got)]) > 0.9
+
+
+def test_samples_keep_one_row_of_an_id(spark):
+    docs = spark.createDataFrame([(5, f"text {i % 3}") for i in range(3000)] + [(None, "x")] * 500 + [(8, "other"), (8, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(5, 1), (5, 0), (None, 1), (8, 0)], "doc_id long, quality int")
+    got = sorted((r["doc_id"], r["quality"]) for r in samples.labelled_texts(docs, labels, 10).collect())
+    assert got == [(i, q) for i, q in ((5, 1), (8, 0)) if not out_of_fold(i)]
+
+
 def test_language_edges(spark):
     rows = [(100 + i, "the cat sat on a mat " * 3 if i % 2 else "le chat est sur la table " * 3, "en" if i % 2 else "fr", None, None, 0.0, None) for i in range(60)]
     docs = edge(spark).unionByName(spark.createDataFrame(rows, DOCS))
@@ -159,10 +199,87 @@ def test_likelihood_gradient(monkeypatch):
 def test_line_rules_follow_labels(tables):
     docs, labels = tables
     truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
-    rows = line_crf.judged(docs, labels).collect()
+    model = line_crf.learn(docs, labels)
+    verdict = line_crf.judge(docs.sparkSession, model)
+    rows = docs.select("doc_id", "text", verdict(docs["text"]).alias("v")).select("doc_id", "text", "v.*").collect()
     assert all(not (r["kept"] and r["base_failed"]) for r in rows)
     own = [r for r in rows if r["doc_id"] in truth and not r["base_failed"] and out_of_fold(r["doc_id"])]
     assert np.mean([r["kept"] == (truth[r["doc_id"]] == 1) for r in own]) > 0.97
+    # kept and content_share by one path a document, and the share of documents with both states
+    mixed = []
+    for r in rows[::20]:
+        features, words, _ = line_crf.lines_of(r["text"], model.known)
+        states = best_path(features @ model.emit, model.move)
+        share = sum(n for n, s in zip(words.tolist(), states, strict=True) if s) / max(1, r["n_words"])
+        assert r["content_share"] == pytest.approx(share)
+        assert r["kept"] == (not r["base_failed"] and share >= line_crf.CONTENT_SHARE)
+        if len(states) > 1:
+            mixed.append(len(set(states)) == 2)
+    assert np.mean(mixed) > 0.05
+
+
+def best_path(score, move):
+    """The states of the best path, by one step after the other."""
+    best, back = [list(score[0])] if len(score) else [], []
+    for line in score[1:]:
+        ways = [[best[-1][i] + move[i, j] for i in (0, 1)] for j in (0, 1)]
+        back.append([int(np.argmax(w)) for w in ways])
+        best.append([line[j] + max(ways[j]) for j in (0, 1)])
+    states = [int(np.argmax(best[-1]))] if best else []
+    for step in reversed(back):
+        states.append(step[states[-1]])
+    return states[::-1]
+
+
+def sentence(rng):
+    words = ["".join(rng.choice(list("abcdefghilmnoprstu"), rng.integers(2, 9))) for _ in range(rng.integers(9, 18))]
+    return " ".join(words).capitalize() + "."
+
+
+def test_boilerplate_inside_good_documents(spark):
+    """Planted lines are marked, their neighbours aren't; prose in bad documents is content."""
+    rng = np.random.default_rng(9)
+    menu, plea = "Home | About | Terms | Contact | Login", "Subscribe to our newsletter today"
+    rows, truth = [], []
+    for i in range(240):
+        prose = [sentence(rng) for _ in range(8)]
+        if i % 2:
+            lines = prose[:3] + [menu] + prose[3:6] + ([plea] if i % 4 == 1 else []) + prose[6:]
+        else:
+            junk = [" | ".join(rng.choice(["BUY", "now", "Click", "sale", "$$$", "Best"], 7)) for _ in range(12)]
+            lines = junk[:6] + prose[:2] + junk[6:]
+        rows.append((i, "\n".join(lines)))
+        truth.append(lines)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(240)], "doc_id long, quality int")
+    model = line_crf.learn(docs, labels)
+    wrong = lines_in_all = 0
+    for i in (x for x in range(240) if out_of_fold(x)):
+        score, _, lengths = model.scores([rows[i][1]])
+        states = model.best_path(score, lengths)
+        wanted = [int(line not in (menu, plea) and line.endswith(".")) for line in truth[i]]
+        wrong += sum(a != b for a, b in zip(states, wanted, strict=True))
+        lines_in_all += len(wanted)
+        if i % 2:
+            at = truth[i].index(menu)
+            assert states[at] == 0 and states[at - 1] == 1 and states[at + 1] == 1
+    assert wrong < 0.03 * lines_in_all
+
+
+def test_lines_of_copies_are_not_known():
+    one = np.arange(1, 30, dtype=np.uint64)
+    near = [np.concatenate([one[:20], [np.uint64(1000 + i)], one[20:]]) for i in range(9)]
+    footer = [np.array([50 + 3 * i, 51 + 3 * i, 7777], np.uint64) for i in range(5)]
+    assert line_crf.known_lines([one] * 9 + near + footer) == {7777}
+
+
+def test_a_long_text_of_many_lines(spark):
+    """1.5 MB in two-character lines: scores of all lines, features of a few thousand at a time."""
+    model = line_crf.Model(np.random.default_rng(2).standard_normal((line_crf.FEATURES, 2)), np.zeros((2, 2)))
+    text = "ab\n" * 300_000 + "c d\n" * 200_000
+    score, words, lengths = model.scores([None, text, ""])
+    assert lengths.tolist() == [0, 500_000, 0] and words.sum() == 700_000
+    assert np.allclose(score[400_000], score[499_999]) and line_crf.base_counts(text)[3] == 499_998
 
 
 def test_line_rules_edges(spark, tables):
