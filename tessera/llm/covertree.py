@@ -36,6 +36,8 @@ BLOCK_BYTES = 16 << 20
 CELLS, SAMPLE = 1024, 4096
 #: Rows of a leaf of either tree; children of an eighth of that, or fewer, share leaves.
 QUERY_LEAF, DATA_LEAF = 16, 128
+#: Sibling leaves of data that a leaf of queries meets in one product.
+TOGETHER = 8
 #: Scores and positions share a 64-bit integer while products stay below this.
 EXACT = 1 << 46
 NOTHING = np.iinfo(np.int64).min
@@ -190,31 +192,42 @@ def search(queries: np.ndarray, own: np.ndarray, data: np.ndarray, ids: np.ndarr
     def worst(a: int) -> int:
         return int(best.floor[over.start[a] : over.end[a]].min())
 
-    heap, n, products = [(-float(bounds(0, 0)), 0, 0, 0)], 0, 0
-    while heap:
-        high, _, a, b = heapq.heappop(heap)
-        if -high < worst(a):
-            continue
-        if not over.children[a] and not under.children[b]:
-            at, rows = slice(over.start[a], over.end[a]), slice(under.start[b], under.end[b])
+    def evaluate(a: int, leaves: np.ndarray, limit: np.ndarray) -> None:
+        """Meet a leaf of queries with sibling leaves: the likeliest, then a few at a time."""
+        nonlocal products
+        at, order = slice(over.start[a], over.end[a]), np.argsort(-limit, kind="stable")
+        for some in np.split(order, range(1, len(order), TOGETHER)):
+            some = leaves[some[limit[some] >= worst(a)]]
+            if not len(some):
+                return
+            rows = np.concatenate([np.arange(under.start[b], under.end[b]) for b in some])
             scores = np.rint(q[at] @ d[rows].T).astype(np.int64)
             products += scores.size
             same = own_[at][:, None] == ids_[rows][None, :]
             if same.any():
                 scores = np.where(same, NOTHING // (2 * span), scores)
             best.add(at, scores, under.order[rows])
-        elif over.children[a] and (over.radius[a] >= under.radius[b] or not under.children[b]):
+
+    heap, n, products = [(-float(bounds(0, 0)), 0, 0, 0)], 0, 0
+    while heap:
+        high, _, a, b = heapq.heappop(heap)
+        if -high < worst(a):
+            continue
+        if over.children[a] and (over.radius[a] >= under.radius[b] or not under.children[b]):
             some = np.arange(over.child[a], over.child[a] + over.children[a])
             for x, limit in zip(some.tolist(), bounds(some, b).tolist(), strict=True):
                 if limit >= worst(x):
                     n += 1
                     heapq.heappush(heap, (-limit, n, x, b))
-        else:
-            some = np.arange(under.child[b], under.child[b] + under.children[b])
-            limit = bounds(a, some)
-            for i in np.flatnonzero(limit >= worst(a)).tolist():
-                n += 1
-                heapq.heappush(heap, (-float(limit[i]), n, a, int(some[i])))
+            continue
+        some = np.arange(under.child[b], under.child[b] + under.children[b]) if under.children[b] else np.array([b])
+        limit = bounds(a, some)
+        leaves = (under.children[some] == 0) & (not over.children[a])
+        for i in np.flatnonzero(~leaves & (limit >= worst(a))).tolist():
+            n += 1
+            heapq.heappush(heap, (-float(limit[i]), n, a, int(some[i])))
+        if leaves.any():
+            evaluate(a, some[leaves], limit[leaves])
     if walk is not None:
         walk.pairs += len(q) * len(d)
         walk.products += products
@@ -428,7 +441,7 @@ def top_k(embeddings: DataFrame, every: int = 20, k: int = K, query_block: int =
     home = data_cells.first[agree.argmax(1)]
     homes = spark.createDataFrame([(int(c), int(home[c])) for c in np.flatnonzero(query_cells.count)], "cell int, d int")
     lowest = F.lit(1 - (1 << 63)).cast("long")
-    tasks = 4 * spark.sparkContext.defaultParallelism + query_cells.n_blocks
+    tasks = len({(int(query_cells.first[c]) + i, int(home[c])) for c in np.flatnonzero(query_cells.count) for i in range(min(1024, query_cells.blocks[c]))})
     found = materialize(_searched(queries.join(homes, "cell").withColumn("floor", lowest), data, k, tasks), "topk-first")
 
     kth = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth")).withColumnRenamed("query_id", "vec_id")
@@ -441,9 +454,10 @@ def top_k(embeddings: DataFrame, every: int = 20, k: int = K, query_block: int =
     layout = spark.createDataFrame([(int(i), int(data_cells.first[i]), int(data_cells.blocks[i])) for i in np.flatnonzero(data_cells.count)], "d_cell int, first int, blocks int")
     blocks = near.join(layout, "d_cell").select("cell", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("blocks") - 1)).alias("d")).distinct()
     blocks = materialize(blocks.join(homes, ["cell", "d"], "left_anti"), "cell-blocks")
-    met = blocks.join(spark.createDataFrame([(int(c), int(query_cells.blocks[c])) for c in np.flatnonzero(query_cells.count)], "cell int, parts int"), "cell").agg(F.sum("parts").alias("n")).first()["n"] or 0
+    parts = spark.createDataFrame([(int(c), int(query_cells.first[c]), int(query_cells.blocks[c])) for c in np.flatnonzero(query_cells.count)], "cell int, first int, blocks int")
+    met = blocks.join(parts, "cell").select("d", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("blocks") - 1)).alias("q")).distinct().count()
     if met:
-        found = found.unionByName(_searched(floored.join(blocks, "cell"), data, k, min(met, 100_000)))
+        found = found.unionByName(_searched(floored.join(blocks, "cell"), data, k, met))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
