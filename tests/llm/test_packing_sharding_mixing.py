@@ -9,6 +9,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -31,17 +32,15 @@ EDGE = [(1, None, "a"), (2, "", "a"), (3, "  \n\t ", None), (4, "word", "b"), (4
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_encoder_equals_the_tokenizer(tokenizer, spark, tiny):
     texts = [r["text"] for r in spark.read.parquet(f"{tiny}/documents.parquet").select("text").collect()]
     rng = random.Random(3)
     texts += ["".join(rng.choice("ab'sé 1.\n\t  \xa0\u3000\x1c<|>") for _ in range(200)) for _ in range(300)]
-    texts += ["", " ", "  a", "a ", "a  b", " a b", "a \nb", "it's  we'll", "<|endoftext|> a", "\x85a b\x85 c"]
-    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    texts += ["", " ", "  a", "a ", "a  b", " a b", "a \nb", "it's  we'll", "<|endoftext|> a", "a <|endoftext|><|endoftext|>\n b <|endoftext", "\x85a b\x85 c"]
+    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, packing.SPECIAL)
     for t in texts:
         assert list(array.array("I", encode(t))) == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
@@ -136,53 +135,136 @@ def test_capacity_is_the_smallest():
         assert found == min(c for c in range(max(sizes), sum(sizes) + 1) if parts(c) <= k)
 
 
-def brute_boundaries(groups, shards):
-    keys = sorted(groups)
-    sizes = [groups[k] for k in keys]
-    cap = sharding.smallest_capacity(sizes, shards, 0)
-    out, n, used = {}, 0, 0
-    for k, s in zip(keys, sizes, strict=True):
-        if used + s > cap:
-            n, used = n + 1, 0
-        used += s
-        out[k] = n
-    return out
-
-
 def key_of(text):
     return int(hashlib.md5((text or "").encode()).hexdigest()[:15], 16)
 
 
-@pytest.mark.parametrize("which", ["small", "edge", "hot"])
-def test_sharding_is_minimax(spark, small, which):
-    if which == "small":
-        docs = spark.read.parquet(f"{small}/documents.parquet")
-    else:
-        docs = docs_of(spark, EDGE if which == "edge" else [(i, "same text again" if i % 3 else f"text {i} " * (i % 9), "s") for i in range(600)])
-    texts = docs.select("doc_id", "text").collect()
-    rows = sharding.sharded(docs).collect()
+def least_capacity(sizes, shards):
+    """By trying every capacity that some run of groups has."""
+    runs = sorted({sum(sizes[i:j]) for i in range(len(sizes)) for j in range(i + 1, len(sizes) + 1)}) or [0]
+
+    def fits(cap):
+        n, used = 1, 0
+        for s in sizes:
+            if s > cap:
+                return False
+            if used + s > cap:
+                n, used = n + 1, 0
+            used += s
+        return n <= shards
+
+    return next(c for c in runs if fits(c))
+
+
+def check_shards(texts, rows, shards=8):
+    """Groups whole, heavy ones alone, the others contiguous in hash order within the least capacity."""
     groups = Counter()
     for r in texts:
         groups[key_of(r["text"])] += len((r["text"] or "").encode()) + 1
-    want = brute_boundaries(groups, 8)
-    assert Counter((r["doc_id"], r["shard"]) for r in rows) == Counter((r["doc_id"], want[key_of(r["text"])]) for r in texts)
+    crc = {zlib.crc32((r["text"] or "").encode()): key_of(r["text"]) for r in texts}
+    shard_of = defaultdict(set)
+    for r in rows:
+        shard_of[crc[r["text_crc32"]]].add(r["shard"])
+    assert all(len(v) == 1 for v in shard_of.values()) and set(shard_of) == set(groups)
+    left, total, n = sorted(groups.items(), key=lambda g: (-g[1], g[0])), sum(groups.values()), 0
+    while left and shards - n > 1 and left[0][1] * (shards - n) >= total:
+        key, size = left.pop(0)
+        assert shard_of[key] == {n}
+        total, n = total - size, n + 1
+    order = sorted(left)
+    places = [min(shard_of[k]) for k, _ in order]
+    assert places == sorted(places) and all(n <= p < shards for p in places)
+    loads = Counter()
+    for (_, size), place in zip(order, places, strict=True):
+        loads[place] += size
+    if order:
+        whole = sharding.smallest_capacity([s for _, s in order], shards - n)
+        assert max(loads.values()) == whole
+        if len(order) < 60:
+            assert whole == least_capacity([s for _, s in order], shards - n)
     slots = defaultdict(list)
     for r in rows:
         slots[r["shard"]].append(r["slot"])
         assert r["law"] == "bytes" and r["grown_shard"] is None
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    crc = {r["doc_id"]: zlib.crc32((r["text"] or "").encode()) for r in texts}
-    assert all(r["text_crc32"] == crc[r["doc_id"]] for r in rows)
-
-
-def test_sharding_refines_to_single_groups(spark, monkeypatch):
-    """With one bit a step the boundaries are the same as with twelve."""
-    docs = docs_of(spark, [(i, f"text {i} " * (i % 17), "s") for i in range(300)])
-    rows = docs.select(sharding.text_key(F.col("text")).alias("key"), (F.length("text") + 1).cast("long").alias("size"))
-    whole = sharding.boundaries(rows)
-    monkeypatch.setattr(sharding, "STEP_BITS", 3)
-    assert sharding.boundaries(rows) == whole
-    assert sharding.sharded(docs_of(spark, [])).count() == 0
+    return loads
+
+
+@pytest.mark.parametrize("which", ["small", "edge", "hot", "few"])
+def test_sharding_is_minimax(spark, small, which):
+    if which == "small":
+        docs = spark.read.parquet(f"{small}/documents.parquet")
+    else:
+        rows = {"edge": EDGE, "hot": [(i, "same text again" if i % 3 else f"text {i} " * (i % 9), "s") for i in range(600)], "few": [(i, f"text {i:02}", "s") for i in range(10)]}
+        docs = docs_of(spark, rows[which])
+    texts = docs.select("doc_id", "text").collect()
+    rows = sharding.sharded(docs).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == Counter((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in texts)
+    loads = check_shards(texts, rows)
+    if which in ("small", "few"):
+        assert max(loads.values()) <= 2 * min(loads.values()) and len(loads) == 8
+
+
+def test_repeated_rows_overfill_no_bucket(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 50)
+    docs = docs_of(spark, [(i, f"text {i}", "s") for i in range(300)] + [(7, "again", "s")] * 1500 + [(None, "nobody's", "s")] * 700)
+    rows = sharding.sharded(docs).collect()
+    check_shards(docs.select("doc_id", "text").collect(), rows)
+    assert Counter(r["doc_id"] for r in rows)[7] == 1501
+    again = sorted(r["slot"] for r in rows if r["text_crc32"] == zlib.crc32(b"again"))
+    assert again == list(range(again[0], again[0] + 1500))
+
+
+def cut_by_entries(keys, sizes, shards, step, monkeypatch):
+    """(loads, entries read) of boundaries over sorted keys, without Spark."""
+    monkeypatch.setattr(sharding, "STEP_BITS", step)
+    read = []
+
+    def entries(inside, shift):
+        k, s = keys[inside], sizes[inside]
+        prefix, start = np.unique(k >> shift, return_index=True)
+        end = np.append(start[1:], len(k))
+        upto = np.append(0, np.cumsum(s))
+        read.append(len(prefix))
+        return [sharding.Entry(int(k[a]), int(x), shift, int(upto[b] - upto[a]), b - a == 1) for x, a, b in zip(prefix, start, end, strict=True)]
+
+    def refine(which):
+        out = []
+        for shift in {e.shift for e in which}:
+            out += entries(np.isin(keys >> shift, [e.prefix for e in which if e.shift == shift]), max(0, shift - step))
+        return out
+
+    cuts = sharding.boundaries(entries(np.ones(len(keys), bool), sharding.KEY_BITS - sharding.FIRST_BITS), refine, shards)
+    at = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
+    return [int(sizes[a:b].sum()) for a, b in zip(at, at[1:])], sum(read)
+
+
+@pytest.mark.parametrize("large", [[], [4], [9], [7, 7, 7], [20] * 9, [3, 12]])
+def test_the_driver_holds_few_entries(large, monkeypatch):
+    """400,000 groups and groups of a third, a quarter, a ninth of all: least capacity, bounded entries."""
+    rng = np.random.default_rng(len(large))
+    sizes = rng.integers(50, 4000, 400_000)
+    sizes = np.append(sizes, [sizes.sum() // part for part in large]).astype(np.int64)
+    rng.shuffle(sizes)
+    keys = np.unique(rng.integers(0, 1 << 60, len(sizes) + 99))[: len(sizes)]
+    top = np.argsort(-sizes, kind="stable")[:8]
+    heavy = sharding.heavy_groups([(int(keys[i]), int(sizes[i])) for i in top], int(sizes.sum()), 8)
+    rest = ~np.isin(keys, heavy)
+    loads, read = cut_by_entries(keys[rest], sizes[rest], 8 - len(heavy), 6, monkeypatch)
+    assert read < 10_000
+    assert max(loads) == sharding.smallest_capacity(sizes[rest].tolist(), 8 - len(heavy))
+    if len(large) < 2:
+        assert max(loads) < 1.2 * min(loads)
+
+
+@pytest.mark.parametrize("step", [1, 3, 12])
+def test_refinement_steps_agree(step, monkeypatch):
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 40, 3000):
+        keys = np.unique(rng.integers(0, 1 << 60, n + 5))[:n]
+        sizes = rng.integers(1, 60, n) ** 2
+        loads, _ = cut_by_entries(keys, sizes, 5, step, monkeypatch)
+        assert sum(loads) == sizes.sum() and max(loads) == sharding.smallest_capacity(sizes.tolist(), 5)
 
 
 # --- mixing -----------------------------------------------------------------------------
