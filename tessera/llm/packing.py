@@ -176,7 +176,8 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_
     """Give every piece a sequence and an offset; offsets in a sequence are gapless from 0.
 
     ``cut_pieces`` is read twice (its token total sets the number of tasks), so hand in a
-    written table. Within a task pieces come in hash order: a rerun packs alike.
+    written table. Within a task pieces come in hash order: a rerun packs alike. A column
+    ``row`` that tells equal pieces apart keeps many of them from one task.
     """
     total = cut_pieces.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
     tasks = max(1, -(-total // (capacity * task_sequences)))
@@ -195,15 +196,17 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_
                 sequence, offset = pa.array([base + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns, sequence, offset], names=[*part.schema.names, "sequence_id", "offset"])
 
-    order = F.xxhash64("doc_id", "piece")
+    order = F.xxhash64("doc_id", "piece", *(["row"] if "row" in cut_pieces.columns else []))
     dealt = cut_pieces.repartition(tasks, order).sortWithinPartitions(order, "doc_id", "piece", "ids_crc32")
-    return dealt.mapInArrow(run, PACKED)
+    return dealt.drop("row").mapInArrow(run, PACKED)
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
     """Tokenise, cut and pack whole documents.
 
     Null and empty texts are one-token documents. Extra columns are ignored. An empty table
-    gives no rows. Equal (doc_id, piece) rows of repeated documents are packed separately.
+    gives no rows. Equal (doc_id, piece) rows of repeated documents are packed separately. A
+    long text is encoded whole, in one worker's memory, and then cut.
     """
-    return pack(materialize(pieces(docs, capacity), "pieces"), capacity, open_bins)
+    cut_pieces = pieces(docs, capacity).withColumn("row", F.monotonically_increasing_id())
+    return pack(materialize(cut_pieces, "pieces"), capacity, open_bins)
