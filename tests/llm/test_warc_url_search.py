@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import io
+import itertools
+import random
+import re
 import struct
+import time
 import zipfile
 from collections import Counter
 
@@ -126,11 +130,67 @@ def test_mined_rules_block(spark):
 
 
 def test_rules_need_all_their_tokens(spark):
-    rules = spark.createDataFrame([(["dir:a", "dir:b"], 0.9, 0.1, 2.0)], url_rules.RULE_SCHEMA)
+    rules = spark.createDataFrame([(["dir:a", "dir:b"], 0.9, 0.1, 2.0, "dir:b")], url_rules.RULE_SCHEMA)
     urls = pages_of(spark, [(1, "http://h/a/b", ""), (2, "http://h/a", ""), (3, None, ""), (4, "http://h/b/x/a?q=1", "")])
     assert {r["url"] for r in url_rules.matches(urls, rules).collect()} == {"http://h/a/b", "http://h/b/x/a?q=1"}
 
 
+def brute_tokens(url):
+    """(base tokens, the others in order) of one url."""
+    host, path = brute_rule(url)[:2]
+    zero = lambda x: "0" if re.fullmatch(r"[0-9]+", x) else x
+    ext = re.search(r"\.([A-Za-z0-9]+)$", path)
+    words = [x for x in (path[: ext.start()] if ext else path).split("/") if x]
+    labels = ["name:" + zero(x) for x in reversed(host.split(".")) if x]
+    base = dict.fromkeys([f"host:{host}", f"depth:{len(words)}", f"ext:{ext[1] if ext else ''}", "fragment" if "#" in url else "whole", *labels[:2]])
+    rest = dict.fromkeys([*labels[2:], *("dir:" + zero(x) for x in words), *("query:" + zero(x) for x in re.findall(r"[?&]([^=&#]+)", url))])
+    return list(base), [t for t in rest if t not in base]
+
+
+def brute_rules(rows, least, sure):
+    """{tokens: (confidence, support)} by counting every set that a blocked url offers."""
+    known = [(*brute_tokens(u), b) for u, b in rows if u is not None and b is not None]
+    sets = set()
+    for base, rest, blocked in known:
+        if blocked:
+            for at in range(0, max(1, len(rest)), url_rules.TOGETHER):
+                some = sorted(base + rest[at : at + url_rules.TOGETHER])
+                sets |= {c for n in range(1, len(some) + 1) for c in itertools.combinations(some, n)}
+    rules = {}
+    for c in sets:
+        fits = [b for base, rest, b in known if set(c) <= {*base, *rest}]
+        if sum(fits) >= least and sum(fits) / len(fits) >= sure:
+            rules[c] = (sum(fits) / len(fits), sum(fits) / len(known))
+    return {c: v for c, v in rules.items() if not any(rules.get(c[:i] + c[i + 1 :], (0,))[0] >= v[0] for i in range(len(c)))}
+
+
+def test_rules_are_all_there_with_their_counts(spark):
+    rng = random.Random(6)
+    rows = [(None, True), ("http://a/b", None)]
+    for _ in range(260):
+        bad = rng.random() < 0.4
+        host = rng.choice(["b.c.example", "spam.example" if bad else "a.example"])
+        words = [rng.choice(["x", "y", "12", "win" if bad else "z", "a b"]) for _ in range(rng.randint(0, 7))]
+        rows.append((f"http://{host}/{'/'.join(words)}{rng.choice(['', '.html', '?id=1&buy=2'])}", bad if rng.random() < 0.95 else not bad))
+    got = url_rules.mine(spark.createDataFrame(rows, "url string, blocked boolean")).collect()
+    want = brute_rules(rows, url_rules.MIN_COUNT, url_rules.MIN_CONFIDENCE)
+    assert len(want) > 3 and {tuple(r["antecedent"]) for r in got} == set(want)
+    for r in got:
+        assert (r["confidence"], r["support"]) == pytest.approx(want[tuple(r["antecedent"])]) and r["token"] in r["antecedent"]
+
+
+def test_a_hot_deep_url(spark):
+    """60 copies of a url of 24 words among 1000, and one of 3000 words: seconds, not minutes."""
+    deep = "http://deep.example/" + "/".join(f"w{i}" for i in range(24))
+    longest = "http://long.example/" + "/".join(f"v{i}" for i in range(3000))
+    rows = [(deep, True)] * 60 + [(f"http://h{i % 9}.example/p/{i}", False) for i in range(940)]
+    began = time.perf_counter()
+    rules = url_rules.mine(spark.createDataFrame(rows, "url string, blocked boolean"))
+    mined = url_rules.matches(spark.createDataFrame([(deep,), (longest,), (deep + "/more",), ("http://h1.example/p/1",)], "url string"), rules).collect()
+    assert {r["url"] for r in mined} == {deep, deep + "/more"} and time.perf_counter() - began < 90
+    assert all(len(r["antecedent"]) == 1 for r in rules.collect())
+
+
 # --- search -----------------------------------------------------------------------------
 
 
