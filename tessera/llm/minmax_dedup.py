@@ -6,12 +6,13 @@
    are the bands.
 2. Exact copies fold into their smallest id before anything is compared.
 3. In every band bucket all members are paired with its smallest and its largest id: two
-   pairs a member, however large the bucket. Pairs are confirmed on full shingle sets, and
-   confirmed links make components.
+   pairs a member, however large the bucket. Signatures rule most false pairs out; texts are
+   fetched for the others only, which full shingle sets confirm. Links make components.
 4. What the stars can't settle are buckets of four or more whose members lie in several
    components. There the members outside the bucket's main component are compared with all
-   of it, and with each other, in blocks of bounded size: signatures rule pairs out, full
-   sets confirm. So no pair that shares a bucket is left out unless it is already connected.
+   of it, and with each other, in blocks of bounded rows and bytes: by signature first, then
+   on full sets, for documents that have a likely partner in the block. So no pair that
+   shares a bucket is left out unless it is already connected.
 
 With 32 bands of 4 values a pair at similarity 0.75 shares no bucket with probability 5e-6,
 at 0.8 with 5e-8.
@@ -35,8 +36,8 @@ PERCENT = 75
 PERMUTATIONS, ROWS = 64, 4
 #: Share of equal signature bytes below which a pair at 0.75 is ruled out (5 sigma).
 LIKELY = 0.55
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 256
+#: Members of a bucket that one task compares with as many others, and the bytes of their texts.
+BLOCK, BLOCK_BYTES = 256, 8 << 20
 CACHED_WORDS = 300_000
 CHUNK = 2048
 
@@ -106,7 +107,12 @@ def bands(values: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-SIGNED = "doc_id long, n_shingles long, copy_key binary, bands array<long>, sig binary"
+SIGNED = "doc_id long, text_key long, bytes long, n_shingles long, copy_key binary, bands array<long>, sig binary"
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"))
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -115,7 +121,7 @@ def signed(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for text in batch.column(1):
+            for text in batch.column("text"):
                 words = words_of(text.as_py())
                 found = shingles(words)
                 values = signature(found) if words else None
@@ -124,10 +130,10 @@ def signed(docs: DataFrame) -> DataFrame:
                 out[2].append(bands(values) if words else None)
                 out[3].append((values & 0xFF).astype(np.uint8).tobytes() if words else None)
             kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
-            arrays = [batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "copy_key", "bands", "sig"])
+            arrays = [*(batch.column(c) for c in ("doc_id", "text_key", "bytes")), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "bytes", "n_shingles", "copy_key", "bands", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SIGNED)
+    return _texts(docs).mapInArrow(run, SIGNED)
 
 
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -138,32 +144,61 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (few + many - shared)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough. ``texts`` (doc_id, text, sig).
+def _both(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """a, b and the column of either. Plain equi-joins with nothing above them, so a hub's rows split."""
+    right = rows.select(F.col("doc_id").alias("b"), F.col(column).alias("of_b"))
+    left = rows.select(F.col("doc_id").alias("a"), F.col(column).alias("of_a"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "of_a", "of_b")
 
-    The signatures rule out most false pairs before sets are built. Both joins are plain
-    equi-joins with nothing above that needs a key's rows together, so a hub's rows split.
-    """
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"), F.col("sig").alias("sig_b"))
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"), F.col("sig").alias("sig_a"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "sig_a", "sig_b", "text_a", "text_b")
+
+def likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures don't rule them out. ``sigs`` (doc_id, sig)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("of_a", "of_b"))
+                yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= LIKELY))
+
+    return _both(pairs, sigs, "sig").mapInArrow(run, "a long, b long")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough. ``texts`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, None
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
+            a, keep = batch.column("a").to_pylist(), []
             for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_py(), np.uint8) for c in (2, 3))
-                if (x == y).mean() < LIKELY:
-                    continue
                 if a[i] != last:
-                    last, last_set = a[i], shingles(words_of(batch.column(4)[i].as_py()))
-                if _similar(last_set, shingles(words_of(batch.column(5)[i].as_py())), percent):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+                    last, last_set = a[i], shingles(words_of(batch.column("of_a")[i].as_py()))
+                keep.append(_similar(last_set, shingles(words_of(batch.column("of_b")[i].as_py())), percent))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return _both(pairs, texts, "text").mapInArrow(run, "a long, b long")
+
+
+def _near(groups: DataFrame, key: str) -> DataFrame:
+    """(key, i, j, is_left, doc_id): members whose signature is near one of the other side's, of another component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g in range(batch.num_rows):
+                sides = [batch.column(c)[g].values for c in ("left", "right")]
+                ids, comps = ([s.field(f).to_numpy() for s in sides] for f in ("doc_id", "component"))
+                sigs = [np.stack([np.frombuffer(v.as_py(), np.uint8) for v in s.field("sig")]) for s in sides]
+                found = [np.zeros(len(x), bool) for x in ids]
+                for n in range(len(ids[0])):
+                    near = ((sigs[1] == sigs[0][n]).mean(1) >= LIKELY) & (comps[1] != comps[0][n])
+                    found[0][n] = near.any()
+                    found[1] |= near
+                out = np.concatenate([x[f] for x, f in zip(ids, found, strict=True)])
+                place = [pa.array([batch.column(c)[g].as_py()] * len(out), k) for c, k in ((key, pa.int64()), ("i", pa.int32()), ("j", pa.int32()))]
+                is_left = np.repeat([True, False], [int(f.sum()) for f in found])
+                yield pa.RecordBatch.from_arrays([*place, pa.array(is_left), pa.array(out)], names=[key, "i", "j", "is_left", "doc_id"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return groups.mapInArrow(run, f"{key} long, i int, j int, is_left boolean, doc_id long")
 
 
 def _linked(groups: DataFrame, percent: int) -> DataFrame:
@@ -176,20 +211,14 @@ def _linked(groups: DataFrame, percent: int) -> DataFrame:
                 sides = [batch.column(c)[g].values for c in ("left", "right")]
                 ids, comps = ([s.field(f).to_numpy() for s in sides] for f in ("doc_id", "component"))
                 sigs = [np.stack([np.frombuffer(v.as_py(), np.uint8) for v in s.field("sig")]) for s in sides]
-                sets: list[dict[int, np.ndarray]] = [{}, {}]
+                sets = [[shingles(words_of(t.as_py())) for t in s.field("text")] for s in sides]
                 done = set()
-
-                def full(side: int, i: int, sets=sets, sides=sides) -> np.ndarray:
-                    if i not in sets[side]:
-                        sets[side][i] = shingles(words_of(sides[side].field("text")[i].as_py()))
-                    return sets[side][i]
-
                 for i in range(len(ids[0])):
                     same = (sigs[1] == sigs[0][i]).mean(1)
                     near = np.flatnonzero((same >= LIKELY) & (comps[1] != comps[0][i]))
                     for j in near[np.argsort(-same[near], kind="stable")]:
                         ends = (comps[0][i], comps[1][j])
-                        if ends not in done and _similar(full(0, i), full(1, int(j)), percent):
+                        if ends not in done and _similar(sets[0][i], sets[1][j], percent):
                             done.add(ends)
                             links.append((int(ids[0][i]), int(ids[1][j])))
             columns = [pa.array([f(x) for x in links], pa.int64()) for f in (min, max)]
@@ -198,53 +227,95 @@ def _linked(groups: DataFrame, percent: int) -> DataFrame:
     return groups.select("left", "right").mapInArrow(run, "a long, b long")
 
 
-def _met(left: DataFrame, right: DataFrame, key: str, texts: DataFrame, percent: int) -> DataFrame:
-    """Links between left and right rows (key, i, j, doc_id, component) of the same block pair."""
-    both = left.select(key, "i", "j", "doc_id", "component", F.lit(True).alias("is_left")).unionByName(right.select(key, "i", "j", "doc_id", "component", F.lit(False).alias("is_left")))
-    rows = both.join(texts, "doc_id").select(key, "i", "j", "is_left", F.struct("doc_id", "component", "sig", "text").alias("e"))
+def _grouped(rows: DataFrame, key: str) -> DataFrame:
+    """Block pairs (key, i, j, left, right) of rows (key, i, j, is_left, e) that have both sides."""
     side = lambda left: F.collect_list(F.when(F.col("is_left") == left, F.col("e")))
     groups = rows.groupBy(key, "i", "j").agg(side(True).alias("left"), side(False).alias("right"))
-    return _linked(groups.filter((F.size("left") > 0) & (F.size("right") > 0)), percent)
+    return groups.filter((F.size("left") > 0) & (F.size("right") > 0))
 
 
-def _blocks(n: Column) -> Column:
-    return F.ceil(n / F.lit(float(BLOCK))).cast("int")
+def _met(left: DataFrame, right: DataFrame, key: str, single: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links between left and right rows (key, i, j, doc_id, component) of the same block pair."""
+    side = lambda rows, is_left: rows.select(key, "i", "j", "doc_id", "component", F.lit(is_left).alias("is_left"))
+    both = materialize(side(left, True).unionByName(side(right, False)), "block-rows")
+    sigs = both.join(single.select("doc_id", "sig"), "doc_id")
+    near = _near(_grouped(sigs.select(key, "i", "j", "is_left", F.struct("doc_id", "component", "sig").alias("e")), key), key)
+    near = materialize(near, "block-near")
+    texts = texts_of(docs, near.select("doc_id").distinct(), single)
+    homes = both.select("doc_id", "component").distinct()
+    rows = near.join(homes, "doc_id").join(texts, "doc_id")
+    return _linked(_grouped(rows.select(key, "i", "j", "is_left", F.struct("doc_id", "component", "sig", "text").alias("e")), key), percent)
 
 
-def _at(n: Column) -> Column:
-    return F.pmod(F.xxhash64("doc_id"), _blocks(n)).cast("int")
+def texts_of(docs: DataFrame, ids: DataFrame, single: DataFrame) -> DataFrame:
+    """doc_id, text, sig of the ids, each once: the text that ``single`` (doc_id, text_key, sig, times) names."""
+    wanted = materialize(single.join(ids, "doc_id").select("doc_id", "text_key", "sig", "times"), "wanted")
+    found = _texts(docs).select("doc_id", "text_key", "text")
+    if not wanted.filter("times > 1").isEmpty():
+        found = found.dropDuplicates(["doc_id", "text_key"])
+    return materialize(found.join(wanted.drop("times"), ["doc_id", "text_key"]).select("doc_id", "text", "sig"), "texts")
 
 
-def _every(n: Column) -> Column:
-    return F.explode(F.sequence(F.lit(0), _blocks(n) - 1))
+def _blocks(n: Column, size: Column) -> Column:
+    return F.greatest(F.ceil(n / F.lit(float(BLOCK))), F.ceil(size / F.lit(float(BLOCK_BYTES)))).cast("int")
 
 
-def residual(members: DataFrame, owners: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _at(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.col(blocks)).cast("int")
+
+
+def _every(blocks: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+
+def residual(members: DataFrame, homes: DataFrame, single: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Links that the stars could not see, in buckets of four or more with several components.
 
-    ``members`` (band, doc_id, component), ``owners`` (doc_id, component) of all of them. What
-    stands outside a bucket's most frequent component is an outsider. Outsiders meet all of
-    that component, once whatever the number of bands they share, and each other within the
-    bucket, in blocks of about ``BLOCK`` rows a side. Full sets are compared where signatures
-    don't rule a pair out; what comes out is at most one link for two components and blocks.
+    ``members`` (band, doc_id, component, bytes), ``homes`` (doc_id, component, bytes) of all
+    of them. What stands outside a bucket's most frequent component is an outsider. Outsiders
+    meet all of that component, once whatever the number of bands they share, and each other
+    within the bucket, in blocks of about ``BLOCK`` rows and ``BLOCK_BYTES`` a side. What
+    comes out is at most one link for two components and blocks.
     """
-    by_comp = members.groupBy("band", "component").count()
-    mixed = by_comp.groupBy("band").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.max("count").alias("n_main"), F.sum("count").alias("n"))
-    mixed = mixed.filter((F.col("n") >= 4) & (F.col("n") > F.col("n_main"))).select("band", "main", (F.col("n") - F.col("n_main")).alias("n_out"))
+    by_comp = members.groupBy("band", "component").agg(F.count("*").alias("count"), F.sum("bytes").alias("bytes"))
+    most = F.max(F.struct("count", "component", "bytes")).alias("most")
+    mixed = by_comp.groupBy("band").agg(most, F.sum("count").alias("n"), F.sum("bytes").alias("bytes")).filter((F.col("n") >= 4) & (F.col("n") > F.col("most.count")))
+    out = _blocks(F.col("n") - F.col("most.count"), F.col("bytes") - F.col("most.bytes")).alias("parts")
+    # written first: a join of two plain exchanges lets Spark split a hot band's rows
+    mixed = materialize(mixed.select("band", F.col("most.component").alias("main"), (F.col("n") - F.col("most.count")).alias("n_out"), out), "mixed")
     outsiders = materialize(members.join(mixed, "band").filter("component <> main"), "outsiders")
 
-    asked = outsiders.select("main", "doc_id", "component").distinct()
-    n_asked = asked.groupBy("main").agg(F.count("*").alias("n_left"))
-    homes = owners.join(n_asked, owners["component"] == n_asked["main"])
-    sized = n_asked.join(homes.groupBy("main").agg(F.count("*").alias("n_right")), "main")
-    left = asked.join(sized, "main").select("main", "doc_id", "component", _at(F.col("n_left")).alias("i"), _every(F.col("n_right")).alias("j"))
-    right = homes.select("main", "doc_id", "component").join(sized, "main").select("main", "doc_id", "component", _at(F.col("n_right")).alias("j"), _every(F.col("n_left")).alias("i"))
-    with_main = _met(left, right, "main", texts, percent)
+    asked = materialize(outsiders.select("main", "doc_id", "component", "bytes").distinct(), "asked")
+    n_asked = asked.groupBy("main").agg(_blocks(F.count("*"), F.sum("bytes")).alias("lefts"))
+    n_asked = materialize(n_asked, "asked-blocks")
+    at_home = homes.withColumnRenamed("component", "main").join(n_asked, "main")
+    sized = materialize(at_home.groupBy("main").agg(F.first("lefts").alias("lefts"), _blocks(F.count("*"), F.sum("bytes")).alias("rights")), "home-blocks")
+    left = asked.join(sized, "main").select("main", "doc_id", "component", _at("lefts").alias("i"), _every("rights").alias("j"))
+    right = homes.withColumnRenamed("component", "main").join(sized, "main").select("main", "doc_id", F.col("main").alias("component"), _at("rights").alias("j"), _every("lefts").alias("i"))
+    with_main = _met(left, right, "main", single, docs, percent)
 
     several = outsiders.filter("n_out > 1")
-    left = several.select("band", "doc_id", "component", _at(F.col("n_out")).alias("i"), _every(F.col("n_out")).alias("j")).filter("i <= j")
-    right = several.select("band", "doc_id", "component", _at(F.col("n_out")).alias("j"), _every(F.col("n_out")).alias("i")).filter("i <= j")
-    return with_main.unionByName(_met(left, right, "band", texts, percent)).distinct()
+    left = several.select("band", "doc_id", "component", _at("parts").alias("i"), _every("parts").alias("j")).filter("i <= j")
+    right = several.select("band", "doc_id", "component", _at("parts").alias("j"), _every("parts").alias("i")).filter("i <= j")
+    return with_main.unionByName(_met(left, right, "band", single, docs, percent)).distinct()
+
+
+def _main_rows(table: DataFrame) -> DataFrame:
+    """``table`` with ``main`` (one row an id, or null id) and ``key``, its document's copy key, and ``times``.
+
+    Of rows that share an id, the one with words and the smallest hash of its text stands for
+    the document.
+    """
+    repeated = materialize(table.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("times")).filter("times > 1"), "repeated")
+    if repeated.isEmpty():
+        return table.select("*", F.lit(True).alias("main"), F.col("copy_key").alias("key"), F.lit(1).cast("long").alias("times"))
+    rows = table.select("doc_id", "copy_key", "text_key", "row").join(repeated.select("doc_id"), "doc_id")
+    first = rows.groupBy("doc_id").agg(F.min(F.struct(F.col("copy_key").isNull(), "text_key", "row", "copy_key")).alias("first"))
+    first = materialize(first.join(repeated, "doc_id").select("doc_id", F.col("first.row").alias("first_row"), F.col("first.copy_key").alias("first_key"), "times"), "first-rows")
+    main = F.col("first_row").isNull() | (F.col("first_row") == F.col("row"))
+    key = F.when(F.col("first_row").isNull(), F.col("copy_key")).otherwise(F.col("first_key"))
+    joined = table.join(first, "doc_id", "left")
+    return joined.select(*table.columns, main.alias("main"), key.alias("key"), F.coalesce("times", F.lit(1)).alias("times"))
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -252,35 +323,38 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Words are split at ASCII white space after lower-casing A-Z. Texts without a word have no
     shingle and are linked with nothing; those of fewer than five words have one. Rows of one
-    doc_id are one document. A row without an id is linked with nothing and kept (its
-    component_id is null). An empty table gives no rows.
+    doc_id are one document, which the row with words and the smallest hash of its text
+    stands for; n_shingles is each row's own. A row without an id is linked with nothing and
+    kept (its component_id is null). Long texts are read whole; tasks that compare texts take
+    them by bytes. Other columns are ignored. An empty table gives no rows.
     """
-    table = materialize(signed(docs), "signed")
-    copies = table.filter(F.col("copy_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("copy_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+    table = materialize(signed(docs).withColumn("row", F.monotonically_increasing_id()), "signed")
+    rows = _main_rows(table)
+    copies = rows.filter(F.col("main") & F.col("key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     # written first: a join of two plain exchanges lets Spark split a hot key's rows
-    copies = materialize(copies.filter("n > 1").select("copy_key", "first_id"), "copies")
-    narrow = table.select("doc_id", "n_shingles", "copy_key").join(copies, "copy_key", "left")
-    owners = materialize(narrow.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("first_id", "doc_id")).alias("owner")), "owners")
-
-    folded = owners.filter(F.col("owner") != F.col("doc_id")).select("doc_id").distinct()
-    single = table.filter(F.col("doc_id").isNotNull() & F.col("copy_key").isNotNull()).join(folded, "doc_id", "left_anti").select("doc_id", "bands", "sig")
-    single = materialize(single, "single")
-    rows = single.select("doc_id", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).filter("low <> high")
+    copies = materialize(copies.filter("n > 1").select("key", "first_id"), "copies")
+    narrow = rows.select("doc_id", "n_shingles", "key", "main").join(copies, "key", "left")
+    owners = materialize(narrow.select("doc_id", "n_shingles", "main", F.when(F.col("doc_id").isNotNull(), F.coalesce("first_id", "doc_id")).alias("owner")), "owners")
+
+    folded = owners.filter(F.col("main") & (F.col("owner") != F.col("doc_id"))).select("doc_id")
+    single = rows.filter(F.col("main") & F.col("doc_id").isNotNull() & F.col("copy_key").isNotNull()).join(folded, "doc_id", "left_anti")
+    single = materialize(single.select("doc_id", "text_key", "bytes", "bands", "sig", "times"), "single")
+    banded = single.select("doc_id", "bytes", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).filter("low <> high")
     shared = materialize(shared, "buckets")
-    members = materialize(rows.join(shared, "band"), "members")
+    members = materialize(banded.join(shared, "band"), "members")
     stars = members.select(F.explode(F.array("low", "high")).alias("hub"), "doc_id").filter("hub <> doc_id")
     stars = materialize(stars.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct(), "stars")
 
-    ids = members.select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = materialize(texts.join(single.select("doc_id", "sig").dropDuplicates(["doc_id"]), "doc_id"), "texts")
-    links = materialize(confirmed(stars, texts, percent), "links")
+    asked = materialize(likely(stars, single.select("doc_id", "sig")), "likely")
+    texts = texts_of(docs, asked.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), single)
+    links = materialize(confirmed(asked, texts, percent), "links")
     found = materialize(components(links), "components")
 
-    homes = materialize(texts.select("doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component")), "homes")
-    labelled = members.filter("n >= 4").select("band", "doc_id").join(homes, "doc_id")
-    more = materialize(residual(labelled, homes, texts, percent), "more-links")
+    homes = members.select("doc_id", "bytes").distinct().join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    homes = materialize(homes.select("doc_id", F.coalesce("component", "doc_id").alias("component"), "bytes"), "homes")
+    labelled = members.filter("n >= 4").select("band", "doc_id", "bytes").join(homes.select("doc_id", "component"), "doc_id")
+    more = materialize(residual(labelled, homes, single, docs, percent), "more-links")
     if not more.isEmpty():
         found = materialize(components(links.unionByName(more)), "components")
 

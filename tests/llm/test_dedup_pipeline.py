@@ -86,6 +86,32 @@ def test_edges(spark):
     assert Counter((r["doc_id"], r["component_id"], r["kept"]) for r in twice) == {(1, 1, True): 2, (2, 1, False): 1}
 
 
+def test_rows_that_share_an_id(spark):
+    """A hot id, ids with several texts and with an empty one: one document each, the same on every run."""
+    rng = random.Random(4)
+    base = words(rng, 40)
+    rows = [(1, " ".join(base))] * 50 + [(2, " ".join(base[:-1])), (2, "something else entirely and long enough"), (3, None), (3, " ".join([*base, "x"])), (4, " "), (4, None)]
+    got = minmax_dedup.deduplicated(docs_of(spark, rows))
+    first = Counter(tuple(r) for r in got.collect())
+    assert Counter(tuple(r) for r in minmax_dedup.deduplicated(docs_of(spark, rows[::-1])).collect()) == first
+    component = {r[0]: r[2] for r in first}
+    assert len({(r[0], r[2], r[3]) for r in first}) == 4 and component[1] == 1 and component[3] == 1 and component[4] == 4
+    assert component[2] in (1, 2) and sum(n for r, n in first.items() if r[0] == 1) == 50
+
+
+def test_long_texts_and_bytes_by_block(spark, monkeypatch):
+    """Texts of many words, compared in blocks that their bytes bound."""
+    monkeypatch.setattr(minmax_dedup, "BLOCK_BYTES", 20_000)
+    rng, rows = random.Random(5), []
+    now = words(rng, 3000)
+    for i in range(12):
+        rows.append((rng.randrange(10**6), " ".join(now)))
+        now = [*now]
+        for _ in range(90):
+            now[rng.randrange(len(now))] = words(rng, 1)[0]
+    check(spark, list(dict(rows).items()) + [(10**7, "ab " * 700_000)])
+
+
 def test_exactly_at_the_limit(spark):
     """Sets of 7 and 7 with 6 in common are exactly 0.75; one less is not linked."""
     w = [f"w{i}" for i in range(40)]
