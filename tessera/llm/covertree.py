@@ -359,7 +359,7 @@ def _dealt(celled: DataFrame, cells: Cells, name: str) -> DataFrame:
     spark = celled.sparkSession
     layout = spark.createDataFrame([(int(i), int(cells.first[i]), int(cells.blocks[i])) for i in np.flatnonzero(cells.count)], "cell int, first int, blocks int")
     salt = F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).cast("int")
-    return celled.join(layout, "cell").withColumn(name, F.col("first") + salt).drop("first", "blocks")
+    return celled.join(F.broadcast(layout), "cell").withColumn(name, F.col("first") + salt).drop("first", "blocks")
 
 
 _ARRAYS = ", ".join(f"{f} array<{'double' if f == 'radius' else 'long'}>" for f in Tree.FIELDS)
@@ -417,7 +417,8 @@ def top_k(embeddings: DataFrame, every: int = 20, k: int = K, query_block: int =
     numbers take no part; a shorter vector counts as padded with zeros. Products beyond the
     long range are held to it. Other columns are ignored; an empty table gives no rows.
 
-    The driver holds the sample, the cells and their pairs, all bounded by parameters.
+    The driver holds the sample, the cells and their pairs, all bounded by parameters; what
+    is broadcast has one row a cell, ``most_cells`` at most.
     """
     rows = materialize(integer_vectors(embeddings), "vectors")
     spark = rows.sparkSession
@@ -442,7 +443,7 @@ def top_k(embeddings: DataFrame, every: int = 20, k: int = K, query_block: int =
     homes = spark.createDataFrame([(int(c), int(home[c])) for c in np.flatnonzero(query_cells.count)], "cell int, d int")
     lowest = F.lit(1 - (1 << 63)).cast("long")
     tasks = len({(int(query_cells.first[c]) + i, int(home[c])) for c in np.flatnonzero(query_cells.count) for i in range(min(1024, query_cells.blocks[c]))})
-    found = materialize(_searched(queries.join(homes, "cell").withColumn("floor", lowest), data, k, tasks), "topk-first")
+    found = materialize(_searched(queries.join(F.broadcast(homes), "cell").withColumn("floor", lowest), data, k, tasks), "topk-first")
 
     kth = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth")).withColumnRenamed("query_id", "vec_id")
     floored = materialize(queries.join(kth, "vec_id", "left").withColumn("floor", F.coalesce("kth", lowest)), "floored")
@@ -452,10 +453,10 @@ def top_k(embeddings: DataFrame, every: int = 20, k: int = K, query_block: int =
     near = np.argwhere((bound := cell_bounds(centres, query_cells, data_cells)) >= np.where(np.isfinite(bound), worst[:, None], np.inf))
     near = spark.createDataFrame(pa.table({"cell": near[:, 0].astype(np.int32), "d_cell": near[:, 1].astype(np.int32)}))
     layout = spark.createDataFrame([(int(i), int(data_cells.first[i]), int(data_cells.blocks[i])) for i in np.flatnonzero(data_cells.count)], "d_cell int, first int, blocks int")
-    blocks = near.join(layout, "d_cell").select("cell", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("blocks") - 1)).alias("d")).distinct()
-    blocks = materialize(blocks.join(homes, ["cell", "d"], "left_anti"), "cell-blocks")
+    blocks = near.join(F.broadcast(layout), "d_cell").select("cell", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("blocks") - 1)).alias("d")).distinct()
+    blocks = materialize(blocks.join(F.broadcast(homes), ["cell", "d"], "left_anti"), "cell-blocks")
     parts = spark.createDataFrame([(int(c), int(query_cells.first[c]), int(query_cells.blocks[c])) for c in np.flatnonzero(query_cells.count)], "cell int, first int, blocks int")
-    met = blocks.join(parts, "cell").select("d", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("blocks") - 1)).alias("q")).distinct().count()
+    met = blocks.join(F.broadcast(parts), "cell").select("d", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("blocks") - 1)).alias("q")).distinct().count()
     if met:
         found = found.unionByName(_searched(floored.join(blocks, "cell"), data, k, met))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -18,6 +18,10 @@ def unit_hash(*columns: str) -> Column:
     return F.xxhash64(*columns, F.lit(7)).bitwiseAND(F.lit((1 << 32) - 1)) / F.lit(float(1 << 32))
 
 
+#: Classes whose shares are broadcast; with more, the shares are joined as Spark sees fit.
+BROADCAST_CLASSES = 4096
+
+
 def per_class(rows: DataFrame, key: str, most: Callable[[int], int], *identity: str) -> DataFrame:
     """About ``most(classes)`` rows of each value of ``key``, by a threshold on the hash of ``identity``.
 
@@ -28,6 +32,7 @@ def per_class(rows: DataFrame, key: str, most: Callable[[int], int], *identity:
     """
     counts = rows.groupBy(key).agg(F.approx_count_distinct(F.xxhash64(*identity), 0.02).alias("count")).collect()
     shares = rows.sparkSession.createDataFrame([(r[key], min(1.0, most(len(counts)) / max(1, r["count"]))) for r in counts], f"{key} {rows.schema[key].dataType.simpleString()}, share double")
+    shares = F.broadcast(shares) if len(counts) <= BROADCAST_CLASSES else shares
     return rows.join(shares, key).filter(unit_hash(*identity) < F.col("share")).drop("share")
 
 
