@@ -5,41 +5,56 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import scoring
 from tessera.operators.retrieval import KNN_BLOCK, query_blocks, top
 
-CELLS, PROBE, FIT_ROWS = 16, 10, 20_000
+#: Cells grow with the square root of the rows between these; a query probes this share of them.
+FEWEST, MOST, PROBED, FIT_ROWS = 16, 1024, 0.625, 20_000
 
 
 class CellIndex:
-    """Centres from a bounded sample; every row is in a cell. ``rows``: vec_id, embedding, cell."""
+    """Centres from a bounded sample; every row is in a cell. ``rows``: vec_id, embedding, cell.
 
-    def __init__(self, data: DataFrame, cells: int = CELLS, fit_rows: int = FIT_ROWS, seed: int = 7):
-        n = data.count()
+    Vectors that are null, hold nulls or are empty take no part.
+    """
+
+    def __init__(self, data: DataFrame, cells: int | None = None, fit_rows: int = FIT_ROWS, seed: int = 7):
+        sound = data.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull()))
+        n = sound.count()
         share = min(1.0, fit_rows / max(1, n))
-        unit = F.xxhash64("vec_id").bitwiseAND((1 << 32) - 1) / F.lit(float(1 << 32))
-        vectors = data.filter(unit < share).select(array_to_vector("embedding").alias("features"))
-        model = KMeans(k=max(1, min(cells, n)), seed=seed, maxIter=10).fit(vectors)
+        unit = F.xxhash64("vec_id", "embedding").bitwiseAND((1 << 32) - 1) / F.lit(float(1 << 32))
+        vectors = sound.filter(unit < share).select(array_to_vector("embedding").alias("features"))
+        wanted = cells or max(FEWEST, min(MOST, int(n**0.5 / 4)))
+        model = KMeans(k=max(1, min(wanted, n)), seed=seed, maxIter=10).fit(vectors)
         self.centres = np.stack(model.clusterCenters())
-        self.rows = self._cells(data, 1).select("vec_id", "embedding", F.col("cells")[0].alias("cell"))
+        self.cells = len(self.centres)
+        self.rows = self._cells(sound, 1).select("vec_id", "embedding", F.col("cells")[0].alias("cell"))
 
     def _cells(self, df: DataFrame, n: int) -> DataFrame:
-        centres = F.array(*[F.struct(scoring.l2_squared(F.col("embedding"), F.array(*map(F.lit, map(float, c)))).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(self.centres)])
-        nearest = F.slice(F.array_sort(centres), 1, n)
-        return df.withColumn("cells", F.transform(nearest, lambda x: x["cell"]))
+        shared = df.sparkSession.sparkContext.broadcast(self.centres)
+
+        @F.pandas_udf("array<int>")
+        def nearest(embedding: pd.Series) -> pd.Series:
+            centres = shared.value
+            v = np.array(embedding.tolist(), np.float64).reshape(len(embedding), -1)
+            away = (centres**2).sum(1)[None] - 2 * v @ centres.T
+            return pd.Series(list(np.argsort(away, axis=1, kind="stable")[:, :n].astype(np.int32)))
+
+        return df.withColumn("cells", nearest("embedding"))
 
-    def search(self, queries: DataFrame, k: int, probe: int = PROBE) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, probe: int | None = None) -> DataFrame:
         """query_id, vec_id, score, rank of each query's k best rows in its nearest cells.
 
         Queries go to the data in blocks, as in ``retrieval.knn``; a block of rows is scored
         cell by cell, against the queries that probe the cell.
         """
+        probe = probe or max(1, round(PROBED * self.cells))
         asked = self._cells(queries, probe).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "cells")
         parts = [self._block(block, k) for block in query_blocks(asked)]
         found = parts[0]

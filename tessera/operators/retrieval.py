@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scoring, text
-from tessera.runtime import materialize
+from tessera.runtime import materialize, spread
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 #: Rows of one data block scored at a time against all query vectors of the task.
@@ -21,7 +21,7 @@ BROADCAST_BYTES = 64 << 20
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
     """id, term, tf, len (and columns ``also``): one row per term of a document; counted before any shuffle by document."""
-    words = docs.select(F.col(id_col).alias("id"), *also, text.tokens(F.col(text_col)).alias("w")).withColumn("len", F.size("w"))
+    words = spread(docs.select(id_col, text_col, *also)).select(F.col(id_col).alias("id"), *also, text.tokens(F.col(text_col)).alias("w")).withColumn("len", F.size("w"))
     return words.select("id", *also, "len", F.explode("w").alias("term")).groupBy("id", *also, "len", "term").agg(F.count("*").alias("tf"))
 
 
@@ -59,14 +59,14 @@ def _scored(asked: DataFrame, fields: DataFrame, k: int) -> DataFrame:
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, *, doc_id: str = "doc_id", doc_text: str = "text", query_id: str = "item_id", query_text: str = "text") -> DataFrame:
     """query_id, doc_id, score, rank by BM25 over OR-ed terms."""
-    fields = docs.select(F.col(doc_id).alias("doc_id"), F.lit(1).alias("weight"), text.tokens(F.col(doc_text)).alias("w"))
+    fields = spread(docs.select(doc_id, doc_text)).select(F.col(doc_id).alias("doc_id"), F.lit(1).alias("weight"), text.tokens(F.col(doc_text)).alias("w"))
     return _scored(query_terms(queries, query_id, query_text), fields, k)
 
 
 def field_bm25(docs: DataFrame, fields: dict[str, float], queries: DataFrame, k: int, *, doc_id: str = "doc_id", query_id: str = "item_id", query_text: str = "text") -> DataFrame:
     """BM25 over several fields whose term counts are weighted before saturation."""
     each = F.explode(F.array(*(F.struct(F.lit(float(w)).alias("weight"), text.tokens(F.col(f)).alias("w")) for f, w in fields.items())))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), each.alias("f")).select("doc_id", "f.weight", "f.w")
+    rows = spread(docs.select(doc_id, *fields)).select(F.col(doc_id).alias("doc_id"), each.alias("f")).select("doc_id", "f.weight", "f.w")
     return _scored(query_terms(queries, query_id, query_text), rows, k)
 
 
@@ -75,8 +75,15 @@ def knn(data: DataFrame, queries: DataFrame, k: int, metric: str = "l2", decimal
 
     Query vectors of bounded size go to every task, which keeps k rows a query and batch;
     beyond the bound they are dealt into blocks that meet the data one after the other.
+    Vectors that are null, hold nulls or have another width than the queries' widest take no
+    part on either side.
     """
-    rows = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    sound = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull())
+    queries = queries.filter(sound & (F.size("embedding") > 0))
+    wide = queries.agg(F.max(F.size("embedding"))).first()[0] or 0
+    fits = F.size("embedding") == wide
+    data = data.filter(sound & fits)
+    rows = queries.filter(fits).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     parts = [_knn_block(data, block, k, metric, decimals) for block in query_blocks(rows)]
     found = parts[0]
     for p in parts[1:]:
@@ -103,9 +110,9 @@ def _knn_block(data: DataFrame, queries: DataFrame, k: int, metric: str, decimal
             for at in range(0, batch.num_rows, KNN_BLOCK):
                 part = batch.slice(at, KNN_BLOCK)
                 own = part.column(0).to_numpy(zero_copy_only=False)
-                v = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
                 if not len(own) or not len(q_ids):
                     continue
+                v = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
                 if metric == "cosine":
                     scale = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None]
                     score = np.where(scale > 0, q @ v.T / np.where(scale > 0, scale, 1), 0.0)

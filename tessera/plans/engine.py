@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import retrieval
-from tessera.operators.ann import CELLS, CellIndex
+from tessera.operators.ann import CellIndex
 from tessera.operators.bloom import Bloom
 from tessera.plans import retrieval as retrieval_plans
 from tessera.plans.registry import query
@@ -33,18 +33,29 @@ def engine_search_hybrid(spark: SparkSession, d: str) -> DataFrame:
 
 @query("dense_knn_cells", retrieval_plans.L2_SQL)
 def dense_knn_cells(spark: SparkSession, d: str) -> DataFrame:
-    """The cell index with all cells probed is exact; ``dense_knn_cells_hundredths`` prunes."""
+    """The cell index with all cells probed is exact; ``dense_knn_cells_probed`` prunes."""
     e = table(spark, d, "embeddings")
-    return CellIndex(e).search(e.filter("vec_id < 20"), 10, probe=CELLS)
+    index = CellIndex(e)
+    return index.search(e.filter(retrieval_plans.HUNDREDTHS), 10, probe=index.cells)
 
 
-@query("dense_knn_cells_hundredths")
-def dense_knn_cells_hundredths(spark: SparkSession, d: str) -> DataFrame:
-    """The whole query set with the production probe; tests measure its recall against brute force."""
+@query("dense_knn_cells_probed")
+def dense_knn_cells_probed(spark: SparkSession, d: str) -> DataFrame:
+    """The same queries with the production probe; ``dense_knn_cells_recall`` has its recall."""
     e = table(spark, d, "embeddings")
     return CellIndex(e).search(e.filter(retrieval_plans.HUNDREDTHS), 10)
 
 
+@query("dense_knn_cells_recall", "SELECT true AS enough, CAST(count(*) FILTER (vec_id % 100 = 0) * 10 AS BIGINT) AS wanted FROM embeddings")
+def dense_knn_cells_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the production probe finds nine tenths of the exact ten nearest."""
+    e = table(spark, d, "embeddings")
+    asked = e.filter(retrieval_plans.HUNDREDTHS)
+    exact, found = retrieval.knn(e, asked, 10), CellIndex(e).search(asked, 10)
+    both = exact.join(found.select("query_id", "vec_id", F.lit(True).alias("hit")), ["query_id", "vec_id"], "left")
+    return both.agg((F.count("hit") >= 0.9 * F.count("*")).alias("enough"), F.count("*").alias("wanted"))
+
+
 @query("metadata_search", "SELECT event_id, event_type FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) >= 5")
 def metadata_search(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").filter(F.get_json_object("props", "$.k").try_cast("int") >= 5).select("event_id", "event_type")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text
 from tessera.operators import filters
 from tessera.plans.registry import query
-from tessera.runtime import table
+from tessera.runtime import spread, table
 from tessera.sources import readers
 
 ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE "
@@ -156,7 +156,7 @@ FROM documents WHERE length(text) > 0
 )
 def token_estimates(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, d, "documents").filter(F.length(t) > 0).select("doc_id", text.estimate_splitter(t).alias("splitter"), text.estimate_chunker(t).alias("chunker"), text.estimate_injector(t).alias("injector"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).filter(F.length(t) > 0).select("doc_id", text.estimate_splitter(t).alias("splitter"), text.estimate_chunker(t).alias("chunker"), text.estimate_injector(t).alias("injector"))
 
 
 @query("content_hash", "SELECT doc_id, sha256(text) AS sha, 'sha256:' || substr(sha256(text), 1, 32) AS content_hash FROM documents")

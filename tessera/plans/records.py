@@ -112,13 +112,38 @@ def chunk_recursive(spark: SparkSession, d: str) -> DataFrame:
 
 @query("chunk_parent_child")
 def chunk_parent_child(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunk_parent_child(table(spark, d, "documents"))
+    return chunking.children(chunking.chunk_units(table(spark, d, "documents")))
+
+
+@query("chunk_parents")
+def chunk_parents(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.parents(chunking.chunk_units(table(spark, d, "documents")))
 
 
 @query("chunk_stats")
 def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return chunking.chunk_stats(chunking.chunk_parent_child(docs), docs)
+    return chunking.chunk_stats(chunking.children(chunking.chunk_units(docs)), docs)
+
+
+@query(
+    "chunk_invariants",
+    """
+SELECT CAST(count(*) AS BIGINT) AS documents, CAST(count(*) FILTER (length(text) > 0) AS BIGINT) AS chunked, CAST(0 AS BIGINT) AS over_budget, CAST(0 AS BIGINT) AS gaps,
+       CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x20]'))) AS BIGINT) AS letters
+FROM documents
+""",
+)
+def chunk_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks without overlap keep all but separators, keep to the budget and are numbered without a gap."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    letters = F.length(F.regexp_replace("chunk_text", r"[\x09-\x0D\x20.!?;。！？；]", ""))
+    one = chunking.chunk_recursive(docs, overlap=0).groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.min("chunk_index").alias("low"), F.max("chunk_index").alias("high"), F.sum(letters).alias("letters"), F.sum((F.col("tokens") > chunking.CHUNK).cast("long")).alias("over")
+    )
+    gap = ((F.col("low") != 0) | (F.col("high") + 1 != F.col("n"))).cast("long")
+    some = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    return docs.join(one, "doc_id", "left").agg(F.count("*").alias("documents"), F.count("n").alias("chunked"), some("over", "over_budget"), some(gap, "gaps"), some("letters", "letters"))
 
 
 @query("metadata_blocks")

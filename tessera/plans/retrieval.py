@@ -56,7 +56,7 @@ def bm25_field_weighted(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.field_bm25(docs, {"title": 2.0, "text": 1.0, "source": 1.5}, table(spark, d, "benchmark"), 10)
 
 
-def _knn_sql(score: str, asked: str = "q.vec_id < 20") -> str:
+def _knn_sql(score: str, asked: str = "q.vec_id % 100 = 0") -> str:
     return f"""
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, v.vec_id, round({score}, 6) AS score FROM v q JOIN v ON {asked})
@@ -67,30 +67,18 @@ SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id OR
 L2 = "1 / (1 + list_sum(list_transform(list_zip(q.e, v.e), lambda x: (x[1] - x[2]) * (x[1] - x[2]))))"
 COSINE = "list_cosine_similarity(q.e, v.e)"
 L2_SQL = _knn_sql(L2)
-#: The whole query set, which grows with the table; ``dense_knn_*`` without it are a fixed sample of 20 ids.
+#: The query set, which grows with the table.
 HUNDREDTHS = "vec_id % 100 = 0"
 
 
 @query("dense_knn_l2", L2_SQL)
 def dense_knn_l2(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return retrieval.knn(e, e.filter("vec_id < 20"), 10)
+    return retrieval.knn(e, e.filter(HUNDREDTHS), 10)
 
 
 @query("dense_knn_cosine", _knn_sql(COSINE))
 def dense_knn_cosine(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
-    return retrieval.knn(e, e.filter("vec_id < 20"), 10, "cosine")
-
-
-@query("dense_knn_l2_hundredths", _knn_sql(L2, f"q.{HUNDREDTHS}"))
-def dense_knn_l2_hundredths(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
-    return retrieval.knn(e, e.filter(HUNDREDTHS), 10)
-
-
-@query("dense_knn_cosine_hundredths", _knn_sql(COSINE, f"q.{HUNDREDTHS}"))
-def dense_knn_cosine_hundredths(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     return retrieval.knn(e, e.filter(HUNDREDTHS), 10, "cosine")
 
@@ -115,9 +103,8 @@ y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY ns, term ORDER BY
 
 
 def _sparse(spark: SparkSession, d: str) -> DataFrame:
-    p = retrieval.postings(table(spark, d, "documents"))
-    ns = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("ns"))
-    return p.join(ns, "id").select("ns", "term", F.col("id").cast("string").alias("child_id"), F.round(F.log(1 + F.col("tf")), 6).alias("weight"))
+    p = retrieval.postings(table(spark, d, "documents"), also=("source",))
+    return p.select(F.col("source").alias("ns"), "term", F.col("id").cast("string").alias("child_id"), F.round(F.log(1 + F.col("tf")), 6).alias("weight"))
 
 
 @query(

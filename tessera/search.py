@@ -6,7 +6,7 @@ tables partitioned by namespace; nothing runs before the caller's action.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scoring, text
 from tessera.models import Embedder, HashingEmbedder, Reranker, embedding, rerank_score
 from tessera.operators import chunking, cleaning, filters, fusion, metadata, retrieval
+from tessera.runtime import materialize
 
 
 @dataclass
@@ -29,32 +30,55 @@ class Options:
 
 @dataclass
 class Engine:
-    """Tables of one store: documents, blocks (children), parents, metadata blocks."""
+    """Tables of one store: documents, blocks (children), metadata blocks, parents, labels.
+
+    Labels are vectors that stand for a block: questions it answers (``block_type`` 16) and
+    its text with context. ``parents`` and ``labels`` may be missing.
+    """
 
     documents: DataFrame
     blocks: DataFrame
     metadata: DataFrame
     embedder: Embedder = field(default_factory=HashingEmbedder)
     reranker: Reranker | None = None
+    parents: DataFrame | None = None
+    labels: DataFrame | None = None
 
     @classmethod
     def ingest(cls, docs: DataFrame, embedder: Embedder | None = None, reranker: Reranker | None = None) -> Engine:
         """Chunk, describe, embed, mark and deduplicate whole documents.
 
-        ``docs``: doc_id, namespace_id, filename, text, and anything else.
+        ``docs``: doc_id, namespace_id, filename, text, and anything else. Chunks and blocks
+        are written once; searches read them. A parent's text is stored once, not with each
+        of its children.
         """
         model = embedder or HashingEmbedder()
         live = docs.filter(F.coalesce(F.col("status"), F.lit("")) != "deleted") if "status" in docs.columns else docs
-        children = chunking.chunk_parent_child(live.select("doc_id", "text"))
-        named = children.join(live.select("doc_id", "namespace_id", "filename"), "doc_id")
+        units = materialize(chunking.chunk_units(live.select("doc_id", "text")), "units")
+        named = chunking.children(units).join(live.select("doc_id", "namespace_id", "filename"), "doc_id")
         ids = F.concat_ws("/", "namespace_id", "doc_id", "chunk_index")
+        parent = F.concat_ws("/", "doc_id", F.when(F.col("parent_id") != "", F.col("parent_id"))).alias("parent_id")
         blocks = named.select(
-            F.xxhash64(ids).alias("block_id"), ids.alias("child_id"), "doc_id", "namespace_id", F.concat_ws("/", "doc_id", F.when(F.col("parent_id") != "", F.col("parent_id"))).alias("parent_id"), "parent_text", "chunk_index",
+            F.xxhash64(ids).alias("block_id"), ids.alias("child_id"), "doc_id", "namespace_id", parent, "chunk_index",
             F.lit(1).alias("block_type"), F.col("child_text").alias("content"), F.col("filename").alias("source_path"), embedding(model)(F.col("child_text")).alias("embedding"),
         )
-        marked = cleaning.anomalies(blocks, "block_id", "content", "embedding", id_counts=False)
+        marked = cleaning.searchable(cleaning.anomalies(materialize(blocks, "blocks"), "block_id", "content", "embedding", id_counts=False))
         described = live.select("doc_id", "namespace_id", "filename", F.lit("text/plain").alias("mime_type"), F.lit(-1).alias("page_count"), *(["lang"] if "lang" in live.columns else []))
-        return cls(live, cleaning.searchable(marked), metadata.metadata_blocks(described).join(described.select("doc_id", "namespace_id", "filename"), "doc_id"), model, reranker)
+        about = metadata.metadata_blocks(described).join(described.select("doc_id", "namespace_id", "filename"), "doc_id")
+        return cls(live, marked, about, model, reranker, chunking.parents(units).select(parent, "parent_text"))
+
+    def labelled(self, questions: DataFrame | None = None, contexts: DataFrame | None = None) -> Engine:
+        """The store with vectors of ``questions`` (child_id, question) and ``contexts`` (child_id, context)."""
+        of = self.blocks.select("child_id", "namespace_id", "content")
+        parts = []
+        if questions is not None:
+            parts.append(of.join(questions, "child_id").select("child_id", "namespace_id", F.lit(16).alias("block_type"), F.lit(False).alias("contextual"), F.col("question").alias("said")))
+        if contexts is not None:
+            whole = cleaning.contextual(F.col("content"), F.col("context"))[0]
+            parts.append(of.join(contexts, "child_id").select("child_id", "namespace_id", F.lit(1).alias("block_type"), F.lit(True).alias("contextual"), whole.alias("said")))
+        rows = parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
+        made = rows.select(F.xxhash64("child_id", "block_type", "contextual", "said").alias("block_id"), "namespace_id", F.col("child_id").alias("source_child_id"), "block_type", "contextual", embedding(self.embedder)(F.col("said")).alias("embedding"))
+        return replace(self, labels=materialize(made, "labels"))
 
     def namespaces(self) -> list[str]:
         return [r[0] for r in self.documents.select("namespace_id").distinct().orderBy("namespace_id").collect()]
@@ -62,12 +86,22 @@ class Engine:
     # --- routes -------------------------------------------------------------------------
 
     def chunk_hits(self, queries: DataFrame, blocks: DataFrame, options: Options) -> DataFrame:
-        """query_id, block_id, score, routes: dense and full text (and contextual text) fused."""
+        """query_id, block_id, score, routes: up to five routes fused.
+
+        Full text and dense vectors always; sparse terms, questions and contextual vectors on
+        the complex route. Vector routes share one search, over three times the pool if there
+        are labels, and then go by what was hit.
+        """
         pool = retrieval.pool_size(options.top_k)
         lexical = retrieval.bm25(blocks, queries, pool, doc_id="block_id", doc_text="content", query_id="query_id", query_text="text")
         vectors = queries.select(F.col("query_id").alias("vec_id"), embedding(self.embedder)(F.col("text")).alias("embedding"))
-        dense = retrieval.knn(blocks.select(F.col("block_id").alias("vec_id"), "embedding"), vectors, pool, "cosine")
-        lists = [lexical.select("query_id", F.lit("fts5").alias("route"), F.col("doc_id").alias("id"), "rank"), dense.select("query_id", F.lit("dense").alias("route"), F.col("vec_id").alias("id"), "rank")]
+        plain = blocks.select(F.col("block_id").alias("vec_id"), "embedding")
+        lists = [lexical.select("query_id", F.lit("fts5").alias("route"), F.col("doc_id").alias("id"), "rank")]
+        if options.route != "complex" or self.labels is None:
+            dense = retrieval.knn(plain, vectors, pool, "cosine")
+            lists.append(dense.select("query_id", F.lit("dense").alias("route"), F.col("vec_id").alias("id"), "rank"))
+        else:
+            lists.append(self._vector_routes(plain, blocks, vectors, pool))
         if options.route == "complex":
             terms = retrieval.postings(blocks, "block_id", "content", ("namespace_id",)).select(F.col("namespace_id").alias("ns"), "term", F.col("id").alias("child_id"), F.log1p(F.col("tf").cast("double")).alias("weight"))
             sparse = retrieval.sparse_dot(terms, retrieval.query_terms(queries, "query_id", "text").withColumn("qw", F.lit(1.0)), pool, options.posting_cap)
@@ -77,6 +111,19 @@ class Engine:
             rows = rows.unionByName(part)
         return fusion.rrf(rows, rank_base=0).select("query_id", F.col("id").alias("block_id"), "score", "routes")
 
+    def _vector_routes(self, plain: DataFrame, blocks: DataFrame, vectors: DataFrame, pool: int) -> DataFrame:
+        """query_id, route, id, rank of dense, question and contextual hits; a label's hit is its block's."""
+        named = self.labels.join(blocks.select(F.col("child_id").alias("source_child_id"), F.col("block_id").alias("of")), "source_child_id")
+        found = retrieval.knn(plain.unionByName(named.select(F.col("block_id").alias("vec_id"), "embedding")), vectors, 3 * pool, "cosine")
+        about = named.select(F.col("block_id").alias("vec_id"), "of", "block_type", "source_child_id", "contextual")
+        hits = found.join(about, "vec_id", "left")
+        route = retrieval.vector_kind(F.coalesce("block_type", F.lit(1)), F.col("source_child_id"), F.coalesce("contextual", F.lit(False)))
+        hits = hits.select("query_id", route.alias("route"), F.coalesce("of", "vec_id").alias("id"), F.col("vec_id").alias("block_id"), "rank").filter("route <> 'dropped'")
+        order = Window.partitionBy("query_id", "route", "id").orderBy("rank", "block_id")
+        first = hits.withColumn("_n", F.row_number().over(order)).filter("_n = 1")
+        place = Window.partitionBy("query_id", "route").orderBy("rank", "block_id")
+        return first.withColumn("rank", F.row_number().over(place).cast("int")).filter(F.col("rank") <= pool).select("query_id", "route", "id", "rank")
+
     def document_hits(self, queries: DataFrame, described: DataFrame, options: Options) -> DataFrame:
         """query_id, doc_id, rank (from 0): full text over titles, names and topics, and summary vectors."""
         fields = {"filename": 1.0, "doc_title": 2.0, "topics": 1.5}
@@ -109,8 +156,9 @@ class Engine:
             capped = scored.withColumn("score", scoring.blend(F.col("rerank"), F.col("score")))
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "child_id")
         merged = fusion.cross_namespace(capped.withColumn("at", F.row_number().over(order)), options.top_k)
-        details = blocks.select("namespace_id", "child_id", "doc_id", "content", "parent_text")
-        return merged.join(details, ["namespace_id", "child_id"]).select("query_id", "position", "namespace_id", "child_id", "doc_id", "score", "content", "parent_text", "sources")
+        details = blocks.select("namespace_id", "child_id", "doc_id", "content", "parent_id")
+        parents = self.parents if self.parents is not None else blocks.sparkSession.createDataFrame([], "parent_id string, parent_text string")
+        return merged.join(details, ["namespace_id", "child_id"]).join(parents, "parent_id", "left").withColumn("parent_text", F.coalesce("parent_text", F.lit(""))).select("query_id", "position", "namespace_id", "child_id", "doc_id", "score", "content", "parent_text", "sources")
 
     def _by_document(self, asked: DataFrame, found: DataFrame, names: list[str], options: Options) -> DataFrame:
         """Chunks scored by their document's fused rank: the best chunk stands for it."""

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.ordering import numbered
+from tessera.runtime import spread
 
 # Fixed values -------------------------------------------------------------------------
 MIME_TYPES = {
@@ -104,7 +105,7 @@ def parse_files(files: DataFrame) -> DataFrame:
                 rows += [(path, n, t, None) for n, t in pages] or [(path, None, None, error)]
             yield pd.DataFrame(rows, columns=["path", "page", "text", "error"]).astype({"page": "Int32"})
 
-    return with_format(files).select("path", "mime", "content").mapInPandas(run, "path string, page int, text string, error string")
+    return spread(with_format(files).select("path", "mime", "content")).mapInPandas(run, "path string, page int, text string, error string")
 
 
 def needs_fallback(pages: DataFrame, threshold: float = 0.5) -> DataFrame:

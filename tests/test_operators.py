@@ -397,7 +397,7 @@ def test_global_order(spark):
 
 def test_chunk_stats_counts_pages_of_every_document(spark):
     docs = spark.createDataFrame([(1, "one\ftwo\f \n\f"), (2, ""), (3, None), (4, "only")], "doc_id long, text string")
-    got = chunking.chunk_stats(chunking.chunk_parent_child(docs), docs).orderBy("doc_id")
+    got = chunking.chunk_stats(chunking.children(chunking.chunk_units(docs)), docs).orderBy("doc_id")
     assert rows(got, "doc_id", "total_pages", "succeeded_pages", "failed_pages", "coverage_ratio") == [(1, 4, 2, 2, 0.5), (2, 1, 0, 1, 0.0), (3, 1, 0, 1, 0.0), (4, 1, 1, 0, 1.0)]
     assert [r["children"] > 0 for r in got.collect()] == [True, False, False, True]
 

@@ -61,6 +61,35 @@ def test_explain_and_sql(spark, engine):
     assert search.sql_search(spark, engine, "a", "refund", 3).first()["doc_id"] == 2
 
 
+def test_labels_bring_two_more_routes(spark, engine):
+    questions = spark.createDataFrame([("a/2/0", "when do I get my cash back"), ("a/1/0", "where does the hose go")], "child_id string, question string")
+    contexts = spark.createDataFrame([("b/5/0", "An aside on sailing boats"), ("a/1/0", None)], "child_id string, context string")
+    store = engine.labelled(questions, contexts)
+    hits = {(r["query_id"], r["route"]) for r in store.explain(asked(spark, "when do I get my cash back", "sailing boats")).collect()}
+    assert {(0, "hype"), (1, "contextualized"), (0, "dense")} <= hits
+    ids = {r["child_id"]: r["block_id"] for r in engine.blocks.select("child_id", "block_id").collect()}
+    found = store.chunk_hits(asked(spark, "when do I get my cash back", "sailing boats"), store.blocks, search.Options(top_k=1)).collect()
+    routes = {(r["query_id"], r["block_id"]): r["routes"].split(",") for r in found}
+    assert "hype" in routes[0, ids["a/2/0"]] and "contextualized" in routes[1, ids["b/5/0"]]
+
+
+def test_ingest_chunks_once(spark, monkeypatch):
+    """Chunks and blocks are files: no search runs the chunker or the embedder again."""
+    docs = spark.createDataFrame([(i, "a", f"{i}.txt", f"text number {i} about pumps") for i in range(9)], "doc_id long, namespace_id string, filename string, text string")
+    store = search.Engine.ingest(docs)
+    plan = store.blocks._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "chunk_units" not in plan and "Relation" in plan
+    assert store.search(asked(spark, "pumps"), options=search.Options(top_k=3)).count() == 3
+
+
+def test_knn_skips_unusable_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, None), (3, []), (4, [None, 1.0]), (5, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {(r["query_id"], r["vec_id"]) for r in knn(df, df, 5).collect()} == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    assert knn(df.limit(0), df, 5).count() == 0 and knn(df, df.limit(0), 5).count() == 0
+    assert {r["vec_id"] for r in CellIndex(df.filter("vec_id < 5"), 2).search(df.filter("vec_id < 2"), 5, probe=2).collect()} == {0, 1}
+
+
 def test_sparse_route_reads_whole_postings_of_every_namespace(spark):
     """A word of 1500 chunks of one namespace counts for the last one and for the chunk of a small namespace, too."""
     made = [(i, "big", "pump") for i in range(1499)] + [(1499, "big", "pump hose"), (5000, "small", "pump valve")]
@@ -104,17 +133,17 @@ def test_vector_queries_ask_every_hundredth_row(spark, tmp_path):
     v = rng.normal(size=(4000, 64))
     rows = [(i, [float(x) for x in v[i]], 0) for i in range(4000)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
-    found = {n: registry.queries()[n](spark, str(tmp_path)).collect() for n in ("dense_knn_l2_hundredths", "dense_knn_cosine_hundredths", "dense_knn_cells_hundredths")}
+    found = {n: registry.queries()[n](spark, str(tmp_path)).collect() for n in ("dense_knn_l2", "dense_knn_cosine", "dense_knn_cells_probed")}
     for got in found.values():
         assert {r["query_id"] for r in got} == set(range(0, 4000, 100)) and len(got) == 400
     brute = {(i, int(j)) for i in range(0, 4000, 100) for j in np.argsort(((v - v[i]) ** 2).sum(1))[:10]}
-    assert {(r["query_id"], r["vec_id"]) for r in found["dense_knn_l2_hundredths"]} == brute
+    assert {(r["query_id"], r["vec_id"]) for r in found["dense_knn_l2"]} == brute
 
 
 def test_production_probe_prunes_and_recalls(spark):
     big = "/root/testdata/sf0.1"
-    exact = {(r["query_id"], r["vec_id"]) for r in registry.queries()["dense_knn_l2_hundredths"](spark, big).collect()}
-    found = {(r["query_id"], r["vec_id"]) for r in registry.queries()["dense_knn_cells_hundredths"](spark, big).collect()}
+    exact = {(r["query_id"], r["vec_id"]) for r in registry.queries()["dense_knn_l2"](spark, big).collect()}
+    found = {(r["query_id"], r["vec_id"]) for r in registry.queries()["dense_knn_cells_probed"](spark, big).collect()}
     assert 0.9 <= len(exact & found) / len(exact) < 1 and len(exact) == 200
 
 
