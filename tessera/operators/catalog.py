@@ -86,3 +86,32 @@ def owner_counts(memberships: DataFrame) -> DataFrame:
 
 def stale(indexed: DataFrame, on_disk: DataFrame, key: str) -> DataFrame:
     return indexed.join(on_disk.select(key).distinct(), key, "left_anti")
+
+
+def change_grants(grants: DataFrame, changes: DataFrame) -> DataFrame:
+    """Grants (namespace_id, subject, role) after changes (the same, op grant or revoke, at).
+
+    The last change of a subject in a namespace counts; granting twice or revoking what isn't
+    there changes nothing.
+    """
+    keys = ["namespace_id", "subject"]
+    old = grants.select(*keys, "role", F.lit("grant").alias("op"), F.lit(-1).cast("long").alias("at"))
+    both = old.unionByName(changes.select(*keys, "role", "op", F.col("at").cast("long")))
+    last = both.groupBy(*keys).agg(F.max(F.struct("at", "op", "role")).alias("last"))
+    return last.filter("last.op = 'grant'").select(*keys, "last.role")
+
+
+def grants_of(grants: DataFrame, namespace_id: str) -> DataFrame:
+    return grants.filter(F.col("namespace_id") == namespace_id).orderBy("subject")
+
+
+def cascade_delete(gone: DataFrame, blocks: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks and references that are left when documents go: both of a document go with it."""
+    ids = gone.select("doc_id").distinct()
+    return blocks.join(ids, "doc_id", "left_anti"), refs.join(ids, "doc_id", "left_anti")
+
+
+def over_quota(usage: DataFrame, limits: DataFrame) -> DataFrame:
+    """tenant_id, used, quota, over: tenants without a limit are never over it."""
+    used = usage.groupBy("tenant_id").agg(F.sum("size_bytes").alias("used"))
+    return used.join(limits.select("tenant_id", "quota"), "tenant_id", "left").withColumn("over", F.coalesce(F.col("used") > F.col("quota"), F.lit(False)))

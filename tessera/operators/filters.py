@@ -205,6 +205,19 @@ def page(rows: DataFrame, offset: int, limit: int, *order: Column, most: int = 2
     return rows.orderBy(*order).offset(offset).limit(limit), total, offset + limit < total
 
 
+def paired_sample(relevant: DataFrame, docs: DataFrame, negatives: int, seed: int) -> DataFrame:
+    """query_id, doc_id, relevant: every query's relevant documents and a seeded sample of others.
+
+    ``relevant`` (query_id, doc_id). The sample is the ``negatives`` documents of the smallest
+    seeded hashes, the same for every query but for its own relevant ones.
+    """
+    seeded = F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")))
+    some = docs.select("doc_id").distinct().orderBy(seeded, "doc_id").limit(max(0, negatives))
+    pairs = relevant.select("query_id").distinct().crossJoin(F.broadcast(some))  # ``negatives`` rows
+    good = relevant.select("query_id", "doc_id").distinct()
+    return good.withColumn("relevant", F.lit(True)).unionByName(pairs.join(good, ["query_id", "doc_id"], "left_anti").withColumn("relevant", F.lit(False)))
+
+
 def newest(rows: DataFrame, by: str, n: int, *order: Column) -> DataFrame:
     at = Window.partitionBy(by).orderBy(*order)
     return rows.withColumn("_n", F.row_number().over(at)).filter(F.col("_n") <= n).drop("_n")

@@ -223,6 +223,19 @@ def route_decision(
     return predicted, "predicted"
 
 
+def routed(override: Column, forced: Column, is_chat: Column, available: Column, predicted: Column, confidence: Column, threshold: float = 0.5) -> tuple[Column, Column]:
+    """``route_decision`` for a whole table: (path, why) as columns."""
+    unknown, unsure = predicted.isNull() | confidence.isNull(), confidence < min(0.8, max(0.3, threshold))
+    cases = [
+        (F.coalesce(override, F.lit("")) != "", override, "override"), (F.coalesce(forced, F.lit("")) != "", forced, "namespace"), (is_chat, F.lit("chat"), "chat_rule"), (~available, F.lit("complex"), "unavailable"),
+        (unknown, F.lit("complex"), "inference_failed"), (unsure, F.lit("complex"), "low_confidence"), (predicted == "chat", F.lit("complex"), "chat_demoted"),
+    ]
+    path, why = predicted, F.lit("predicted")
+    for test, to, reason in reversed(cases):
+        path, why = F.when(test, to).otherwise(path), F.when(test, reason).otherwise(why)
+    return path, why
+
+
 def wants_variants(scores: DataFrame, margin: float = 0.2, least: int = 2, by: str = "query_id") -> DataFrame:
     """Whether rewriting a query is worth it: few results, or its first two scores lie close together."""
     at = lambda n: F.max(F.when(F.col("rank") == n, F.col("score")))

@@ -82,7 +82,20 @@ def first_owner(traces: DataFrame, owners: DataFrame) -> DataFrame:
 
 
 def latency_histogram(rows: DataFrame, column: str, bounds: Sequence[float], by: str) -> DataFrame:
-    """Cumulative buckets as a metrics exporter has them: (by, le, count), with sum and count."""
-    le = F.explode(F.array(*[F.lit(float(b)) for b in bounds], F.lit(float("inf"))))
-    per = rows.groupBy(by, F.col(column)).count().select(by, F.col(column).alias("v"), "count", le.alias("le"))
-    return per.groupBy(by, "le").agg(F.sum(F.when(F.col("v") <= F.col("le"), F.col("count")).otherwise(0)).alias("n"))
+    """Cumulative buckets as a metrics exporter has them: (by, le, n), the last one of infinity.
+
+    One conditional count a bound, in one aggregate; bounds are unfolded from its one row a group.
+    """
+    every = [*map(float, bounds), float("inf")]
+    one = rows.groupBy(by).agg(*(F.count(F.when(F.col(column) <= b, 1)).alias(f"_{i}") for i, b in enumerate(every)))
+    return one.select(by, F.explode(F.array(*(F.struct(F.lit(b).alias("le"), F.col(f"_{i}").alias("n")) for i, b in enumerate(every)))).alias("b")).select(by, "b.le", "b.n")
+
+
+def histogram(rows: DataFrame, column: str) -> DataFrame:
+    """column, n: how many rows are in each state."""
+    return rows.groupBy(column).agg(F.count("*").alias("n"))
+
+
+def distinct_key(rows: DataFrame, column: str, path: str) -> DataFrame:
+    """value: the different values that a JSON column has at a path."""
+    return rows.select(F.get_json_object(column, path).alias("value")).distinct()

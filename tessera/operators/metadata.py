@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,3 +52,56 @@ def metadata_blocks(docs: DataFrame) -> DataFrame:
     missing = F.array_compact(F.array(F.when(F.col("page_count") < 0, "page_count"))) if "page_count" in docs.columns else F.array(F.lit("page_count"))
     topics = F.array_join("tags", " ") if "tags" in docs.columns else F.lit("")
     return docs.select("doc_id", block_text(docs).alias("block_text"), metadata_json(docs).alias("metadata_json"), text.title_of(F.col("filename")).alias("doc_title"), topics.alias("topics"), missing.alias("missing"))
+
+
+MOST_DEPTH = 16
+
+
+def _flat(value: object, prefix: str, depth: int) -> dict[str, str]:
+    out: dict[str, str] = {}
+    if isinstance(value, dict) and depth < MOST_DEPTH:
+        for k, v in value.items():
+            out |= _flat(v, f"{prefix}.{k}" if prefix else k, depth + 1)
+    elif prefix and value is not None:
+        out[prefix] = value if isinstance(value, str) else json.dumps(value, separators=(",", ":"), ensure_ascii=False)
+    return out
+
+
+def flat_json(column: Column) -> Column:
+    """An object's members as a string map, inner names joined by dots; anything but an object is an empty map.
+
+    Objects deeper than ``MOST_DEPTH`` stay as JSON, as arrays do; nulls are left out.
+    """
+
+    @F.pandas_udf("map<string,string>")
+    def run(raw: pd.Series) -> pd.Series:
+        return pd.Series([_flat(v, "", 0) if isinstance(v := _parsed(x), dict) else {} for x in raw])
+
+    return run(column)
+
+
+def json_set(column: Column, path: str, value: Column) -> Column:
+    """The JSON object with the member at a dotted path set to a string; what isn't an object becomes one."""
+    names = path.split(".")
+
+    @F.pandas_udf("string")
+    def run(raw: pd.Series, new: pd.Series) -> pd.Series:
+        out = []
+        for x, v in zip(raw, new, strict=True):
+            top = found if isinstance(found := _parsed(x), dict) else {}
+            at = top
+            for n in names[:-1]:
+                at[n] = at[n] if isinstance(at.get(n), dict) else {}
+                at = at[n]
+            at[names[-1]] = v
+            out.append(json.dumps(top, separators=(",", ":"), ensure_ascii=False))
+        return pd.Series(out)
+
+    return run(column, value)
+
+
+def _parsed(raw: str | None) -> object:
+    try:
+        return json.loads(raw) if raw else None
+    except ValueError:
+        return None

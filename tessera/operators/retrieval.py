@@ -153,6 +153,17 @@ def upsert(index: DataFrame, changes: DataFrame, key: str = "child_id") -> DataF
     return index.join(changes.select(key).distinct(), key, "left_anti").unionByName(changes.filter(F.col("term").isNotNull()))
 
 
+def entity_index(docs: DataFrame, pattern: str = r"[A-Z][a-z]{5,}", least: int = 3) -> DataFrame:
+    """entity, documents: names that at least so many documents hold."""
+    found = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), 0))).alias("entity"))
+    return found.groupBy("entity").agg(F.count("*").alias("documents")).filter(F.col("documents") >= least)
+
+
+def with_parents(hits: DataFrame, parents: DataFrame) -> DataFrame:
+    """Child hits with what ``parents`` (parent_id, ...) has of their parents; a flat child has none."""
+    return hits.join(parents, "parent_id", "left")
+
+
 def vector_kind(block_type: Column, source_child: Column, contextual: Column) -> Column:
     """Which route a vector hit belongs to: HyPE question, contextual label, plain, or none."""
     return F.when((block_type == 16) & source_child.isNotNull(), "hype").when(block_type == 16, "dropped").when(contextual, "contextualized").otherwise("dense")

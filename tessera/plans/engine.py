@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import retrieval
+from tessera.functions import text
+from tessera.models import HashingEmbedder, embedding
+from tessera.operators import filters, retrieval
 from tessera.operators.ann import CellIndex
 from tessera.operators.bloom import Bloom
 from tessera.plans import retrieval as retrieval_plans
 from tessera.plans.registry import query
-from tessera.runtime import table
+from tessera.runtime import materialize, table
 from tessera.search import Engine, Options
+from tessera.sources import readers
 
 
 def _engine(spark: SparkSession, d: str) -> tuple[Engine, DataFrame]:
@@ -56,21 +59,22 @@ def dense_knn_cells_recall(spark: SparkSession, d: str) -> DataFrame:
     return both.agg((F.count("hit") >= 0.9 * F.count("*")).alias("enough"), F.count("*").alias("wanted"))
 
 
-@query("metadata_search", "SELECT event_id, event_type FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) >= 5")
+@query("metadata_search", "SELECT event_id, event_type FROM events WHERE json_extract_string(props, '$.k') IN ('5', '6')")
 def metadata_search(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").filter(F.get_json_object("props", "$.k").try_cast("int") >= 5).select("event_id", "event_type")
+    return filters.filtered(table(spark, d, "events"), {"metadata.k": {"in": ["5", "6"]}}, ["event_id", "event_type"], "props")
 
 
 @query("block_lookup", "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT conv_id * 3 FROM conversations)")
 def block_lookup(spark: SparkSession, d: str) -> DataFrame:
-    ids = table(spark, d, "conversations").select((F.col("conv_id") * 3).alias("doc_id")).distinct()
-    return table(spark, d, "documents").join(ids, "doc_id", "left_semi").select("doc_id", "lang")
+    ids = table(spark, d, "conversations").select((F.col("conv_id") * 3).alias("doc_id"))
+    return readers.by_ids(table(spark, d, "documents").select("doc_id", "lang"), ids)
 
 
-@query("lookup_by_hash", "SELECT min(doc_id) AS doc_id, h FROM (SELECT doc_id, sha256(text) AS h FROM documents) WHERE h IN (SELECT sha256(text) FROM documents WHERE doc_id % 17 = 0) GROUP BY h")
+@query("lookup_by_hash", "WITH h AS (SELECT doc_id, 'sha256:' || substr(sha256(text), 1, 32) AS content_hash FROM documents) SELECT min(doc_id) AS doc_id, content_hash FROM h WHERE content_hash IN (SELECT content_hash FROM h WHERE doc_id % 100 = 0) GROUP BY content_hash")
 def lookup_by_hash(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    return docs.join(docs.filter("doc_id % 17 = 0").select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min("doc_id").alias("doc_id"))
+    """Hashes are stored once; the hashes looked up are those of every hundredth document."""
+    stored = materialize(table(spark, d, "documents").select("doc_id", text.content_hash(F.col("text")).alias("content_hash")), "hashes")
+    return readers.by_content_hash(stored, stored.filter("doc_id % 100 = 0"))
 
 
 @query(
@@ -92,32 +96,33 @@ def hype_votes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("parent_join", "SELECT c.conv_id AS child_id, c.turn, p.lang FROM conversations c LEFT JOIN documents p ON c.conv_id = p.doc_id AND p.doc_id % 2 = 0")
 def parent_join(spark: SparkSession, d: str) -> DataFrame:
-    parents = table(spark, d, "documents").filter("doc_id % 2 = 0").select("doc_id", "lang")
-    hits = table(spark, d, "conversations").select(F.col("conv_id").alias("child_id"), "turn")
-    return hits.join(parents, hits["child_id"] == parents["doc_id"], "left").select("child_id", "turn", "lang")
+    parents = table(spark, d, "documents").filter("doc_id % 2 = 0").select(F.col("doc_id").alias("parent_id"), "lang")
+    hits = table(spark, d, "conversations").select(F.col("conv_id").alias("child_id"), F.col("conv_id").alias("parent_id"), "turn")
+    return retrieval.with_parents(hits, parents).select("child_id", "turn", "lang")
 
 
 @query("entity_search", r"WITH e AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{5,}')) AS entity FROM documents) SELECT entity, CAST(count(*) AS BIGINT) AS documents FROM e GROUP BY 1 HAVING count(*) >= 3")
 def entity_search(spark: SparkSession, d: str) -> DataFrame:
-    found = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]{5,}"), 0))).alias("entity"))
-    return found.groupBy("entity").agg(F.count("*").alias("documents")).filter("documents >= 3")
+    return retrieval.entity_index(table(spark, d, "documents"))
 
 
 @query("watcher_statistics", "SELECT event_type AS directory, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (event_id % 5 = 0) AS BIGINT) AS imported, CAST(count(*) FILTER (event_id % 5 = 1) AS BIGINT) AS skipped, CAST(grouping(event_type) AS INTEGER) AS overall FROM events GROUP BY ROLLUP (event_type)")
 def watcher_statistics(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").withColumn("directory", F.col("event_type")).rollup("directory")
-    some = lambda n: F.sum(F.when(F.col("event_id") % 5 == n, 1).otherwise(0))
-    return rows.agg(F.count("*").alias("total"), some(0).alias("imported"), some(1).alias("skipped"), F.grouping("directory").cast("int").alias("overall"))
+    state = F.when(F.col("event_id") % 5 == 0, "imported").when(F.col("event_id") % 5 == 1, "skipped").otherwise("seen")
+    return readers.watcher_statistics(table(spark, d, "events").select(F.col("event_type").alias("directory"), state.alias("state")))
 
 
-@query("bloom_precheck", "SELECT count(*) = count(*) FILTER (doc_id % 3 = 0) AS all_found FROM documents WHERE doc_id % 3 = 0")
+@query("bloom_precheck", "SELECT CAST(count(*) AS BIGINT) AS members, CAST(count(*) AS BIGINT) AS members_passed, CAST((SELECT count(DISTINCT -1 - event_id) FROM events) AS BIGINT) AS others, true AS within_rate FROM (SELECT DISTINCT doc_id FROM documents)")
 def bloom_precheck(spark: SparkSession, d: str) -> DataFrame:
-    """No key that is in the filter is missed."""
-    docs = table(spark, d, "documents").select("doc_id")
-    some = docs.filter("doc_id % 3 = 0")
-    found = Bloom.build(some, "doc_id", some.distinct().count()).might_contain(docs, "doc_id")
-    missed = some.join(found, "doc_id", "left_anti")
-    return missed.agg((F.count("*") == 0).alias("all_found"))
+    """Members and others asked, members passed (all), and whether others pass within twice the rate aimed at."""
+    members = table(spark, d, "documents").select(F.col("doc_id").alias("k")).distinct()
+    others = table(spark, d, "events").select((-1 - F.col("event_id")).alias("k")).distinct()
+    bloom = Bloom.build(members, "k", members.count())
+    asked = members.withColumn("is_in", F.lit(True)).unionByName(others.withColumn("is_in", F.lit(False)))
+    some = lambda rows: rows.agg(F.count(F.when(F.col("is_in"), 1)).alias("members"), F.count(F.when(~F.col("is_in"), 1)).alias("others"))
+    passed = some(bloom.might_contain(asked, "k")).toDF("members_passed", "others_passed")
+    joined = some(asked).crossJoin(passed)  # one row each
+    return joined.select("members", "members_passed", "others", (F.col("others_passed") <= 0.02 * F.col("others")).alias("within_rate"))
 
 
 @query("bloom_pass_counts")
@@ -132,6 +137,16 @@ def bloom_pass_counts(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(passed, "is_in", "left").select("is_in", "asked", F.coalesce("passed", F.lit(0)).alias("passed"))
 
 
-@query("explain_paths", "SELECT conv_id AS query_id, role AS route, CAST(count(*) AS BIGINT) AS hits FROM conversations GROUP BY ALL")
+@query(
+    "explain_paths",
+    f"""
+WITH {retrieval_plans.BM25_CTES.replace('{k}', '30')}, n AS (SELECT count(*) AS n FROM documents), h AS (SELECT query_id, least(30, count(*)) AS hits FROM s GROUP BY 1)
+SELECT query_id, route, CAST(hits AS BIGINT) AS hits FROM (SELECT query_id, unnest(['fts5', 'sparse']) AS route, hits FROM h) UNION ALL SELECT item_id, 'dense', CAST(least(30, n) AS BIGINT) FROM benchmark, n
+""",
+)
 def explain_paths(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").groupBy(F.col("conv_id").alias("query_id"), F.col("role").alias("route")).agg(F.count("*").alias("hits"))
+    """Hits by route of the engine itself, over whole documents as blocks."""
+    blocks = table(spark, d, "documents").select(F.col("doc_id").alias("block_id"), F.col("source").alias("namespace_id"), F.coalesce("text", F.lit("")).alias("content"))
+    blocks = materialize(blocks.withColumn("embedding", embedding(HashingEmbedder())(F.col("content"))), "explain-blocks")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return Engine(blocks, blocks, blocks).explain(asked, Options(top_k=10))

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scoring
-from tessera.operators import catalog, chunking, cleaning, filters, logs, memory, metadata
+from tessera.operators import catalog, chunking, cleaning, filters, logs, memory, metadata, retrieval
 from tessera.operators.ordering import numbered
 from tessera.plans.registry import query
 from tessera.runtime import table
+from tessera.sources import readers
 
 NOW = 1_706_745_600  # 2024-02-01
 
@@ -130,7 +131,7 @@ def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
     "chunk_invariants",
     """
 SELECT CAST(count(*) AS BIGINT) AS documents, CAST(count(*) FILTER (length(text) > 0) AS BIGINT) AS chunked, CAST(0 AS BIGINT) AS over_budget, CAST(0 AS BIGINT) AS gaps,
-       CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x20]'))) AS BIGINT) AS letters
+       CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x20.!?;。！？；]'))) AS BIGINT) AS letters
 FROM documents
 """,
 )
@@ -302,7 +303,7 @@ def idle_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("trace_retention", f"WITH {TRACE} SELECT session_id, created_at FROM t WHERE created_at >= {SINCE}")
 def trace_retention(spark: SparkSession, d: str) -> DataFrame:
-    return _trace(spark, d).filter(F.col("created_at") >= SINCE).select("session_id", "created_at")
+    return logs.retained(_trace(spark, d), SINCE, 0, "created_at").select("session_id", "created_at")
 
 
 @query("source_attribution", "SELECT conv_id AS interaction_id, CAST(count(*) AS BIGINT) AS sources, CAST(count(*) FILTER (d.doc_id IS NULL) AS BIGINT) AS deleted, round(avg(turn % 10 / 10.0::DOUBLE), 6) AS mean_relevance FROM conversations LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id % 4 <> 0) d ON conv_id * 7 + turn = d.doc_id GROUP BY 1")
@@ -325,7 +326,7 @@ def latency_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 @query("status_histogram", "SELECT o_orderstatus AS status, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1")
 def status_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+    return logs.histogram(table(spark, d, "orders").select(F.col("o_orderstatus").alias("status")), "status")
 
 
 # --- catalog ----------------------------------------------------------------------------
@@ -392,8 +393,9 @@ def stale_docs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("members_join", "SELECT c_custkey AS user_id, n_name AS tenant FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def members_join(spark: SparkSession, d: str) -> DataFrame:
-    ships = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_nationkey")
-    return ships.join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("user_id", F.col("n_name").alias("tenant"))
+    ships = table(spark, d, "customer").select(F.col("c_custkey").alias("member"), F.col("c_nationkey").alias("user_id"))
+    users = table(spark, d, "nation").select(F.col("n_nationkey").alias("user_id"), F.col("n_name").alias("tenant"))
+    return catalog.members(ships, users).select(F.col("member").alias("user_id"), "tenant")
 
 
 @query("tenant_owners", "SELECT c_nationkey AS tenant_id, CAST(count(*) FILTER (c_mktsegment = 'BUILDING') AS BIGINT) AS owners, CAST(count(*) AS BIGINT) AS members FROM customer GROUP BY 1")
@@ -421,12 +423,12 @@ def document_list(spark: SparkSession, d: str) -> DataFrame:
 
 @query("block_count_backfill", "SELECT o_custkey AS doc_id, CAST(CASE WHEN o_custkey % 2 = 0 THEN count(*) ELSE 1 END AS BIGINT) AS n_blocks FROM orders GROUP BY 1")
 def block_count_backfill(spark: SparkSession, d: str) -> DataFrame:
-    blocks = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("doc_id")).count()
-    stored = blocks.select("doc_id", F.when(F.col("doc_id") % 2 == 0, 0).otherwise(1).alias("stored"))
-    return stored.join(blocks, "doc_id", "left").select("doc_id", F.when(F.col("stored") == 0, F.coalesce("count", F.lit(0))).otherwise(F.col("stored")).cast("long").alias("n_blocks"))
+    blocks = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"))
+    stored = blocks.distinct().withColumn("stored", F.when(F.col("doc_id") % 2 == 0, 0).otherwise(1))
+    return readers.with_block_counts(stored, blocks).select("doc_id", "n_blocks")
 
 
 @query("first_occurrence", "SELECT text_hash, position FROM (SELECT sha256(text) AS text_hash, min(doc_id) AS first_id, CAST(row_number() OVER (ORDER BY min(doc_id)) AS INTEGER) AS position FROM documents GROUP BY 1)")
 def first_occurrence(spark: SparkSession, d: str) -> DataFrame:
-    found = table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("text_hash")).agg(F.min("doc_id").alias("first_id"))
-    return numbered(found, "n", "first_id").select("text_hash", (F.col("n") + 1).cast("int").alias("position"))
+    hits = table(spark, d, "documents").select(F.lit(0).alias("query_id"), F.sha2("text", 256).alias("text_hash"), F.col("doc_id").alias("rank"), F.col("doc_id").alias("block_id"))
+    return numbered(retrieval.first_vote(hits, "text_hash"), "n", "rank").select("text_hash", (F.col("n") + 1).cast("int").alias("position"))

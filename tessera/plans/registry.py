@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tessera.plans import engine, filtering, records, relational, retrieval, streams  # noqa: F401  they register their queries
+    from tessera.plans import engine, filtering, records, relational, rest, retrieval, streams  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Query]:

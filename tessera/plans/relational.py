@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import filters, logs
 from tessera.plans.registry import query
 from tessera.runtime import table
 
@@ -116,12 +117,19 @@ def pivot_status(spark: SparkSession, d: str) -> DataFrame:
 
 @query("distinct_json_key", "SELECT DISTINCT json_extract_string(props, '$.k') AS k FROM events")
 def distinct_json_key(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select(F.get_json_object("props", "$.k").alias("k")).distinct()
-
-
-@query("paired_sample", "SELECT doc_id FROM (SELECT doc_id, md5('44:' || doc_id) AS h FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)) ORDER BY h, doc_id LIMIT 100")
+    return logs.distinct_key(table(spark, d, "events"), "props", "$.k").select(F.col("value").alias("k"))
+
+
+@query(
+    "paired_sample",
+    """
+WITH r AS (SELECT DISTINCT doc_id % 20 AS query_id, doc_id FROM labels WHERE quality = 1),
+s AS (SELECT doc_id FROM documents ORDER BY md5('44:' || doc_id), doc_id LIMIT 100)
+SELECT query_id, doc_id, true AS relevant FROM r
+UNION ALL SELECT q.query_id, s.doc_id, false FROM (SELECT DISTINCT query_id FROM r) q, s WHERE (q.query_id, s.doc_id) NOT IN (SELECT query_id, doc_id FROM r)
+""",
+)
 def paired_sample(spark: SparkSession, d: str) -> DataFrame:
-    """A repeatable sample: the smallest seeded hashes, whatever the order or partitioning."""
-    bad = table(spark, d, "labels").filter("quality = 0").select("doc_id")
-    rows = table(spark, d, "documents").select("doc_id").join(bad, "doc_id", "left_anti")
-    return rows.orderBy(F.md5(F.concat(F.lit("44:"), F.col("doc_id"))), "doc_id").limit(100)
+    """Queries with their relevant documents and a repeatable sample of 100 others."""
+    relevant = table(spark, d, "labels").filter("quality = 1").select((F.col("doc_id") % 20).alias("query_id"), "doc_id")
+    return filters.paired_sample(relevant, table(spark, d, "documents"), 100, 44)

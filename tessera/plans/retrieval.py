@@ -306,16 +306,26 @@ def cross_ns_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("scatter_gather_dedup", _cross_sql(10))
 def scatter_gather_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.cross_namespace(_items(spark, d), 10)
+    items = _items(spark, d)
+    names = [r[0] for r in items.select("namespace_id").distinct().orderBy("namespace_id").collect()]
+    found, _ = fusion.scatter(names, lambda n: items.filter(F.col("namespace_id") == n))
+    return fusion.cross_namespace(found, 10)
 
 
-@query(
-    "scatter_coverage",
-    "SELECT doc_id % 5 AS query_id, CAST(count(DISTINCT source) AS BIGINT) AS asked, round(avg(CASE WHEN lang = 'en' THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS coverage FROM documents GROUP BY 1",
-)
+@query("scatter_coverage", "SELECT source AS namespace_id, CAST(count(*) AS BIGINT) AS hits, round((SELECT count(DISTINCT source) FROM documents) / ((SELECT count(DISTINCT source) FROM documents) + 1.0::DOUBLE), 6) AS coverage FROM documents WHERE source IS NOT NULL GROUP BY 1")
 def scatter_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of every namespace asked by itself, and the share that answered: one more doesn't exist."""
     docs = table(spark, d, "documents")
-    return docs.groupBy((F.col("doc_id") % 5).alias("query_id")).agg(F.countDistinct("source").alias("asked"), F.round(F.avg((F.col("lang") == "en").cast("double")), 6).alias("coverage"))
+    names = [r[0] for r in docs.filter(F.col("source").isNotNull()).select("source").distinct().orderBy("source").collect()]
+
+    def ask(name: str) -> DataFrame:
+        if name not in names:
+            raise LookupError(name)
+        return docs.filter(F.col("source") == name).select("doc_id")
+
+    found, failed = fusion.scatter([*names, "nowhere"], ask)
+    coverage = round((len(names) + 1 - len(failed)) / (len(names) + 1), 6)
+    return found.groupBy("namespace_id").agg(F.count("*").alias("hits")).withColumn("coverage", F.lit(coverage))
 
 
 @query(
@@ -393,6 +403,26 @@ def intent_keyword(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", text.sql_intent(F.col("text")).alias("intent"))
 
 
-@query("chat_route", r"SELECT conv_id, turn, regexp_replace(trim(lower(text), ' ' || chr(9) || chr(10) || chr(12) || chr(13) || chr(11)), '[.!?, \t\r\n]+$', '') IN (" + ", ".join("'" + p.replace("'", "''") + "'" for p in text.CHAT_PHRASES) + ") AS is_chat FROM conversations")
+CHAT_SQL = r"regexp_replace(trim(lower(text), ' ' || chr(9) || chr(10) || chr(12) || chr(13) || chr(11)), '[.!?, \t\r\n]+$', '') IN (" + ", ".join("'" + p.replace("'", "''") + "'" for p in text.CHAT_PHRASES) + ")"
+
+
+@query(
+    "chat_route",
+    f"""
+WITH c AS (SELECT conv_id, turn, {CHAT_SQL} AS is_chat, CASE WHEN turn % 11 = 7 THEN 'simple' ELSE '' END AS override, CASE WHEN conv_id % 13 = 5 THEN 'complex' ELSE '' END AS forced, conv_id % 17 <> 3 AS available,
+  CASE turn % 4 WHEN 0 THEN 'chat' WHEN 1 THEN 'simple' WHEN 2 THEN 'complex' END AS predicted, (conv_id % 10) / 10.0::DOUBLE AS confidence FROM conversations)
+SELECT conv_id, turn, is_chat,
+  CASE WHEN override <> '' THEN override WHEN forced <> '' THEN forced WHEN is_chat THEN 'chat' WHEN NOT available OR predicted IS NULL OR confidence < 0.5 OR predicted = 'chat' THEN 'complex' ELSE predicted END AS path,
+  CASE WHEN override <> '' THEN 'override' WHEN forced <> '' THEN 'namespace' WHEN is_chat THEN 'chat_rule' WHEN NOT available THEN 'unavailable' WHEN predicted IS NULL THEN 'inference_failed'
+       WHEN confidence < 0.5 THEN 'low_confidence' WHEN predicted = 'chat' THEN 'chat_demoted' ELSE 'predicted' END AS why
+FROM c
+""",
+)
 def chat_route(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select("conv_id", "turn", text.is_chat(F.col("text")).alias("is_chat"))
+    """Every turn's route by all eight reasons; tests hold the columns against ``route_decision``."""
+    turn, conv = F.col("turn"), F.col("conv_id")
+    override, forced = F.when(turn % 11 == 7, "simple").otherwise(""), F.when(conv % 13 == 5, "complex").otherwise("")
+    predicted = F.when(turn % 4 == 0, "chat").when(turn % 4 == 1, "simple").when(turn % 4 == 2, "complex")
+    chat = text.is_chat(F.col("text"))
+    path, why = fusion.routed(override, forced, chat, conv % 17 != 3, predicted, (conv % 10) / 10.0)
+    return table(spark, d, "conversations").select("conv_id", "turn", chat.alias("is_chat"), path.alias("path"), why.alias("why"))

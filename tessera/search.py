@@ -158,7 +158,7 @@ class Engine:
         merged = fusion.cross_namespace(capped.withColumn("at", F.row_number().over(order)), options.top_k)
         details = blocks.select("namespace_id", "child_id", "doc_id", "content", "parent_id")
         parents = self.parents if self.parents is not None else blocks.sparkSession.createDataFrame([], "parent_id string, parent_text string")
-        return merged.join(details, ["namespace_id", "child_id"]).join(parents, "parent_id", "left").withColumn("parent_text", F.coalesce("parent_text", F.lit(""))).select("query_id", "position", "namespace_id", "child_id", "doc_id", "score", "content", "parent_text", "sources")
+        return merged.join(details, ["namespace_id", "child_id"]).transform(retrieval.with_parents, parents).withColumn("parent_text", F.coalesce("parent_text", F.lit(""))).select("query_id", "position", "namespace_id", "child_id", "doc_id", "score", "content", "parent_text", "sources")
 
     def _by_document(self, asked: DataFrame, found: DataFrame, names: list[str], options: Options) -> DataFrame:
         """Chunks scored by their document's fused rank: the best chunk stands for it."""

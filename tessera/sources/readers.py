@@ -33,6 +33,29 @@ def documents_by(docs: DataFrame, **equal: object) -> DataFrame:
     return docs
 
 
+def by_ids(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Point lookups of a whole table of ids: rows whose key is among them, each once."""
+    return rows.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def by_content_hash(stored: DataFrame, wanted: DataFrame) -> DataFrame:
+    """content_hash, doc_id: the first document of each wanted hash, by the hashes as stored."""
+    hit = stored.join(wanted.select("content_hash").distinct(), "content_hash", "left_semi")
+    return hit.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
+
+
+def with_block_counts(docs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Documents with n_blocks: the stored count, or the true one where 0 is stored."""
+    true = block_counts(blocks)
+    return docs.join(true, "doc_id", "left").withColumn("n_blocks", F.when(F.col("stored") == 0, F.coalesce("n_blocks", F.lit(0))).otherwise(F.col("stored")).cast("long"))
+
+
+def watcher_statistics(files: DataFrame) -> DataFrame:
+    """Files seen, imported and skipped of every watched directory, and of all (``overall`` 1)."""
+    some = lambda state: F.sum(F.when(F.col("state") == state, 1).otherwise(0))
+    return files.rollup("directory").agg(F.count("*").alias("total"), some("imported").alias("imported"), some("skipped").alias("skipped"), F.grouping("directory").cast("int").alias("overall"))
+
+
 def blocks_of(blocks: DataFrame, doc_id: int) -> DataFrame:
     return blocks.filter(F.col("doc_id") == doc_id).orderBy("chunk_index")
 
@@ -131,6 +154,22 @@ def replace_source(existing: DataFrame, fresh: DataFrame, prefix: str, column: s
     return existing.filter(~F.coalesce(F.startswith(F.col(column), F.lit(prefix)), F.lit(False))).unionByName(fresh)
 
 
+def submit_batch(docs: DataFrame, stored: DataFrame, on_duplicate: str = "error") -> DataFrame:
+    """The outcome of every submitted document: accepted, replaced, skipped or rejected, with its error.
+
+    ``on_duplicate`` says what becomes of a doc_id that is stored: error, skip or replace.
+    """
+    if on_duplicate not in ("error", "skip", "replace"):
+        raise ValueError(f"on_duplicate can't be {on_duplicate}")
+    known = stored.select("doc_id").distinct().withColumn("known", F.lit(True))
+    checked = check_batch(docs).join(known, "doc_id", "left")
+    there = F.coalesce("known", F.lit(False))
+    met = {"error": "rejected", "skip": "skipped", "replace": "replaced"}[on_duplicate]
+    outcome = F.when(F.col("error").isNotNull(), "rejected").when(there, met).otherwise("accepted")
+    error = F.when(F.col("error").isNull() & there & F.lit(on_duplicate == "error"), "exists").otherwise(F.col("error"))
+    return checked.withColumn("outcome", outcome).withColumn("error", error).drop("known")
+
+
 def check_batch(docs: DataFrame, most_docs: int = 100, most_bytes: int = 10 << 20) -> DataFrame:
     """Submitted documents with ``error``: too_many, duplicate_id, empty, too_large, or null."""
     n = docs.groupBy("doc_id").agg(F.count("*").alias("n"))

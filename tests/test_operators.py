@@ -419,8 +419,47 @@ def test_bloom_precheck_is_sized_by_its_keys(spark, monkeypatch):
     build = Bloom.build.__func__
     monkeypatch.setattr(Bloom, "build", classmethod(lambda cls, *a, **k: made.append(build(cls, *a, **k)) or made[-1]))
     big = "/root/testdata/sf0.1"
-    assert registry.queries()["bloom_precheck"](spark, big).first()["all_found"]
+    found = registry.queries()["bloom_precheck"](spark, big).first()
+    assert found["members"] == found["members_passed"] == 10_000 and found["within_rate"]
     assert made[0].false_positive_rate() < 0.02
     got = {r["is_in"]: (r["asked"], r["passed"]) for r in registry.queries()["bloom_pass_counts"](spark, big).collect()}
     assert got[True][0] == got[True][1] > 9000
     assert got[False][0] > 5000 and got[False][1] / got[False][0] < 0.02
+
+
+def test_routed_is_route_decision(spark):
+    """The route as columns against the decision for one query, over all kinds of input."""
+    import itertools
+
+    cases = [
+        (i, o, f, c, a, p, s)
+        for i, (o, f, c, a, p, s) in enumerate(itertools.product(("", "simple"), ("", "chat"), (True, False), (True, False), (None, "chat", "simple", "complex"), (None, 0.1, 0.5, 0.9)))
+    ]
+    df = spark.createDataFrame(cases, "i int, o string, f string, c boolean, a boolean, p string, s double")
+    path, why = fusion.routed(*(F.col(x) for x in "ofcaps"))
+    got = {r["i"]: (r["path"], r["why"]) for r in df.select("i", path.alias("path"), why.alias("why")).collect()}
+    assert got == {i: fusion.route_decision(o, f, c, a, p, s) for i, o, f, c, a, p, s in cases}
+
+
+def test_json_maps_and_members(spark):
+    from tessera.operators import metadata
+
+    deep = '{"a":' * 20 + "1" + "}" * 20
+    df = spark.createDataFrame([(1, '{"a": {"b": 1, "c": [1, 2]}, "d": "x", "n": null}'), (2, "[1]"), (3, None), (4, "oops"), (5, deep)], "i int, j string")
+    got = {r["i"]: r["m"] for r in df.select("i", metadata.flat_json(F.col("j")).alias("m")).collect()}
+    assert got[1] == {"a.b": "1", "a.c": "[1,2]", "d": "x"} and got[2] == got[3] == got[4] == {}
+    assert list(got[5]) == [".".join("a" * metadata.MOST_DEPTH)]
+    made = {r["i"]: r["j"] for r in df.select("i", metadata.json_set(F.col("j"), "a.b", F.lit("new")).alias("j")).collect()}
+    assert made[1].startswith('{"a":{"b":"new","c":[1,2]}') and made[2] == made[3] == made[4] == '{"a":{"b":"new"}}'
+
+
+def test_batch_on_duplicate(spark):
+    from tessera.sources import readers
+
+    docs = spark.createDataFrame([(1, "x"), (2, ""), (3, "y"), (3, "z")], "doc_id long, text string")
+    stored = spark.createDataFrame([(1,)], "doc_id long")
+    for how, outcome, error in (("error", "rejected", "exists"), ("skip", "skipped", None), ("replace", "replaced", None)):
+        got = {(r["doc_id"], r["outcome"], r["error"]) for r in readers.submit_batch(docs, stored, how).collect()}
+        assert got == {(1, outcome, error), (2, "rejected", "empty"), (3, "rejected", "duplicate_id")}
+    with pytest.raises(ValueError):
+        readers.submit_batch(docs, stored, "merge")
