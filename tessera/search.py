@@ -184,11 +184,65 @@ def chat_facts(facts: DataFrame, user_id: str, top_k: int) -> DataFrame:
 # --- SQL functions ----------------------------------------------------------------------
 
 
-def register_sql(spark: SparkSession, engine: Engine) -> None:
+SQL_SEARCH = r"""
+CREATE OR REPLACE TEMPORARY FUNCTION tessera_search(ns STRING, asked STRING, top_k INT)
+RETURNS TABLE(position INT, child_id STRING, doc_id BIGINT, score DOUBLE, content STRING)
+RETURN
+WITH st AS (SELECT namespace_id, count(*) AS n, avg(len) AS m FROM tessera_lengths GROUP BY 1),
+df AS (SELECT namespace_id, term, count(*) AS df FROM tessera_postings GROUP BY 1, 2),
+lex AS (SELECT p.block_id, round(sum(greatest({floor}D, ln((st.n - df.df + 0.5D) / (df.df + 0.5D))) * p.tf * {up}D / (p.tf + {k1}D * ({flat}D + {b}D * p.len / st.m))), 6) AS s
+  FROM tessera_postings p JOIN st USING (namespace_id) JOIN df USING (namespace_id, term)
+  WHERE p.namespace_id = tessera_search.ns AND array_contains(regexp_extract_all(lower(tessera_search.asked), '[\\p{{L}}\\p{{N}}]+', 0), p.term) GROUP BY 1),
+near AS (SELECT block_id, embedding AS v, tessera_embed(tessera_search.asked) AS q FROM tessera_blocks WHERE namespace_id = tessera_search.ns),
+vec AS (SELECT block_id, round(coalesce(aggregate(zip_with(v, q, (x, y) -> CAST(x AS DOUBLE) * y), 0D, (t, x) -> t + x)
+  / nullif(sqrt(aggregate(v, 0D, (t, x) -> t + CAST(x AS DOUBLE) * x)) * sqrt(aggregate(q, 0D, (t, x) -> t + CAST(x AS DOUBLE) * x)), 0D), 0D), 6) AS s FROM near),
+ranks AS (
+  SELECT block_id, row_number() OVER (ORDER BY s DESC, block_id) AS r FROM lex
+  UNION ALL SELECT block_id, row_number() OVER (ORDER BY s DESC, block_id) AS r FROM vec),
+fused AS (SELECT block_id, round(sum(1 / ({rrf}D + r - 1)), 9) AS score FROM ranks WHERE r <= greatest(tessera_search.top_k, least(3 * tessera_search.top_k, 50)) GROUP BY 1),
+placed AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, block_id) AS INT) AS position FROM fused)
+SELECT position, child_id, doc_id, score, content FROM placed JOIN tessera_blocks USING (block_id) WHERE position <= tessera_search.top_k
+"""
+SQL_DOCUMENTS = """
+CREATE OR REPLACE TEMPORARY FUNCTION tessera_list_documents(ns STRING) RETURNS TABLE(doc_id BIGINT, filename STRING, n_blocks BIGINT)
+RETURN SELECT d.doc_id, d.filename, count(b.block_id) FROM tessera_documents d LEFT JOIN tessera_blocks b ON b.doc_id = d.doc_id AND b.namespace_id = d.namespace_id
+  WHERE d.namespace_id = tessera_list_documents.ns GROUP BY 1, 2
+"""
+SQL_MEMORY = """
+CREATE OR REPLACE TEMPORARY FUNCTION tessera_memory_search(who STRING, now_s BIGINT, top_k INT) RETURNS TABLE(position INT, block_id BIGINT, content STRING, score DOUBLE)
+RETURN WITH s AS (SELECT block_id, content, round(greatest(0D, raw_score * CASE WHEN coalesce(memory_type, '') IN ('fact', 'preference') THEN 1D ELSE exp(-{decay}D * greatest(0, floor((tessera_memory_search.now_s - created_s) / 86400))) END), 6) AS score
+  FROM tessera_facts WHERE user_id = tessera_memory_search.who AND coalesce(status, '') <> 'invalidated'),
+r AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, block_id) AS INT) AS position FROM s)
+SELECT position, block_id, content, score FROM r WHERE position <= tessera_memory_search.top_k
+"""
+SQL_INTERACTIONS = """
+CREATE OR REPLACE TEMPORARY FUNCTION tessera_list_interactions(who STRING, needle STRING, most INT, skip INT) RETURNS TABLE(position INT, id BIGINT, created_at BIGINT, content STRING)
+RETURN WITH r AS (SELECT id, created_at, content, CAST(row_number() OVER (ORDER BY created_at DESC, id) AS INT) AS position FROM tessera_interactions
+  WHERE user_id = tessera_list_interactions.who AND contains(lower(content), lower(tessera_list_interactions.needle)))
+SELECT position, id, created_at, content FROM r
+WHERE position > tessera_list_interactions.skip AND position <= tessera_list_interactions.skip + greatest(1, least(100, tessera_list_interactions.most))
+"""
+SQL_BATCH = """
+CREATE OR REPLACE TEMPORARY FUNCTION tessera_batch_submit(ns STRING, docs STRING, on_duplicate STRING) RETURNS TABLE(doc_id BIGINT, outcome STRING, error STRING)
+RETURN WITH g AS (SELECT inline(from_json(tessera_batch_submit.docs, 'array<struct<doc_id: bigint, text: string>>'))),
+c AS (SELECT *, count(*) OVER () AS total, count(*) OVER (PARTITION BY doc_id) AS n FROM g),
+k AS (SELECT DISTINCT doc_id AS known FROM tessera_documents WHERE namespace_id = tessera_batch_submit.ns),
+e AS (SELECT doc_id, known IS NOT NULL AS known, CASE WHEN total > 100 THEN 'too_many' WHEN n > 1 THEN 'duplicate_id' WHEN coalesce(text, '') = '' THEN 'empty' WHEN octet_length(text) > 10485760 THEN 'too_large' END AS error FROM c LEFT JOIN k ON doc_id = known)
+SELECT doc_id, CASE WHEN error IS NOT NULL THEN 'rejected' WHEN NOT known THEN 'accepted' WHEN tessera_batch_submit.on_duplicate = 'replace' THEN 'replaced' WHEN tessera_batch_submit.on_duplicate = 'skip' THEN 'skipped' ELSE 'rejected' END AS outcome,
+  CASE WHEN error IS NULL AND known AND tessera_batch_submit.on_duplicate NOT IN ('replace', 'skip') THEN 'exists' ELSE error END AS error FROM e
+"""
+
+
+def register_sql(spark: SparkSession, engine: Engine, facts: DataFrame | None = None, interactions: DataFrame | None = None) -> None:
     """Views and table functions for SQL callers.
 
-    ``tessera_documents``, ``tessera_blocks`` and ``tessera_status`` are views; table functions
-    split text into chunks and parse filters: ``tessera_chunks(text, size)``.
+    Views: ``tessera_documents``, ``tessera_blocks``, ``tessera_status``, and the index that
+    the search reads, ``tessera_postings`` and ``tessera_lengths``, written once. Functions:
+    ``tessera_search(namespace, query, top_k)`` (full text and vectors, fused),
+    ``tessera_list_documents(namespace)``, ``tessera_batch_submit(namespace, json,
+    on_duplicate)``, ``tessera_chunks(text, size)``, and, where the tables are given,
+    ``tessera_memory_search(user, now, top_k)`` over ``facts`` and
+    ``tessera_list_interactions(user, text, limit, offset)``.
     """
     from pyspark.sql.functions import udtf
 
@@ -199,10 +253,24 @@ def register_sql(spark: SparkSession, engine: Engine) -> None:
                 yield c.index, c.text, c.tokens
 
     spark.udtf.register("tessera_chunks", Chunks)
+    spark.udf.register("tessera_embed", embedding(engine.embedder))
     engine.documents.createOrReplaceTempView("tessera_documents")
     engine.blocks.createOrReplaceTempView("tessera_blocks")
+    index = materialize(retrieval.postings(engine.blocks, "block_id", "content", ("namespace_id",)).withColumnRenamed("id", "block_id"), "sql-postings")
+    index.createOrReplaceTempView("tessera_postings")
+    lengths = engine.blocks.select("namespace_id", "block_id", F.size(text.tokens(F.col("content"))).alias("len"))
+    materialize(lengths, "sql-lengths").createOrReplaceTempView("tessera_lengths")
     counts = engine.blocks.groupBy("namespace_id").agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("blocks"))
     counts.createOrReplaceTempView("tessera_status")
+    spark.sql(SQL_SEARCH.format(floor=retrieval.IDF_FLOOR, up=retrieval.K1 + 1, k1=retrieval.K1, flat=1 - retrieval.B, b=retrieval.B, rrf=fusion.RRF_K))
+    spark.sql(SQL_DOCUMENTS)
+    spark.sql(SQL_BATCH)
+    if facts is not None:
+        facts.createOrReplaceTempView("tessera_facts")
+        spark.sql(SQL_MEMORY.format(decay=scoring.DECAY_PER_DAY))
+    if interactions is not None:
+        interactions.createOrReplaceTempView("tessera_interactions")
+        spark.sql(SQL_INTERACTIONS)
 
 
 def sql_search(spark: SparkSession, engine: Engine, namespace: str, query: str, top_k: int = 10, rerank: bool = False) -> DataFrame:

@@ -61,6 +61,26 @@ def test_explain_and_sql(spark, engine):
     assert search.sql_search(spark, engine, "a", "refund", 3).first()["doc_id"] == 2
 
 
+def test_sql_functions(spark, engine):
+    """Table functions by plain SQL, one call or one for each row of another table."""
+    facts = spark.createDataFrame([(1, "u", "likes tea", "fact", "active", 0.5, 0), (2, "u", "met a friend", "event", "active", 0.9, 0), (3, "u", "old", "fact", "invalidated", 1.0, 0), (4, "v", "else", "fact", "active", 1.0, 0)], "block_id long, user_id string, content string, memory_type string, status string, raw_score double, created_s long")
+    said = spark.createDataFrame([(i, "u", 100 + i, f"about 50% of x{i}") for i in range(5)] + [(9, "v", 1, "50% else")], "id long, user_id string, created_at long, content string")
+    search.register_sql(spark, engine, facts, said)
+    sql = lambda q: [tuple(r) for r in spark.sql(q).collect()]
+    got = sql("SELECT position, doc_id FROM tessera_search('a', 'refund money', 1)")
+    assert got == [(1, 2)]
+    each = sql("SELECT q.asked, t.doc_id FROM VALUES ('refund policy'), ('install the pump') AS q(asked), LATERAL tessera_search('a', q.asked, 1) t ORDER BY 1")
+    assert each == [("install the pump", 1), ("refund policy", 2)]
+    mine = engine.search(asked(spark, "refund money"), ["a"], search.Options(top_k=2, route="simple", granularity="chunk")).orderBy("position").collect()
+    assert [(r["doc_id"], round(r["score"], 6)) for r in mine] == [(d, round(s, 6)) for d, s in sql("SELECT doc_id, score FROM tessera_search('a', 'refund money', 2) ORDER BY position")]
+    assert sorted(sql("SELECT doc_id, n_blocks FROM tessera_list_documents('b')")) == [(3, 1), (4, 0), (5, 1)]
+    assert sql("SELECT block_id FROM tessera_memory_search('u', 8640000, 5) ORDER BY position") == [(1,), (2,)]
+    assert sql("SELECT id FROM tessera_list_interactions('u', '50%', 2, 1) ORDER BY position") == [(3,), (2,)]
+    batch = '[{"doc_id": 1, "text": "x"}, {"doc_id": 77, "text": "y"}, {"doc_id": 78, "text": ""}]'
+    assert sorted(sql(f"SELECT * FROM tessera_batch_submit('a', '{batch}', 'skip')"), key=str) == [(1, "skipped", None), (77, "accepted", None), (78, "rejected", "empty")]
+    assert ("a", 2, 2) in sql("SELECT * FROM tessera_status")
+
+
 def test_labels_bring_two_more_routes(spark, engine):
     questions = spark.createDataFrame([("a/2/0", "when do I get my cash back"), ("a/1/0", "where does the hose go")], "child_id string, question string")
     contexts = spark.createDataFrame([("b/5/0", "An aside on sailing boats"), ("a/1/0", None)], "child_id string, context string")
