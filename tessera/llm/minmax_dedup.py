@@ -179,8 +179,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
     return _both(pairs, texts, "text").mapInArrow(run, "a long, b long")
 
 
-def _near(groups: DataFrame, key: str) -> DataFrame:
-    """(key, i, j, is_left, doc_id): members whose signature is near one of the other side's, of another component."""
+def _near(groups: DataFrame) -> DataFrame:
+    """(kind, key, i, j, is_left, doc_id): members whose signature is near one of the other side's, of another component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,11 +194,11 @@ def _near(groups: DataFrame, key: str) -> DataFrame:
                     found[0][n] = near.any()
                     found[1] |= near
                 out = np.concatenate([x[f] for x, f in zip(ids, found, strict=True)])
-                place = [pa.array([batch.column(c)[g].as_py()] * len(out), k) for c, k in ((key, pa.int64()), ("i", pa.int32()), ("j", pa.int32()))]
+                place = [pa.array([batch.column(c)[g].as_py()] * len(out), k) for c, k in (("kind", pa.int32()), ("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()))]
                 is_left = np.repeat([True, False], [int(f.sum()) for f in found])
-                yield pa.RecordBatch.from_arrays([*place, pa.array(is_left), pa.array(out)], names=[key, "i", "j", "is_left", "doc_id"])
+                yield pa.RecordBatch.from_arrays([*place, pa.array(is_left), pa.array(out)], names=["kind", "key", "i", "j", "is_left", "doc_id"])
 
-    return groups.mapInArrow(run, f"{key} long, i int, j int, is_left boolean, doc_id long")
+    return groups.mapInArrow(run, "kind int, key long, i int, j int, is_left boolean, doc_id long")
 
 
 def _linked(groups: DataFrame, percent: int) -> DataFrame:
@@ -227,24 +227,26 @@ def _linked(groups: DataFrame, percent: int) -> DataFrame:
     return groups.select("left", "right").mapInArrow(run, "a long, b long")
 
 
-def _grouped(rows: DataFrame, key: str) -> DataFrame:
-    """Block pairs (key, i, j, left, right) of rows (key, i, j, is_left, e) that have both sides."""
+PLACE = ("kind", "key", "i", "j")
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    """Block pairs (kind, key, i, j, left, right) of rows (kind, key, i, j, is_left, e) that have both sides."""
     side = lambda left: F.collect_list(F.when(F.col("is_left") == left, F.col("e")))
-    groups = rows.groupBy(key, "i", "j").agg(side(True).alias("left"), side(False).alias("right"))
+    groups = rows.groupBy(*PLACE).agg(side(True).alias("left"), side(False).alias("right"))
     return groups.filter((F.size("left") > 0) & (F.size("right") > 0))
 
 
-def _met(left: DataFrame, right: DataFrame, key: str, single: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Links between left and right rows (key, i, j, doc_id, component) of the same block pair."""
-    side = lambda rows, is_left: rows.select(key, "i", "j", "doc_id", "component", F.lit(is_left).alias("is_left"))
-    both = materialize(side(left, True).unionByName(side(right, False)), "block-rows")
-    sigs = both.join(single.select("doc_id", "sig"), "doc_id")
-    near = _near(_grouped(sigs.select(key, "i", "j", "is_left", F.struct("doc_id", "component", "sig").alias("e")), key), key)
-    near = materialize(near, "block-near")
-    texts = texts_of(docs, near.select("doc_id").distinct(), single)
+def _met(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links between left and right rows (kind, key, i, j, is_left, doc_id, component) of the same block pair."""
+    both = materialize(rows, "block-rows")
+    sigs = both.join(texts.select("doc_id", "sig"), "doc_id")
+    near = materialize(_near(_grouped(sigs.select(*PLACE, "is_left", F.struct("doc_id", "component", "sig").alias("e")))), "block-near")
+    asked = materialize(near.select("doc_id").distinct(), "block-ids")
+    texts = materialize(texts.join(asked, "doc_id"), "block-texts")
     homes = both.select("doc_id", "component").distinct()
-    rows = near.join(homes, "doc_id").join(texts, "doc_id")
-    return _linked(_grouped(rows.select(key, "i", "j", "is_left", F.struct("doc_id", "component", "sig", "text").alias("e")), key), percent)
+    whole = near.join(homes, "doc_id").join(texts, "doc_id")
+    return _linked(_grouped(whole.select(*PLACE, "is_left", F.struct("doc_id", "component", "sig", "text").alias("e"))), percent)
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, single: DataFrame) -> DataFrame:
@@ -268,7 +270,7 @@ def _every(blocks: str) -> Column:
     return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
 
 
-def residual(members: DataFrame, homes: DataFrame, single: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def residual(members: DataFrame, homes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links that the stars could not see, in buckets of four or more with several components.
 
     ``members`` (band, doc_id, component, bytes), ``homes`` (doc_id, component, bytes) of all
@@ -283,6 +285,8 @@ def residual(members: DataFrame, homes: DataFrame, single: DataFrame, docs: Data
     out = _blocks(F.col("n") - F.col("most.count"), F.col("bytes") - F.col("most.bytes")).alias("parts")
     # written first: a join of two plain exchanges lets Spark split a hot band's rows
     mixed = materialize(mixed.select("band", F.col("most.component").alias("main"), (F.col("n") - F.col("most.count")).alias("n_out"), out), "mixed")
+    if mixed.isEmpty():
+        return members.sparkSession.createDataFrame([], "a long, b long")
     outsiders = materialize(members.join(mixed, "band").filter("component <> main"), "outsiders")
 
     asked = materialize(outsiders.select("main", "doc_id", "component", "bytes").distinct(), "asked")
@@ -290,14 +294,14 @@ def residual(members: DataFrame, homes: DataFrame, single: DataFrame, docs: Data
     n_asked = materialize(n_asked, "asked-blocks")
     at_home = homes.withColumnRenamed("component", "main").join(n_asked, "main")
     sized = materialize(at_home.groupBy("main").agg(F.first("lefts").alias("lefts"), _blocks(F.count("*"), F.sum("bytes")).alias("rights")), "home-blocks")
-    left = asked.join(sized, "main").select("main", "doc_id", "component", _at("lefts").alias("i"), _every("rights").alias("j"))
-    right = homes.withColumnRenamed("component", "main").join(sized, "main").select("main", "doc_id", F.col("main").alias("component"), _at("rights").alias("j"), _every("lefts").alias("i"))
-    with_main = _met(left, right, "main", single, docs, percent)
+    left = asked.join(sized, "main").select(F.lit(0).alias("kind"), F.col("main").alias("key"), _at("lefts").alias("i"), _every("rights").alias("j"), F.lit(True).alias("is_left"), "doc_id", "component")
+    there = homes.withColumnRenamed("component", "main").join(sized, "main")
+    right = there.select(F.lit(0).alias("kind"), F.col("main").alias("key"), _every("lefts").alias("i"), _at("rights").alias("j"), F.lit(False).alias("is_left"), "doc_id", F.col("main").alias("component"))
 
     several = outsiders.filter("n_out > 1")
-    left = several.select("band", "doc_id", "component", _at("parts").alias("i"), _every("parts").alias("j")).filter("i <= j")
-    right = several.select("band", "doc_id", "component", _at("parts").alias("j"), _every("parts").alias("i")).filter("i <= j")
-    return with_main.unionByName(_met(left, right, "band", single, docs, percent)).distinct()
+    side = lambda at, every, is_left: several.select(F.lit(1).alias("kind"), F.col("band").alias("key"), _at("parts").alias(at), _every("parts").alias(every), F.lit(is_left).alias("is_left"), "doc_id", "component")
+    inside = side("i", "j", True).unionByName(side("j", "i", False)).filter("i <= j")
+    return _met(left.unionByName(right).unionByName(inside), texts, percent).distinct()
 
 
 def _main_rows(table: DataFrame) -> DataFrame:
@@ -346,15 +350,16 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     stars = members.select(F.explode(F.array("low", "high")).alias("hub"), "doc_id").filter("hub <> doc_id")
     stars = materialize(stars.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct(), "stars")
 
-    asked = materialize(likely(stars, single.select("doc_id", "sig")), "likely")
-    texts = texts_of(docs, asked.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), single)
-    links = materialize(confirmed(asked, texts, percent), "links")
+    texts = texts_of(docs, members.select("doc_id").distinct(), single)
+    asked = materialize(likely(stars, texts.select("doc_id", "sig")), "likely")
+    near = materialize(asked.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "likely-ids")
+    links = materialize(confirmed(asked, materialize(texts.join(near, "doc_id"), "likely-texts"), percent), "links")
     found = materialize(components(links), "components")
 
     homes = members.select("doc_id", "bytes").distinct().join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     homes = materialize(homes.select("doc_id", F.coalesce("component", "doc_id").alias("component"), "bytes"), "homes")
     labelled = members.filter("n >= 4").select("band", "doc_id", "bytes").join(homes.select("doc_id", "component"), "doc_id")
-    more = materialize(residual(labelled, homes, single, docs, percent), "more-links")
+    more = materialize(residual(labelled, homes, texts, percent), "more-links")
     if not more.isEmpty():
         found = materialize(components(links.unionByName(more)), "components")
 
