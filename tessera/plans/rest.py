@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import schemas
-from tessera.functions import scoring, text
+from tessera.functions import hashes, scoring, text
 from tessera.models import OverlapReranker, rerank_score
 from tessera.operators import catalog, cleaning, filters, fusion, logs, memory, metadata, retrieval
 from tessera.plans.records import NOW
 from tessera.plans.registry import query
 from tessera.runtime import scratch_path, table
-from tessera.sources import codecs, readers
+from tessera.sources import blobs, codecs, readers
 
 
 def _udf(kind: str, fn: Callable, *columns: Column) -> Column:
@@ -429,3 +429,20 @@ def over_quota(spark: SparkSession, d: str) -> DataFrame:
     usage = table(spark, d, "documents").filter(F.col("source").isNotNull()).select(F.col("source").alias("tenant_id"), F.col("n_chars").alias("size_bytes"))
     limits = usage.select("tenant_id").distinct().filter("tenant_id <> 'src1'").withColumn("quota", F.lit(50_000))
     return catalog.over_quota(usage, limits)
+
+
+@query("blob_round_trip", "SELECT sha256(html) AS file_hash, CAST(min(octet_length(encode(html))) AS BIGINT) AS size_bytes FROM pages WHERE html IS NOT NULL GROUP BY 1")
+def blob_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """All pages put into a store twice: every content is there once."""
+    folder, pages = scratch_path(spark, "blobs"), table(spark, d, "pages").select(F.col("html").cast("binary").alias("content"))
+    blobs.put(pages, folder)
+    blobs.put(pages, folder)
+    return blobs.stored(spark, folder).select("file_hash", F.octet_length("content").cast("long").alias("size_bytes"))
+
+
+@query("keyed_ids", "SELECT CAST(count(*) AS BIGINT) AS documents, CAST(count(*) AS BIGINT) AS ids, true AS another_key_differs FROM documents")
+def keyed_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Block ids of all documents by a keyed hash: no two alike, and others under another key."""
+    name = F.concat(F.lit("d/"), F.col("doc_id"))
+    ids = table(spark, d, "documents").select(hashes.block_id(name, bytes(16)).alias("a"), hashes.block_id(name, bytes(range(16))).alias("b"))
+    return ids.agg(F.count("*").alias("documents"), F.countDistinct("a").alias("ids"), (F.count(F.when(F.col("a") == F.col("b"), 1)) == 0).alias("another_key_differs"))

@@ -110,3 +110,13 @@ def test_schemas(spark):
         schemas.block_type_code("unknown")
     for ddl in schemas.DDL.values():
         assert isinstance(spark.createDataFrame([], ddl).schema, T.StructType)
+
+
+def test_hashes_have_their_published_values(spark):
+    from tessera.functions import hashes
+
+    assert hashes.siphash(bytes(range(16)), bytes(range(15))) == 0xA129CA6149BE45E5
+    assert hashes.siphash(bytes(range(16)), b"") == 0x726FDB47DD0E0E31
+    assert hashes.fnv1a(b"") == 0xCBF29CE484222325 and hashes.fnv1a(b"a") == 0xAF63DC4C8601EC8C and hashes.fnv1a(b"foobar") == 0x85944171F73967E8
+    df = spark.createDataFrame([("a",), (None,)], "t string")
+    assert [r[0] for r in df.select(hashes.fnv64(F.col("t"))).collect()] == [0xAF63DC4C8601EC8C - (1 << 64), None]
