@@ -119,7 +119,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_
     A null source is a source. A null or wordless text has size 0 and takes 0 words. Equal
     doc_ids share their hash and so their fate. An empty table gives no rows. Joins are on
     the source; Spark broadcasts the table of sources where its size allows and splits a hot
-    source's rows where not.
+    source's rows where not. A text is read whole however long, and only its word count is
+    kept. Other columns are ignored.
     """
     sizes = materialize(measured(docs), "mix-sizes")
     rows = sizes.alias("s").join(plan(sizes, weights, most).alias("p"), F.expr("s.source <=> p.source")).withColumn("copies", copies(F.col("h"), most))

@@ -155,7 +155,8 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document.
 
     Null, empty and featureless texts score the labelled sample's mean. Without any label
-    every score is 0.5. Repeated rows score alike; extra columns are ignored.
+    every score is 0.5. Repeated rows score alike; extra columns are ignored; an empty table
+    gives no rows. A text is read whole however long, by one task.
     """
     model = learn(docs, labels)
     score = scorer(docs.sparkSession, model)

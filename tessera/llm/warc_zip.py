@@ -302,6 +302,8 @@ def round_trip(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFram
     A null html is an empty payload; a null page_id is read back as null and never another
     page's original while a numbered page has the payload. Rows that repeat a page_id with
     one payload are all responses if theirs is the largest. White space in urls is one space.
+    A long payload is held whole by one task, and no package grows past its bounds but by one
+    record. Other columns are ignored; an empty table gives no rows.
     """
     spark = pages.sparkSession
     folder = scratch_path(spark, "warc")
