@@ -1,7 +1,9 @@
 """The corpus pipeline: line rules, quality classifier, near-dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept; all but the
-last return the columns of ``docs`` unchanged, extra ones included.
+last return the columns of ``docs`` unchanged, extra ones included, whatever their names. An
+empty table stays empty in every stage. Texts are read whole however long; a task holds the
+texts of one Arrow batch, and a longer text by itself.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score says that label 1 is likely. Repeated rows are judged alike.
 
+    Null and empty texts score the labelled sample's mean and go or stay by it.
+
     Both learned stages learn from the labelled documents of ``sf_dir``, not from what came
     through so far: survivors alone would teach that everything is good.
     """
@@ -69,7 +73,7 @@ def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces of all documents, every copy separately."""
+    """The packed pieces of all documents, every copy separately; null and empty texts are one token."""
     prepare(spark)
     return packing.packed(docs)
 

@@ -54,20 +54,6 @@ def oversized_blocks(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "semantic_dedup",
     """
-WITH RECURSIVE g AS (SELECT CAST(label * 100 + vec_id % 10 AS VARCHAR) AS scope, vec_id AS o, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (PARTITION BY label * 100 + vec_id % 10 ORDER BY vec_id) AS n FROM embeddings),
-r AS (SELECT scope, n, o, true AS kept, [e] AS ks FROM g WHERE n = 1
-  UNION ALL SELECT x.scope, x.n, x.o, NOT x.near, CASE WHEN x.near THEN x.ks ELSE list_append(x.ks, x.e) END
-  FROM (SELECT g.scope, g.n, g.o, g.e, r.ks, coalesce(list_bool_or(list_transform(r.ks, lambda k: list_cosine_similarity(k, g.e) >= 0.5)), false) AS near FROM r JOIN g ON g.scope = r.scope AND g.n = r.n + 1) x)
-SELECT scope, o, kept FROM r
-""",
-)
-def semantic_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return cleaning.semantic_dedup(table(spark, d, "embeddings").withColumn("unit", F.col("label") * 100 + F.col("vec_id") % 10), "unit", "vec_id", "embedding", 0.5)
-
-
-@query(
-    "semantic_dedup_label",
-    """
 WITH RECURSIVE g AS (SELECT CAST(label AS VARCHAR) AS scope, vec_id AS o, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
 r AS (SELECT scope, n, o, true AS kept, [e] AS ks FROM g WHERE n = 1
   UNION ALL SELECT x.scope, x.n, x.o, NOT x.near, CASE WHEN x.near THEN x.ks ELSE list_append(x.ks, x.e) END
@@ -75,8 +61,8 @@ r AS (SELECT scope, n, o, true AS kept, [e] AS ks FROM g WHERE n = 1
 SELECT scope, o, kept FROM r
 """,
 )
-def semantic_dedup_label(spark: SparkSession, d: str) -> DataFrame:
-    """Whole labels at the production threshold; ``semantic_dedup`` sweeps tenths of a label at 0.5."""
+def semantic_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Whole labels at the production threshold."""
     return cleaning.semantic_dedup(table(spark, d, "embeddings"), "label", "vec_id", "embedding")
 
 

@@ -291,15 +291,15 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _cross_sql(k: int) -> str:
+def _cross_sql(k: int | None) -> str:
     return f"""WITH {ITEMS}, g AS (SELECT *, CASE WHEN content_hash = '' THEN 'own/' || namespace_id || '/' || child_id ELSE content_hash END AS g FROM i),
 m AS (SELECT query_id, g, string_agg(DISTINCT namespace_id || '/' || child_id, ',' ORDER BY namespace_id || '/' || child_id) AS sources, count(*) AS n_sources FROM g GROUP BY ALL),
 b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY query_id, g ORDER BY score DESC, "at") = 1)
 SELECT query_id, namespace_id, child_id, score, "at", sources, CAST(n_sources AS BIGINT) AS n_sources, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, "at") AS INTEGER) AS position
-FROM b JOIN m USING (query_id, g) QUALIFY position <= {k}"""
+FROM b JOIN m USING (query_id, g) {f"QUALIFY position <= {k}" if k else ""}"""
 
 
-@query("cross_ns_dedup", _cross_sql(100000))
+@query("cross_ns_dedup", _cross_sql(None))
 def cross_ns_dedup(spark: SparkSession, d: str) -> DataFrame:
     return fusion.cross_namespace(_items(spark, d), None)
 

@@ -166,7 +166,7 @@ def test_semantic_dedup_of_whole_labels(spark, tmp_path):
         if not any(u @ k >= 0.95 for k in kept.setdefault(str(n), [])):
             kept[str(n)].append(u)
             expected.add((str(n), i))
-    got = registry.queries()["semantic_dedup_label"](spark, str(tmp_path)).collect()
+    got = registry.queries()["semantic_dedup"](spark, str(tmp_path)).collect()
     assert len(got) == len(v) and {(r["scope"], r["o"]) for r in got if r["kept"]} == expected
     assert 700 <= len(expected) <= 1400
 
