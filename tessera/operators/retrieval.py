@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -47,13 +48,17 @@ def _scored(asked: DataFrame, fields: DataFrame, k: int) -> DataFrame:
     words = fields.select("doc_id", "weight", F.size("w").alias("len"), F.explode(F.array_append("w", F.lit(""))).alias("term"))
     hit = words.join(terms, "term", "left_semi").groupBy("doc_id", "term").agg(F.sum("weight").alias("tf"), F.sum(F.when(F.col("term") == "", F.col("len"))).alias("len"))
     hit = materialize(hit, "postings")
-    lengths = hit.filter("term = ''").select("doc_id", "len")
+    return _ranked(asked, hit.filter("term <> ''").select("doc_id", "term", "tf"), hit.filter("term = ''").select("doc_id", "len"), k)
+
+
+def _ranked(asked: DataFrame, hit: DataFrame, lengths: DataFrame, k: int) -> DataFrame:
+    """BM25 from the postings (doc_id, term, tf) of the asked terms and the lengths (doc_id, len) of all documents."""
     n_docs, mean_len = lengths.agg(F.count("*"), F.avg("len")).first()
     df, tf = F.col("df"), F.col("tf")
     idf = F.greatest(F.lit(IDF_FLOOR), F.log((F.lit(n_docs) - df + 0.5) / (df + 0.5)))
-    weights = hit.filter("term <> ''").groupBy("term").agg(F.count("*").alias("df")).select("term", idf.alias("idf"))
+    weights = hit.groupBy("term").agg(F.count("*").alias("df")).select("term", idf.alias("idf"))
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(mean_len)))
-    scored = hit.select("doc_id", "term", "tf").join(weights, "term").join(asked, "term").join(lengths, "doc_id").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    scored = hit.join(weights, "term").join(asked, "term").join(lengths, "doc_id").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     return top(scored, k).select("query_id", "doc_id", "score", "rank")
 
 
@@ -70,6 +75,33 @@ def field_bm25(docs: DataFrame, fields: dict[str, float], queries: DataFrame, k:
     return _scored(query_terms(queries, query_id, query_text), rows, k)
 
 
+@dataclass
+class TextIndex:
+    """Postings (doc_id, term, tf) in order of terms, and lengths (doc_id, len), written once.
+
+    A search reads the row groups that can hold its terms, and what ``among`` it may find is
+    a table of ids: counts and lengths are then of those documents only.
+    """
+
+    postings: DataFrame
+    lengths: DataFrame
+
+    @classmethod
+    def build(cls, docs: DataFrame, doc_id: str = "doc_id", doc_text: str = "text") -> TextIndex:
+        words = materialize(spread(docs.select(doc_id, doc_text)).select(F.col(doc_id).alias("doc_id"), text.tokens(F.col(doc_text)).alias("w")), "index-words")
+        counted = words.select("doc_id", F.explode("w").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+        ordered = counted.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+        return cls(materialize(ordered, "index-postings"), materialize(words.select("doc_id", F.size("w").alias("len")), "index-lengths"))
+
+    def bm25(self, queries: DataFrame, k: int, among: DataFrame | None = None, *, query_id: str = "item_id", query_text: str = "text") -> DataFrame:
+        """query_id, doc_id, score, rank, as ``bm25`` over the documents ``among`` (doc_id), or over all."""
+        asked = query_terms(queries, query_id, query_text)
+        hit, lengths = self.postings.join(asked.select("term").distinct(), "term", "left_semi"), self.lengths
+        if among is not None:
+            hit, lengths = hit.join(among, "doc_id", "left_semi"), lengths.join(among, "doc_id", "left_semi")
+        return _ranked(asked, materialize(hit, "index-hits"), lengths, k)
+
+
 def knn(data: DataFrame, queries: DataFrame, k: int, metric: str = "l2", decimals: int = 6) -> DataFrame:
     """query_id, vec_id, score, rank: exact nearest neighbours; ``data`` and ``queries`` are (vec_id, embedding).
 

@@ -33,7 +33,7 @@ class Engine:
     """Tables of one store: documents, blocks (children), metadata blocks, parents, labels.
 
     Labels are vectors that stand for a block: questions it answers (``block_type`` 16) and
-    its text with context. ``parents`` and ``labels`` may be missing.
+    its text with context. ``parents``, ``labels`` and the full-text ``index`` may be missing.
     """
 
     documents: DataFrame
@@ -43,13 +43,14 @@ class Engine:
     reranker: Reranker | None = None
     parents: DataFrame | None = None
     labels: DataFrame | None = None
+    index: retrieval.TextIndex | None = None
 
     @classmethod
     def ingest(cls, docs: DataFrame, embedder: Embedder | None = None, reranker: Reranker | None = None) -> Engine:
         """Chunk, describe, embed, mark and deduplicate whole documents.
 
-        ``docs``: doc_id, namespace_id, filename, text, and anything else. Chunks and blocks
-        are written once; searches read them. A parent's text is stored once, not with each
+        ``docs``: doc_id, namespace_id, filename, text, and anything else. Chunks, blocks and
+        their postings are written once; searches read them. A parent's text is stored once, not with each
         of its children.
         """
         model = embedder or HashingEmbedder()
@@ -65,7 +66,8 @@ class Engine:
         marked = cleaning.searchable(cleaning.anomalies(materialize(blocks, "blocks"), "block_id", "content", "embedding", id_counts=False))
         described = live.select("doc_id", "namespace_id", "filename", F.lit("text/plain").alias("mime_type"), F.lit(-1).alias("page_count"), *(["lang"] if "lang" in live.columns else []))
         about = metadata.metadata_blocks(described).join(described.select("doc_id", "namespace_id", "filename"), "doc_id")
-        return cls(live, marked, about, model, reranker, chunking.parents(units).select(parent, "parent_text"))
+        index = retrieval.TextIndex.build(marked, "block_id", "content")
+        return cls(live, marked, about, model, reranker, chunking.parents(units).select(parent, "parent_text"), index=index)
 
     def labelled(self, questions: DataFrame | None = None, contexts: DataFrame | None = None) -> Engine:
         """The store with vectors of ``questions`` (child_id, question) and ``contexts`` (child_id, context)."""
@@ -93,7 +95,8 @@ class Engine:
         are labels, and then go by what was hit.
         """
         pool = retrieval.pool_size(options.top_k)
-        lexical = retrieval.bm25(blocks, queries, pool, doc_id="block_id", doc_text="content", query_id="query_id", query_text="text")
+        index = self.index or retrieval.TextIndex.build(blocks, "block_id", "content")
+        lexical = index.bm25(queries, pool, blocks.select(F.col("block_id").alias("doc_id")), query_id="query_id")
         vectors = queries.select(F.col("query_id").alias("vec_id"), embedding(self.embedder)(F.col("text")).alias("embedding"))
         plain = blocks.select(F.col("block_id").alias("vec_id"), "embedding")
         lists = [lexical.select("query_id", F.lit("fts5").alias("route"), F.col("doc_id").alias("id"), "rank")]
@@ -103,7 +106,9 @@ class Engine:
         else:
             lists.append(self._vector_routes(plain, blocks, vectors, pool))
         if options.route == "complex":
-            terms = retrieval.postings(blocks, "block_id", "content", ("namespace_id",)).select(F.col("namespace_id").alias("ns"), "term", F.col("id").alias("child_id"), F.log1p(F.col("tf").cast("double")).alias("weight"))
+            wanted = index.postings.join(retrieval.query_terms(queries, "query_id", "text").select("term").distinct(), "term", "left_semi")
+            named = wanted.join(blocks.select(F.col("block_id").alias("doc_id"), F.col("namespace_id").alias("ns")), "doc_id")
+            terms = named.select("ns", "term", F.col("doc_id").alias("child_id"), F.log1p(F.col("tf").cast("double")).alias("weight"))
             sparse = retrieval.sparse_dot(terms, retrieval.query_terms(queries, "query_id", "text").withColumn("qw", F.lit(1.0)), pool, options.posting_cap)
             lists.append(sparse.select("query_id", F.lit("sparse").alias("route"), F.col("child_id").alias("id"), "rank"))
         rows = lists[0]
@@ -256,10 +261,11 @@ def register_sql(spark: SparkSession, engine: Engine, facts: DataFrame | None =
     spark.udf.register("tessera_embed", embedding(engine.embedder))
     engine.documents.createOrReplaceTempView("tessera_documents")
     engine.blocks.createOrReplaceTempView("tessera_blocks")
-    index = materialize(retrieval.postings(engine.blocks, "block_id", "content", ("namespace_id",)).withColumnRenamed("id", "block_id"), "sql-postings")
-    index.createOrReplaceTempView("tessera_postings")
-    lengths = engine.blocks.select("namespace_id", "block_id", F.size(text.tokens(F.col("content"))).alias("len"))
+    index = engine.index or retrieval.TextIndex.build(engine.blocks, "block_id", "content")
+    lengths = index.lengths.withColumnRenamed("doc_id", "block_id").join(engine.blocks.select("block_id", "namespace_id"), "block_id")
     materialize(lengths, "sql-lengths").createOrReplaceTempView("tessera_lengths")
+    named = index.postings.withColumnRenamed("doc_id", "block_id").join(lengths, "block_id")
+    materialize(named, "sql-postings").createOrReplaceTempView("tessera_postings")
     counts = engine.blocks.groupBy("namespace_id").agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("blocks"))
     counts.createOrReplaceTempView("tessera_status")
     spark.sql(SQL_SEARCH.format(floor=retrieval.IDF_FLOOR, up=retrieval.K1 + 1, k1=retrieval.K1, flat=1 - retrieval.B, b=retrieval.B, rrf=fusion.RRF_K))
