@@ -20,7 +20,8 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
         around = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     else:
         around = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # written first: a join of two plain exchanges lets Spark split a hub's rows
+    least = materialize(around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     hung = around.join(least, "u")
     if small:
         moved = hung.filter(F.col("v") != F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b"))
