@@ -463,3 +463,18 @@ def test_batch_on_duplicate(spark):
         assert got == {(1, outcome, error), (2, "rejected", "empty"), (3, "rejected", "duplicate_id")}
     with pytest.raises(ValueError):
         readers.submit_batch(docs, stored, "merge")
+
+
+def test_content_store(spark, tmp_path):
+    from tessera.sources import blobs
+
+    folder = str(tmp_path / "store")
+    assert blobs.stored(spark, folder).count() == 0 and blobs.get(spark, folder, []).count() == 0
+    df = spark.createDataFrame([(b"one",), (b"two",), (b"one",), (None,), (b"",)], "content binary")
+    for _ in range(2):
+        blobs.put(df, folder)
+    kept = {r["file_hash"]: bytes(r["content"]) for r in blobs.stored(spark, folder).collect()}
+    assert sorted(kept.values()) == [b"", b"one", b"two"] and blobs.stored(spark, folder).count() == 3
+    one = next(h for h, c in kept.items() if c == b"one")
+    assert [bytes(r["content"]) for r in blobs.get(spark, folder, [one]).collect()] == [b"one"]
+    assert blobs.drop(spark, folder, spark.createDataFrame([(one,)], "file_hash string")).count() == 2

@@ -214,3 +214,14 @@ def test_piece_tokenizer():
 
     file = public_tokenizers.path("piece_bpe_32k.model")
     assert models.PieceTokenizer(file).encode("Hello world") == sentencepiece.SentencePieceProcessor(model_file=file).encode("Hello world")
+
+
+def test_text_index_equals_the_direct_route(spark, tiny):
+    """The same answers from written postings, over all documents and among some of them."""
+    docs, asked_ = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{tiny}/benchmark.parquet")
+    index = retrieval.TextIndex.build(docs)
+    assert "MapInArrow" not in index.postings._jdf.queryExecution().optimizedPlan().toString()
+    some = docs.filter("doc_id % 3 = 0")
+    for among, rows in ((None, docs), (some.select("doc_id"), some)):
+        mine, theirs = index.bm25(asked_, 5, among), retrieval.bm25(rows, asked_, 5)
+        assert {tuple(r) for r in mine.collect()} == {tuple(r) for r in theirs.collect()} and mine.count() > 0
