@@ -65,7 +65,7 @@ class CellIndex:
     def _block(self, asked: DataFrame, k: int) -> DataFrame:
         collected = asked.toPandas()  # at most BROADCAST_BYTES of vectors
         ids = collected["query_id"].to_numpy(np.int64)
-        q = np.array(collected["q"].tolist(), np.float64).reshape(len(ids), -1)
+        q = np.array(collected["q"].tolist(), np.float64).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
         probed = np.zeros((len(ids), len(self.centres)), bool)
         for i, cells in enumerate(collected["cells"]):
             probed[i, list(cells)] = True

@@ -133,7 +133,7 @@ def query_blocks(rows: DataFrame) -> list[DataFrame]:
 def _knn_block(data: DataFrame, queries: DataFrame, k: int, metric: str, decimals: int) -> DataFrame:
     collected = queries.toPandas()  # at most BROADCAST_BYTES
     ids = collected["query_id"].to_numpy(np.int64)
-    asked = np.array(collected["q"].tolist(), np.float64).reshape(len(ids), -1)
+    asked = np.array(collected["q"].tolist(), np.float64).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
     shared = data.sparkSession.sparkContext.broadcast((ids, asked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
