@@ -38,7 +38,7 @@ PERMUTATIONS, ROWS = 64, 4
 LIKELY = 0.55
 #: Members of a bucket that one task compares with as many others, and the bytes of their texts.
 BLOCK, BLOCK_BYTES = 256, 8 << 20
-CACHED_WORDS = 300_000
+CACHED_WORDS = 120_000
 CHUNK = 2048
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)

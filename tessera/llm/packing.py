@@ -31,7 +31,7 @@ WINDOW = 2048
 #: Sequences that one packing task fills; more tokens mean more tasks.
 TASK_SEQUENCES = 8192
 #: Words whose ids a worker keeps; at this count it forgets them all and starts anew.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 120_000
 SEPARATOR = b"\0\0\0\0"
 #: The added token of ``byte_bpe_50k.json``, which is matched inside texts before anything else.
 SPECIAL = ("<|endoftext|>", 50256)
