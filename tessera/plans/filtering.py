@@ -282,7 +282,7 @@ def batch_validation(spark: SparkSession, d: str) -> DataFrame:
 @query("ocr_fallback", "SELECT o_custkey AS doc_id, NOT bool_or(o_orderpriority = '5-LOW') AND (avg(CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0 END) > 0.5 OR avg(o_orderkey % 10 / 10.0::DOUBLE) < 0.5) AS fallback FROM orders GROUP BY 1")
 def ocr_fallback(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "orders").select(
-        F.col("o_custkey").alias("doc_id"), F.lit(1).alias("page"), (F.col("o_orderstatus") != "F").alias("ok"), (F.col("o_orderkey") % 10 / 10).alias("confidence"), F.when(F.col("o_orderpriority") == "5-LOW", "corrupt").alias("error")
+        F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("page"), (F.col("o_orderstatus") != "F").alias("ok"), (F.col("o_orderkey") % 10 / 10).alias("confidence"), F.when(F.col("o_orderpriority") == "5-LOW", "corrupt").alias("error")
     )
     return readers.needs_fallback(pages)
 

@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.ordering import numbered
@@ -132,11 +132,17 @@ def parse_files(files: DataFrame) -> DataFrame:
 
 
 def needs_fallback(pages: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Per document: parse again by OCR? No page, over half failed, or unsure; never if locked or corrupt."""
+    """Per document: parse again by OCR? No page, over half failed, or unsure; never if locked or corrupt.
+
+    Confidences are added in page order, by a running sum that spills, so a mean at the
+    threshold falls on the same side however the rows are dealt.
+    """
+    so_far = Window.partitionBy("doc_id").orderBy("page", "confidence").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    added = F.struct(F.count(F.lit(1)).over(so_far).alias("n"), F.sum(F.col("confidence").cast("double")).over(so_far).alias("total"))
     locked = F.max(F.when(F.col("error").isin("password", "corrupt"), 1).otherwise(0)) == 1
     failed = F.avg(F.when(F.col("ok"), 0.0).otherwise(1.0))
-    sure = F.coalesce(F.avg("confidence"), F.lit(0.0))
-    return pages.groupBy("doc_id").agg(((~locked) & ((F.count("page") == 0) | (failed > 0.5) | (sure < threshold))).alias("fallback"))
+    sure = F.coalesce(F.max("added")["total"] / F.nullif(F.count("confidence"), F.lit(0)), F.lit(0.0))
+    return pages.withColumn("added", added).groupBy("doc_id").agg(((~locked) & ((F.count("page") == 0) | (failed > 0.5) | (sure < threshold))).alias("fallback"))
 
 
 def rows_to_text(rows: DataFrame, columns: list[str], id_col: str, merge: int = 1) -> DataFrame:

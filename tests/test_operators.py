@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -478,3 +481,20 @@ def test_content_store(spark, tmp_path):
     one = next(h for h, c in kept.items() if c == b"one")
     assert [bytes(r["content"]) for r in blobs.get(spark, folder, [one]).collect()] == [b"one"]
     assert blobs.drop(spark, folder, spark.createDataFrame([(one,)], "file_hash string")).count() == 2
+
+
+def test_fallback_adds_in_page_order(spark):
+    rng = np.random.default_rng(3)
+    tenths = [t for t in rng.integers(0, 10, (20_000, 10)).tolist() if sum(t) == 50][:300]
+    rows = [(doc, page, t / 10) for doc, values in enumerate(tenths) for page, t in enumerate(values)]
+    want = {doc: reduce(operator.add, (t / 10 for t in values)) / 10 < 0.5 for doc, values in enumerate(tenths)}
+    assert len(set(want.values())) == 2
+    pages = spark.createDataFrame(rows, "doc_id long, page long, confidence double").select("*", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
+    for dealt in (pages.coalesce(1).orderBy(F.desc("page")), pages.repartition(7, "confidence")):
+        assert {r["doc_id"]: r["fallback"] for r in readers.needs_fallback(dealt).collect()} == want
+
+
+def test_fallback_of_odd_pages(spark):
+    rows = [(1, None, None, None, None), (2, 1, True, None, None), (3, 1, True, 0.9, "corrupt"), (3, 2, False, 0.1, None), (4, 1, False, 0.9, None), (None, 1, True, 0.9, None)]
+    got = readers.needs_fallback(spark.createDataFrame(rows, "doc_id long, page long, ok boolean, confidence double, error string"))
+    assert {r["doc_id"]: r["fallback"] for r in got.collect()} == {1: True, 2: True, 3: False, 4: True, None: False}
