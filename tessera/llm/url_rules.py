@@ -1,12 +1,12 @@
 """URL filters: fixed host/path rules first, then association rules mined by FP-growth.
 
 A labelled URL is a transaction of its tokens. FP-growth runs over the blocked URLs (the
-label's projection) and finds token sets that enough of them have. A URL has a fixed number
-of base tokens; its other tokens are taken a few at a time, in as many transactions as it
-needs, so that no transaction is long and a deep URL costs in proportion to its depth. Every
-set found is then counted over all labelled URLs, and those that pass support and confidence
-are the rules. An inverted index from each rule's rarest token finds which rules can have all
-their tokens in a URL. DataFrame functions and Spark's own FP-growth only.
+label's projection) and finds the token sets that enough of them have, whatever tokens stand
+between: each frequent token heads a transaction of its URL's more frequent tokens, less those
+that every URL of the head has, so a URL of many words that always come together costs little.
+Every set found is then counted over all labelled URLs, and those that pass support and
+confidence are the rules. An inverted index from each rule's rarest token finds which rules
+can have all their tokens in a URL. DataFrame functions and Spark's own FP-growth only.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A rule needs this share of the labelled URLs, and so many of them, and this confidence.
 MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE = 0.005, 25, 0.8
-#: Tokens beside the base ones that a rule can join: neighbours in host, path and query.
+#: The tests take their reference sets from so many neighbours; rules join any tokens of a URL.
 TOGETHER = 5
 
 
@@ -70,21 +70,48 @@ def tokens(url: Column) -> Column:
 RULE_SCHEMA = "antecedent array<string>, confidence double, support double, lift double, token string"
 
 
-def frequent_sets(blocked: DataFrame, least: int) -> DataFrame:
-    """antecedent (sorted): token sets that ``least`` of the URLs have. ``blocked`` (base, rest).
+def frequent_sets(words: DataFrame, least: int) -> DataFrame:
+    """antecedent (sorted): token sets that ``least`` blocked URLs have. ``words`` (row, tokens, n, n_blocked).
 
-    Tokens carry the number of their transaction within the URL, so sets of different
-    numbers don't mix and each URL counts once for each. Sets of base tokens alone are found
-    in the first transactions, where every URL is.
+    Left out are sets with two tokens of which the set's rarest is never without the other:
+    the set less that other has the same URLs, so no rule needs it. A set is found in the
+    transactions of its rarest token, its head; items carry the head, so sets of different
+    heads don't mix and each URL counts once for each.
     """
-    turns = F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.size("rest") / F.lit(float(TOGETHER)))).cast("int") - 1)
-    cut = blocked.select("base", "rest", F.explode(turns).alias("turn"))
-    mark = F.concat(F.col("turn").cast("string"), F.lit(" "))
-    some = F.concat("base", F.slice("rest", F.col("turn") * TOGETHER + 1, F.lit(TOGETHER)))
-    baskets = materialize(cut.select(F.transform(some, lambda t: F.concat(mark, t)).alias("items")), "url-baskets")
-    n = max(1, baskets.count())
+    summed = (F.sum("n").alias("n"), F.sum("n_blocked").alias("n_blocked"))
+    often = words.select(F.explode("tokens").alias("token"), "n", "n_blocked").groupBy("token").agg(*summed).filter(F.col("n_blocked") >= least)
+    often = materialize(often.select("token", F.col("n").alias("times")), "url-often")
+    held = words.filter("n_blocked > 0").select("row", "n_blocked", F.explode("tokens").alias("token"))
+    rows = materialize(_by_times(held.join(often, "token"), "row", "n_blocked"), "url-frequent")
+    pairs = _pairs(rows).groupBy("head", "token").agg(F.sum("n_blocked").alias("n_blocked")).filter(F.col("n_blocked") >= least)
+    pairs = materialize(pairs.select("head", "token"), "url-pairs")
+    # how often a frequent pair is in any labelled URL tells whether its head has the other always
+    all_rows = words.select("row", "n", F.explode("tokens").alias("token"))
+    both = _pairs(_by_times(all_rows.join(often, "token"), "row", "n")).join(pairs, ["head", "token"]).groupBy("head", "token").agg(F.sum("n").alias("n"))
+    both = both.join(often.select(F.col("token").alias("head"), "times"), "head").filter(F.col("n") < F.col("times"))
+    both = materialize(both.select("head", "token"), "url-free-pairs")
+    item = F.concat(F.hex(F.encode("head", "utf-8")), F.lit(" "), F.col("token"))
+    baskets = _pairs(rows).join(both, ["head", "token"]).groupBy("row", "head", "n_blocked").agg(F.collect_list(item).alias("items"))
+    baskets = materialize(baskets.select("items", F.explode(F.sequence(F.lit(1).cast("long"), "n_blocked"))).select("items"), "url-baskets")
+    alone = often.select(F.array("token").alias("antecedent"))
+    n = baskets.count()
+    if n < least:
+        return alone
     sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / n)).fit(baskets).freqItemsets
-    return sets.select(F.array_sort(F.transform("items", lambda t: F.regexp_replace(t, r"^\d+ ", ""))).alias("antecedent")).distinct()
+    head = F.decode(F.unhex(F.substring_index(F.col("items")[0], " ", 1)), "utf-8")
+    tokens_ = F.transform("items", lambda t: F.regexp_replace(t, r"^[0-9A-F]* ", ""))
+    return alone.unionByName(sets.select(F.array_sort(F.array_append(tokens_, head)).alias("antecedent")))
+
+
+def _by_times(held: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` and held, the tokens of a row (token, times) from rare to frequent."""
+    return held.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("times", "token")))["token"].alias("held"))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Every two tokens (head, token) of ``held``, the rarer one first, beside the other columns."""
+    heads = rows.select("*", F.posexplode("held").alias("at", "head"))
+    return heads.withColumn("token", F.explode(F.slice("held", F.col("at") + 2, F.size("held")))).drop("held", "at")
 
 
 def indexed(sets: DataFrame, words: DataFrame) -> DataFrame:
@@ -117,8 +144,8 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     if n_blocked < least:
         return labelled.sparkSession.createDataFrame([], RULE_SCHEMA)
     words = known.groupBy(F.concat("base", "rest").alias("tokens")).agg(F.count("*").alias("n"), F.count(F.when(F.col("blocked"), 1)).alias("n_blocked"))
-    words = materialize(words, "url-words")
-    sets = materialize(indexed(frequent_sets(known.filter("blocked"), least), words), "url-sets")
+    words = materialize(words.withColumn("row", F.monotonically_increasing_id()), "url-words")
+    sets = materialize(indexed(frequent_sets(words, least), words), "url-sets")
     counted = fitting(words, sets).groupBy("antecedent", "token").agg(F.sum("n").alias("n"), F.sum("n_blocked").alias("n_blocked"))
     confidence = F.col("n_blocked") / F.col("n")
     sure = counted.filter((F.col("n_blocked") >= least) & (confidence >= min_confidence))

@@ -191,6 +191,17 @@ def test_a_hot_deep_url(spark):
     assert all(len(r["antecedent"]) == 1 for r in rules.collect())
 
 
+def test_rules_join_tokens_far_apart(spark):
+    """The first and the last of nine words block together, neither alone."""
+    rows = []
+    for i in range(400):
+        first, last = i % 2, i // 2 % 2
+        middle = "/".join(f"m{k}" for k in range(7))
+        rows.append((f"http://far.example/{'a' if first else 'b'}/{middle}/{'y' if last else 'z'}", bool(first and last)))
+    rules = url_rules.mine(spark.createDataFrame(rows, "url string, blocked boolean")).collect()
+    assert {(tuple(r["antecedent"]), r["confidence"]) for r in rules} == {(("dir:a", "dir:y"), 1.0)}
+
+
 # --- search -----------------------------------------------------------------------------
 
 
