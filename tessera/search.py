@@ -1,7 +1,7 @@
 """The engine's front: ingest documents, then answer batches of queries over namespaces.
 
-A query batch is a DataFrame (query_id, text). All routes are branches of one lazy plan over
-tables partitioned by namespace; nothing runs before the caller's action.
+A query batch is a DataFrame (query_id, text). All routes are branches of one plan over
+tables partitioned by namespace; their hits, and what these merge to, are written once.
 """
 
 from __future__ import annotations
@@ -151,7 +151,8 @@ class Engine:
         if options.filter:
             blocks = filters.filtered(blocks, options.filter)
         asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "text")
-        hits = self.chunk_hits(asked, blocks, options)
+        # written first, as is what they merge to: of so few rows Spark knows the size, and shuffles no block's text for them
+        hits = materialize(self.chunk_hits(asked, blocks, options), "search-hits")
         found = hits.join(blocks, "block_id").withColumn("content_hash", text.content_hash(F.col("content")))
         if options.granularity in ("auto", "hybrid", "doc"):
             found = self._by_document(asked, found, names, options)
@@ -160,7 +161,7 @@ class Engine:
             scored = capped.join(asked, "query_id").withColumn("rerank", rerank_score(self.reranker)(F.col("text"), F.col("content")))
             capped = scored.withColumn("score", scoring.blend(F.col("rerank"), F.col("score")))
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "child_id")
-        merged = fusion.cross_namespace(capped.withColumn("at", F.row_number().over(order)), options.top_k)
+        merged = materialize(fusion.cross_namespace(capped.withColumn("at", F.row_number().over(order)), options.top_k), "search-merged")
         details = blocks.select("namespace_id", "child_id", "doc_id", "content", "parent_id")
         parents = self.parents if self.parents is not None else blocks.sparkSession.createDataFrame([], "parent_id string, parent_text string")
         return merged.join(details, ["namespace_id", "child_id"]).transform(retrieval.with_parents, parents).withColumn("parent_text", F.coalesce("parent_text", F.lit(""))).select("query_id", "position", "namespace_id", "child_id", "doc_id", "score", "content", "parent_text", "sources")

@@ -38,6 +38,13 @@ def test_search_merges_namespaces(spark, engine):
     assert first["parent_text"] == first["content"]
 
 
+@pytest.mark.parametrize("granularity", ["chunk", "hybrid"])
+def test_hits_are_written_before_blocks_are_joined(spark, engine, granularity):
+    found = engine.search(asked(spark, "install the pump"), options=search.Options(granularity=granularity))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() > 0 and "MapInArrow" not in plan and "Window" not in plan and "Join" in plan
+
+
 @pytest.mark.parametrize("granularity", ["chunk", "doc", "hybrid"])
 @pytest.mark.parametrize("route", ["simple", "complex"])
 def test_granularity_and_route(spark, engine, granularity, route):
