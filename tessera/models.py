@@ -9,6 +9,7 @@ import hashlib
 import json
 import re
 from collections.abc import Callable
+from functools import lru_cache
 from typing import Any, Protocol
 
 import numpy as np
@@ -27,6 +28,11 @@ class Reranker(Protocol):
     def score(self, query: str, passages: list[str]) -> list[float]: ...
 
 
+@lru_cache(maxsize=1 << 16)
+def _word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+
+
 class HashingEmbedder:
     """Signed feature hashing of words, unit length."""
 
@@ -36,9 +42,9 @@ class HashingEmbedder:
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), np.float32)
         for row, t in zip(out, texts, strict=True):
-            for w in re.findall(r"\w+", (t or "").lower()):
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                row[h % self.dim] += 1 if h >> 63 else -1
+            words = re.findall(r"\w+", (t or "").lower())
+            h = np.fromiter(map(_word_hash, words), np.uint64, len(words))
+            row += np.bincount((h % np.uint64(self.dim)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0), self.dim)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 

@@ -206,11 +206,12 @@ def chunk_recursive(docs: DataFrame, most: int = CHUNK, overlap: int = OVERLAP)
 UNITS = "doc_id long, parent_id string, parent_text string, parent_tokens int, page_start int, page_end int, chunk_index int, child_text string, child_tokens int, parent_offset int"
 
 
-def chunk_units(docs: DataFrame, unit: str = "paragraph", parent: int = PARENT, child: int = CHILD, overlap: int = CHILD_OVERLAP, flat_above: int = FLAT_ABOVE) -> DataFrame:
+def chunk_units(docs: DataFrame, unit: str = "paragraph", parent: int = PARENT, child: int = CHILD, overlap: int = CHILD_OVERLAP, flat_above: int = FLAT_ABOVE, also: tuple[str, ...] = ()) -> DataFrame:
     """Children of every document, and before the first of each parent a row of the parent's own.
 
     A parent's row has its text and no child; children carry no parent text. Pages are parted
     by form feeds. ``parents`` and ``children`` take the two apart: write this table first.
+    With columns ``also``, which every row repeats, there are rows of children only.
     """
 
     def units(text: str) -> list[tuple[int, str]]:
@@ -224,7 +225,7 @@ def chunk_units(docs: DataFrame, unit: str = "paragraph", parent: int = PARENT,
         last = ""
         for r in parents_and_children(units(text), parent, child, overlap, flat_above):
             place = (r["page_start"], r["page_end"])
-            if r["parent_id"] and r["parent_id"] != last:
+            if not also and r["parent_id"] and r["parent_id"] != last:
                 last = r["parent_id"]
                 yield doc, last, r["parent_text"], r["parent_tokens"], *place, None, None, None, None
             yield doc, r["parent_id"], None, r["parent_tokens"], *place, r["chunk_index"], r["child_text"], r["child_tokens"], r["parent_offset"]
@@ -232,9 +233,13 @@ def chunk_units(docs: DataFrame, unit: str = "paragraph", parent: int = PARENT,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = (batch.column(i).to_pylist() for i in (0, 1))
-            yield _batch([r for d, t in zip(ids, texts, strict=True) for r in rows(d, t or "")], UNITS)
+            found = [list(rows(d, t or "")) for d, t in zip(ids, texts, strict=True)]
+            out = _batch([r for rs in found for r in rs], UNITS)
+            owner = pa.array([i for i, rs in enumerate(found) for _ in rs], pa.int64())
+            yield pa.RecordBatch.from_arrays([*out.columns, *(batch.column(c).take(owner) for c in also)], names=[*out.schema.names, *also])
 
-    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, UNITS)
+    schema = ", ".join([UNITS, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in also)])
+    return spread(docs.select(F.col("doc_id").cast("long"), "text", *also)).mapInArrow(run, schema)
 
 
 def parents(units: DataFrame) -> DataFrame:

@@ -47,11 +47,11 @@ def metadata_json(docs: DataFrame) -> Column:
     return F.to_json(F.struct(*(known.get(c, F.lit(None).cast("string")).alias(c) for c in FIELDS)), {"ignoreNullFields": "false"})
 
 
-def metadata_blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, block_text, metadata_json, doc_title, topics, missing (fields that were expected)."""
+def metadata_blocks(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``also``, block_text, metadata_json, doc_title, topics, missing (fields that were expected)."""
     missing = F.array_compact(F.array(F.when(F.col("page_count") < 0, "page_count"))) if "page_count" in docs.columns else F.array(F.lit("page_count"))
     topics = F.array_join("tags", " ") if "tags" in docs.columns else F.lit("")
-    return docs.select("doc_id", block_text(docs).alias("block_text"), metadata_json(docs).alias("metadata_json"), text.title_of(F.col("filename")).alias("doc_title"), topics.alias("topics"), missing.alias("missing"))
+    return docs.select("doc_id", *also, block_text(docs).alias("block_text"), metadata_json(docs).alias("metadata_json"), text.title_of(F.col("filename")).alias("doc_title"), topics.alias("topics"), missing.alias("missing"))
 
 
 MOST_DEPTH = 16

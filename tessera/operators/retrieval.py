@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from tessera.runtime import materialize, spread
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 #: Rows of one data block scored at a time against all query vectors of the task.
 KNN_BLOCK = 4096
+#: Scores of documents by queries that stand in a task's memory at once.
+SCORES = 1 << 20
 #: Bytes of query vectors that may go to every task; beyond it they are dealt into blocks.
 BROADCAST_BYTES = 64 << 20
 
@@ -77,29 +80,117 @@ def field_bm25(docs: DataFrame, fields: dict[str, float], queries: DataFrame, k:
 
 @dataclass
 class TextIndex:
-    """Postings (doc_id, term, tf) in order of terms, and lengths (doc_id, len), written once.
+    """Every document's distinct terms with their counts: (doc_id, len, terms, tfs), written once.
 
-    A search reads the row groups that can hold its terms, and what ``among`` it may find is
-    a table of ids: counts and lengths are then of those documents only.
+    What a search needs of a document stands in one row, so nothing of it is shuffled: a task
+    scores its rows for all queries and hands on the best k of each. What it may find can be
+    bounded by a table of ids: counts and lengths are then of those documents only.
     """
 
-    postings: DataFrame
-    lengths: DataFrame
+    rows: DataFrame
+
+    @property
+    def postings(self) -> DataFrame:
+        """doc_id, term, tf."""
+        return self.rows.select("doc_id", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("doc_id", F.col("p.terms").alias("term"), F.col("p.tfs").cast("long").alias("tf"))
+
+    @property
+    def lengths(self) -> DataFrame:
+        """doc_id, len (words, repeated ones too)."""
+        return self.rows.select("doc_id", "len")
 
     @classmethod
     def build(cls, docs: DataFrame, doc_id: str = "doc_id", doc_text: str = "text") -> TextIndex:
-        words = materialize(spread(docs.select(doc_id, doc_text)).select(F.col(doc_id).alias("doc_id"), text.tokens(F.col(doc_text)).alias("w")), "index-words")
-        counted = words.select("doc_id", F.explode("w").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-        ordered = counted.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-        return cls(materialize(ordered, "index-postings"), materialize(words.select("doc_id", F.size("w").alias("len")), "index-lengths"))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = batch.column(1)
+                lengths = np.diff(lists.offsets.to_numpy())
+                words = lists.flatten().dictionary_encode()
+                kinds = max(1, len(words.dictionary))
+                pairs, times = np.unique(np.repeat(np.arange(len(lengths)), lengths) * kinds + words.indices.to_numpy(), return_counts=True)
+                ends = pa.array(np.searchsorted(pairs, np.arange(len(lengths) + 1) * kinds), pa.int32())
+                terms = pa.ListArray.from_arrays(ends, words.dictionary.take(pa.array(pairs % kinds)))
+                tfs = pa.ListArray.from_arrays(ends, pa.array(times, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int32()), terms, tfs], names=["doc_id", "len", "terms", "tfs"])
+
+        words = spread(docs.select(doc_id, doc_text)).select(F.col(doc_id).alias("doc_id"), text.tokens(F.col(doc_text)).alias("w"))
+        schema = f"doc_id {words.schema['doc_id'].dataType.simpleString()}, len int, terms array<string>, tfs array<int>"
+        return cls(materialize(words.mapInArrow(run, schema), "index"))
 
     def bm25(self, queries: DataFrame, k: int, among: DataFrame | None = None, *, query_id: str = "item_id", query_text: str = "text") -> DataFrame:
         """query_id, doc_id, score, rank, as ``bm25`` over the documents ``among`` (doc_id), or over all."""
+        index = self.among(among)
         asked = query_terms(queries, query_id, query_text)
-        hit, lengths = self.postings.join(asked.select("term").distinct(), "term", "left_semi"), self.lengths
-        if among is not None:
-            hit, lengths = hit.join(among, "doc_id", "left_semi"), lengths.join(among, "doc_id", "left_semi")
-        return _ranked(asked, materialize(hit, "index-hits"), lengths, k)
+        n_docs, mean_len = index.lengths.agg(F.count("*"), F.avg("len")).first()
+        wanted = index.postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+        idf = F.greatest(F.lit(IDF_FLOOR), F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+        weights = materialize(wanted.select("term", idf.alias("weight")), "index-idf")
+
+        def part(weight: np.ndarray, tf: np.ndarray, size: np.ndarray) -> np.ndarray:
+            return weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean_len))
+
+        return index._best(asked.join(weights, "term"), k, part)
+
+    def sparse(self, queries: DataFrame, k: int, among: DataFrame | None = None, *, query_id: str = "query_id", query_text: str = "text") -> DataFrame:
+        """query_id, doc_id, score, rank, as ``sparse_dot`` without a cap: ln(1 + tf) of a query's terms."""
+        asked = query_terms(queries, query_id, query_text).withColumn("weight", F.lit(1.0))
+        return self.among(among)._best(asked, k, lambda weight, tf, size: weight * np.log1p(tf))
+
+    def among(self, ids: DataFrame | None) -> TextIndex:
+        return self if ids is None else TextIndex(materialize(self.rows.join(ids.select("doc_id"), "doc_id", "left_semi"), "index-among"))
+
+    def _best(self, asked: DataFrame, k: int, part: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+        """The k best sums of ``part(weight, tf, len)``, all positive, of each query; ``asked``: (query_id, term, weight).
+
+        As in ``knn``, queries of bounded size go to every task, and more are dealt into blocks.
+        """
+        if k <= 0:
+            return top(asked.select("query_id", F.lit(0.0).alias("score")).crossJoin(self.lengths.select("doc_id").limit(0)), 0).select("query_id", "doc_id", "score", "rank")
+        bound = asked.agg(F.sum(F.octet_length("term") + 64).alias("n")).first()["n"] or 0
+        blocks = max(1, -(-bound // BROADCAST_BYTES))
+        parts = [self._best_block(asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else asked, k, part) for i in range(blocks)]
+        found = parts[0]
+        for p in parts[1:]:
+            found = found.unionByName(p)
+        return top(found, k).select("query_id", "doc_id", "score", "rank")
+
+    def _best_block(self, asked: DataFrame, k: int, part: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+        collected = asked.toArrow()  # at most BROADCAST_BYTES
+        terms, ids = (collected[c].combine_chunks().dictionary_encode("encode") for c in ("term", "query_id"))
+        at = terms.indices.to_numpy()
+        weights = np.zeros(len(terms.dictionary))
+        weights[at] = collected["weight"].to_numpy()
+        order = np.argsort(at, kind="stable")  # a term's queries stand together
+        first = np.searchsorted(at[order], np.arange(len(weights) + 1))
+        shared = self.rows.sparkSession.sparkContext.broadcast((terms.dictionary, weights, first, ids.indices.to_numpy()[order].astype(np.int64), ids.dictionary))
+        kinds = [(n, f.schema[n].dataType.simpleString()) for f, n in ((asked, "query_id"), (self.rows, "doc_id"))]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vocabulary, weights, first, column, ids = shared.value
+            floor = np.zeros(len(ids))  # the k-th best so far
+            step = max(1, SCORES // max(1, len(ids)))
+            for batch in batches:
+                for start in range(0, batch.num_rows if len(ids) else 0, step):
+                    rows = batch.slice(start, step)
+                    n, sizes = rows.num_rows, np.diff(rows.column("terms").offsets.to_numpy())
+                    which = pc.fill_null(pc.index_in(rows.column("terms").flatten(), vocabulary), -1).to_numpy()
+                    hit = np.flatnonzero(which >= 0)
+                    owner, which = np.repeat(np.arange(n), sizes)[hit], which[hit]
+                    tf = rows.column("tfs").flatten().to_numpy()[hit].astype(np.float64)
+                    value = part(weights[which], tf, rows.column("len").to_numpy()[owner].astype(np.float64))
+                    times = first[which + 1] - first[which]
+                    # each posting as often as queries ask for it, and which of them does
+                    place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first[which], times)
+                    cell = column[place] * n + np.repeat(owner, times)
+                    score = np.round(np.bincount(cell, np.repeat(value, times), len(ids) * n).astype(np.float64).reshape(len(ids), n), 6)
+                    some = np.bincount(cell, minlength=len(ids) * n).reshape(len(ids), n) > 0
+                    score[~some] = -1.0
+                    if n >= k:
+                        floor = np.maximum(floor, -np.partition(-score, k - 1, axis=1)[:, k - 1])
+                    i, j = np.nonzero(score >= floor[:, None])  # ties at the limit all go on
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), rows.column("doc_id").take(pa.array(j)), pa.array(score[i, j])], names=["query_id", "doc_id", "score"])
+
+        return self.rows.mapInArrow(run, ", ".join(f"{n} {kind}" for n, kind in [*kinds, ("score", "double")]))
 
 
 def knn(data: DataFrame, queries: DataFrame, k: int, metric: str = "l2", decimals: int = 6) -> DataFrame:

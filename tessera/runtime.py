@@ -83,7 +83,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def size_in_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the optimised plan, used before a broadcast is chosen."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def local_session(app: str = "tessera", cpus: int = 8, **conf: str) -> SparkSession:

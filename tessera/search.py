@@ -6,6 +6,7 @@ tables partitioned by namespace; their hits, and what these merge to, are writte
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scoring, text
 from tessera.models import Embedder, HashingEmbedder, Reranker, embedding, rerank_score
 from tessera.operators import chunking, cleaning, filters, fusion, metadata, retrieval
-from tessera.runtime import materialize
+from tessera.runtime import materialize, size_in_bytes
 
 
 @dataclass
@@ -33,7 +34,8 @@ class Engine:
     """Tables of one store: documents, blocks (children), metadata blocks, parents, labels.
 
     Labels are vectors that stand for a block: questions it answers (``block_type`` 16) and
-    its text with context. ``parents``, ``labels`` and the full-text ``index`` may be missing.
+    its text with context. ``parents``, ``labels`` and the full-text ``index`` may be missing;
+    parents are a table (parent_id, parent_text) or what makes it of hits (doc_id, parent_id).
     """
 
     documents: DataFrame
@@ -41,7 +43,7 @@ class Engine:
     metadata: DataFrame
     embedder: Embedder = field(default_factory=HashingEmbedder)
     reranker: Reranker | None = None
-    parents: DataFrame | None = None
+    parents: Callable[[DataFrame], DataFrame] | DataFrame | None = None
     labels: DataFrame | None = None
     index: retrieval.TextIndex | None = None
 
@@ -49,14 +51,13 @@ class Engine:
     def ingest(cls, docs: DataFrame, embedder: Embedder | None = None, reranker: Reranker | None = None) -> Engine:
         """Chunk, describe, embed, mark and deduplicate whole documents.
 
-        ``docs``: doc_id, namespace_id, filename, text, and anything else. Chunks, blocks and
-        their postings are written once; searches read them. A parent's text is stored once, not with each
-        of its children.
+        ``docs``: doc_id, namespace_id, filename, text, and anything else. Blocks and their
+        terms are written once; searches read them. Parents are not stored: a search chunks
+        the documents of its answers again.
         """
         model = embedder or HashingEmbedder()
         live = docs.filter(F.coalesce(F.col("status"), F.lit("")) != "deleted") if "status" in docs.columns else docs
-        units = materialize(chunking.chunk_units(live.select("doc_id", "text")), "units")
-        named = chunking.children(units).join(live.select("doc_id", "namespace_id", "filename"), "doc_id")
+        named = chunking.chunk_units(live.filter(F.col("doc_id").isNotNull()), also=("namespace_id", "filename"))
         ids = F.concat_ws("/", "namespace_id", "doc_id", "chunk_index")
         parent = F.concat_ws("/", "doc_id", F.when(F.col("parent_id") != "", F.col("parent_id"))).alias("parent_id")
         blocks = named.select(
@@ -65,9 +66,14 @@ class Engine:
         )
         marked = cleaning.searchable(cleaning.anomalies(materialize(blocks, "blocks"), "block_id", "content", "embedding", id_counts=False))
         described = live.select("doc_id", "namespace_id", "filename", F.lit("text/plain").alias("mime_type"), F.lit(-1).alias("page_count"), *(["lang"] if "lang" in live.columns else []))
-        about = metadata.metadata_blocks(described).join(described.select("doc_id", "namespace_id", "filename"), "doc_id")
+        about = metadata.metadata_blocks(described, ("namespace_id", "filename"))
         index = retrieval.TextIndex.build(marked, "block_id", "content")
-        return cls(live, marked, about, model, reranker, chunking.parents(units).select(parent, "parent_text"), index=index)
+
+        def parents(hits: DataFrame) -> DataFrame:
+            texts = live.select("doc_id", "text").join(_small(hits.select("doc_id").distinct()), "doc_id", "left_semi")
+            return chunking.parents(chunking.chunk_units(texts)).select(parent, "parent_text").join(_small(hits.select("parent_id").distinct()), "parent_id", "left_semi")
+
+        return cls(live, marked, about, model, reranker, parents, index=index)
 
     def labelled(self, questions: DataFrame | None = None, contexts: DataFrame | None = None) -> Engine:
         """The store with vectors of ``questions`` (child_id, question) and ``contexts`` (child_id, context)."""
@@ -96,7 +102,9 @@ class Engine:
         """
         pool = retrieval.pool_size(options.top_k)
         index = self.index or retrieval.TextIndex.build(blocks, "block_id", "content")
-        lexical = index.bm25(queries, pool, blocks.select(F.col("block_id").alias("doc_id")), query_id="query_id")
+        if self.index is not None and blocks is not self.blocks:
+            index = index.among(blocks.select(F.col("block_id").alias("doc_id")))
+        lexical = index.bm25(queries, pool, query_id="query_id")
         vectors = queries.select(F.col("query_id").alias("vec_id"), embedding(self.embedder)(F.col("text")).alias("embedding"))
         plain = blocks.select(F.col("block_id").alias("vec_id"), "embedding")
         lists = [lexical.select("query_id", F.lit("fts5").alias("route"), F.col("doc_id").alias("id"), "rank")]
@@ -105,7 +113,10 @@ class Engine:
             lists.append(dense.select("query_id", F.lit("dense").alias("route"), F.col("vec_id").alias("id"), "rank"))
         else:
             lists.append(self._vector_routes(plain, blocks, vectors, pool))
-        if options.route == "complex":
+        if options.route == "complex" and options.posting_cap is None:
+            sparse = index.sparse(queries, pool)
+            lists.append(sparse.select("query_id", F.lit("sparse").alias("route"), F.col("doc_id").alias("id"), "rank"))
+        elif options.route == "complex":
             wanted = index.postings.join(retrieval.query_terms(queries, "query_id", "text").select("term").distinct(), "term", "left_semi")
             named = wanted.join(blocks.select(F.col("block_id").alias("doc_id"), F.col("namespace_id").alias("ns")), "doc_id")
             terms = named.select("ns", "term", F.col("doc_id").alias("child_id"), F.log1p(F.col("tf").cast("double")).alias("weight"))
@@ -147,13 +158,15 @@ class Engine:
         names = fusion.authorised(namespaces or ["*"], readable if readable is not None else self.namespaces())
         for n in names:
             filters.check_request("", [n], options.top_k)
-        blocks = self.blocks.filter(F.col("namespace_id").isin(*names))
+        whole = readable is None and (namespaces or ["*"]) == ["*"]
+        blocks = self.blocks if whole else self.blocks.filter(F.col("namespace_id").isin(*names))
         if options.filter:
             blocks = filters.filtered(blocks, options.filter)
         asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "text")
-        # written first, as is what they merge to: of so few rows Spark knows the size, and shuffles no block's text for them
+        # written first, as are their blocks and what they merge to: no other block's text is shuffled for them
         hits = materialize(self.chunk_hits(asked, blocks, options), "search-hits")
-        found = hits.join(blocks, "block_id").withColumn("content_hash", text.content_hash(F.col("content")))
+        found = materialize(blocks.drop("embedding").join(_small(hits), "block_id").withColumn("content_hash", text.content_hash(F.col("content"))), "search-found")
+        found_blocks = found
         if options.granularity in ("auto", "hybrid", "doc"):
             found = self._by_document(asked, found, names, options)
         capped = fusion.children_per_parent(found, options.per_parent)
@@ -162,9 +175,13 @@ class Engine:
             capped = scored.withColumn("score", scoring.blend(F.col("rerank"), F.col("score")))
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "child_id")
         merged = materialize(fusion.cross_namespace(capped.withColumn("at", F.row_number().over(order)), options.top_k), "search-merged")
-        details = blocks.select("namespace_id", "child_id", "doc_id", "content", "parent_id")
+        details = found_blocks.select("query_id", "namespace_id", "child_id", "doc_id", "content", "parent_id")
+        answers = merged.join(details, ["query_id", "namespace_id", "child_id"])
         parents = self.parents if self.parents is not None else blocks.sparkSession.createDataFrame([], "parent_id string, parent_text string")
-        return merged.join(details, ["namespace_id", "child_id"]).transform(retrieval.with_parents, parents).withColumn("parent_text", F.coalesce("parent_text", F.lit(""))).select("query_id", "position", "namespace_id", "child_id", "doc_id", "score", "content", "parent_text", "sources")
+        if callable(parents):
+            answers = materialize(answers, "search-answers")
+            parents = materialize(parents(answers), "search-parents")
+        return answers.transform(retrieval.with_parents, parents).withColumn("parent_text", F.coalesce("parent_text", F.lit(""))).select("query_id", "position", "namespace_id", "child_id", "doc_id", "score", "content", "parent_text", "sources")
 
     def _by_document(self, asked: DataFrame, found: DataFrame, names: list[str], options: Options) -> DataFrame:
         """Chunks scored by their document's fused rank: the best chunk stands for it."""
@@ -181,6 +198,15 @@ class Engine:
         return hits.select("query_id", F.explode(F.split("routes", ",")).alias("route")).groupBy("query_id", "route").agg(F.count("*").alias("hits"))
 
 
+#: Bytes, as written, up to which hits and their ids are broadcast; they grow with the query batch only.
+SMALL_BYTES = 8 << 20
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """Broadcast if its own size, or that of what it was read from, is small."""
+    return F.broadcast(rows) if size_in_bytes(rows) <= SMALL_BYTES else rows
+
+
 def chat_facts(facts: DataFrame, user_id: str, top_k: int) -> DataFrame:
     """A pleasantry needs no retrieval: the user's newest active facts of all namespaces."""
     mine = facts.filter((F.col("user_id") == user_id) & (F.col("status") == "active"))
@@ -283,4 +309,4 @@ def register_sql(spark: SparkSession, engine: Engine, facts: DataFrame | None =
 def sql_search(spark: SparkSession, engine: Engine, namespace: str, query: str, top_k: int = 10, rerank: bool = False) -> DataFrame:
     """One query over one namespace, as a SQL caller asks it."""
     asked = spark.createDataFrame([(0, filters.check_request(query, [namespace], top_k))], "query_id long, text string")
-    return engine.search(asked, [namespace], Options(top_k=top_k, rerank=rerank)).drop("query_id")
+    return engine.search(asked, [namespace], Options(top_k=top_k, rerank=rerank)).drop("query_id").orderBy("position")

@@ -45,6 +45,36 @@ def test_hits_are_written_before_blocks_are_joined(spark, engine, granularity):
     assert found.count() > 0 and "MapInArrow" not in plan and "Window" not in plan and "Join" in plan
 
 
+def test_postings_are_scored_where_they_stand(spark, tiny):
+    """Both word routes hand on k rows a query and task; nothing of the index is joined or shuffled."""
+    docs, asked_ = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{tiny}/benchmark.parquet").withColumnRenamed("item_id", "query_id")
+    index = retrieval.TextIndex.build(docs)
+    words = retrieval.query_terms(asked_, "query_id", "text").withColumn("qw", F.lit(1.0))
+    weighed = index.postings.select(F.lit("a").alias("ns"), "term", F.col("doc_id").alias("child_id"), F.log1p(F.col("tf").cast("double")).alias("weight"))
+    sparse = index.sparse(asked_, 5)
+    assert {tuple(r) for r in sparse.collect()} == {tuple(r) for r in retrieval.sparse_dot(weighed, words, 5, None).collect()} and sparse.count() > 0
+    for found in (sparse, index.bm25(asked_, 5, query_id="query_id")):
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert index.bm25(asked_, 0, query_id="query_id").count() == 0 and index.bm25(asked_.limit(0), 5, query_id="query_id").count() == 0
+
+
+def test_word_routes_with_ties_blocks_and_null_ids(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "pump hose pump" if i % 2 else "valve") for i in range(40)] + [(50, None), (51, "")], "doc_id long, text string").repartition(3)
+    asked_ = spark.createDataFrame([(1, "pump"), (None, "hose"), (3, "none"), (4, "valve pump")], "item_id long, text string")
+    index = retrieval.TextIndex.build(docs)
+    want = {tuple(r) for r in retrieval.bm25(docs, asked_, 3).collect()}
+    assert {r[:2] for r in want} >= {(1, 1), (1, 3), (1, 5), (None, 1)} and index.lengths.filter("len = 0").count() == 2
+    for size in (1 << 20, 1):
+        monkeypatch.setattr(retrieval, "SCORES", size)
+        monkeypatch.setattr(retrieval, "BROADCAST_BYTES", size << 7)
+        assert {tuple(r) for r in index.bm25(asked_, 3).collect()} == want
+
+
+def test_parents_are_made_of_hits(spark, engine):
+    hits = spark.createDataFrame([(1, "1/p0"), (5, "5/p9")], "doc_id long, parent_id string")
+    assert [(r["parent_id"], r["parent_text"][:11]) for r in engine.parents(hits).collect()] == [("1/p0", "How to inst")]
+
+
 @pytest.mark.parametrize("granularity", ["chunk", "doc", "hybrid"])
 @pytest.mark.parametrize("route", ["simple", "complex"])
 def test_granularity_and_route(spark, engine, granularity, route):
